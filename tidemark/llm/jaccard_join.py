@@ -12,6 +12,7 @@ can differ from the pivot's by no more than what the set has beside the pivot. W
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,8 @@ from tidemark.llm.textsets import class_of, shingles, words_of
 #: The similarity as a fraction in whole numbers.
 NUM, DEN = 75, 100
 
-SKETCH_BITS, SLICE_BITS = 18, 14
+#: Counters of the shingle counts; more of them tell frequent from usual shingles more finely, and never change a result.
+SKETCH_BITS, SLICE_BITS = 22, 16
 #: Index entries that a task of the list stage is meant to hold.
 TASK_ENTRIES = 600_000
 BLOCK = 64
@@ -50,32 +52,31 @@ def index_length(n):
 def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, key, text) to (doc_id, key, n, class), and at the end this task's shingle counts by hash, in slices."""
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    counts, bits = np.zeros(1 << SKETCH_BITS, np.uint32), np.uint64((1 << SKETCH_BITS) - 1)
     for batch in batches:
         sets = [shingles(w) for w in words_of(batch.column(2))]
-        if sets:
-            counts += np.bincount((np.concatenate(sets) & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS)
+        for s in sets:
+            counts[s & bits] += 1  # two shingles of a text in one counter count once; the order needs no more
         n = len(sets)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
-    parts = counts.astype(np.uint32).reshape(-1, 1 << SLICE_BITS)
+    parts = counts.reshape(-1, 1 << SLICE_BITS)
     k = len(parts)
     if counts.any():
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 4 + [pa.array(range(k), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 4 + [pa.array(range(k), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], schema=schema)
 
 
 def summed_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            add = np.frombuffer(raw, np.int64 if len(raw) == 8 << SLICE_BITS else np.uint32)
-            total[k] = total[k] + add if k in total else add.astype(np.int64)
+            total[k] = np.frombuffer(zlib.decompress(raw), np.uint32) + total.get(k, np.uint64(0))
     if total:
         yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"])
 
 
 def entry_writer(sketch: np.ndarray, buckets: int):
     """A function from (text) to index entries, packed by list bucket: tokens, classes, sizes, positions."""
-    usual = 4 * int(sketch.mean()) + 64
+    usual = 2 * int(sketch.mean()) + 8
     bits = np.uint64((1 << SKETCH_BITS) - 1)
     level = np.maximum(np.log2(np.maximum(sketch, 1) / usual), 0).astype(np.int8)
 
@@ -264,9 +265,9 @@ def similarity_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     read = written(rows.mapInArrow(read_sets, "doc_id long, key long, n long, class long, slice int, counts binary"), "sets")
     sig = read.where("slice is null").select("doc_id", "key", "n", "class")
     slices = read.where("slice is not null").select("slice", "counts").repartition(1 << (SKETCH_BITS - SLICE_BITS), "slice").mapInArrow(summed_slices, "slice int, counts binary")
-    sketch = np.zeros((1 << (SKETCH_BITS - SLICE_BITS), 1 << SLICE_BITS), np.int64)
+    sketch = np.zeros((1 << (SKETCH_BITS - SLICE_BITS), 1 << SLICE_BITS), np.uint64)
     for r in slices.collect():  # 1 << SKETCH_BITS numbers, whatever the input
-        sketch[r["slice"]] = np.frombuffer(r["counts"], np.int64)
+        sketch[r["slice"]] = np.frombuffer(r["counts"], np.uint64)
     sketch = sketch.ravel()
     leads = written(sig.where("n > 0").groupBy("class").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LARGE)).alias("id"), "key")).alias("m"), F.max("n").alias("n")).select("class", "n", F.col("m.id").alias("lead_id"), F.col("m.key").alias("lead_key")), "leads")
     shares = max(parts, int(sketch.sum()) // 4 // TASK_ENTRIES + 1)
