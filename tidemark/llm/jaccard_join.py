@@ -7,7 +7,8 @@ Answers come in two rounds. First every list compares its sets with the list's p
 components: within a component no further pair is looked at. Then the pairs of a list that cross components are gone
 through in blocks by size and position; a block that the size or position bound rules out is skipped, and so is a pair
 whose sets were both compared with one pivot when the pivot's overlaps rule it out, since a set's overlap with a third
-can differ from the pivot's by no more than what the set has beside the pivot. What is left is compared in full.
+can differ from the pivot's by no more than what the set has beside the pivot. What is left is compared by marks of
+fixed size, which bound the overlap from above, and where these leave it open, in full.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ SKETCH_BITS, SLICE_BITS = 22, 16
 #: Index entries that a task of the list stage is meant to hold.
 TASK_ENTRIES = 600_000
 BLOCK = 64
+#: Bits of the mark that bounds a pair's overlap before sets are fetched, and of the filter on the rows fetched.
+MARK_BITS = 1024
+FILTER_BITS = 24
 LARGE = (1 << 63) - 1
 
 
@@ -49,20 +53,25 @@ def index_length(n):
     return n - least_overlap(n, n) + 1
 
 
+def mark_of(s: np.ndarray) -> bytes:
+    """For each bit, whether an odd number of elements falls on it: two marks differ in no more bits than their sets in elements."""
+    return np.packbits(np.bincount((s >> np.uint64(40)).astype(np.int64) % MARK_BITS, minlength=MARK_BITS).astype(np.uint8) & 1).tobytes()
+
+
 def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key, text) to (doc_id, key, n, class), and at the end this task's shingle counts by hash, in slices."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
+    """(doc_id, key, text) to (doc_id, key, n, class, mark), and at the end this task's shingle counts by hash, in slices."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("mark", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
     counts, bits = np.zeros(1 << SKETCH_BITS, np.uint32), np.uint64((1 << SKETCH_BITS) - 1)
     for batch in batches:
         sets = [shingles(w) for w in words_of(batch.column(2))]
         for s in sets:
             counts[s & bits] += 1  # two shingles of a text in one counter count once; the order needs no more
         n = len(sets)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([mark_of(s) for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
     parts = counts.reshape(-1, 1 << SLICE_BITS)
     k = len(parts)
     if counts.any():
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 4 + [pa.array(range(k), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 4 + [pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], schema=schema)
 
 
 def summed_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,11 +198,11 @@ def crossing_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
     if table is None or not table.num_rows:
         return
-    lst, c, n, p, comp, pivot, shared = (table.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in ("list", "class", "n", "place", "component", "pivot", "shared"))
+    lst, c, n, p, comp = (table.column(k).to_numpy() for k in ("list", "class", "n", "place", "component"))
+    known = table.column("hi").is_valid().to_numpy()
+    pivot, lo, hi = (table.column(k).fill_null(0).to_numpy() for k in ("pivot", "lo", "hi"))
     order = np.lexsort((c, p, n, lst))
-    lst, c, n, p, comp, pivot, shared = (x[order] for x in (lst, c, n, p, comp, pivot, shared))
-    known = ~np.isnan(shared.astype(float))
-    pivot, shared = np.where(known, pivot, 0).astype(np.int64), np.where(known, shared, 0).astype(np.int64)
+    lst, c, n, p, comp, known, pivot, lo, hi = (x[order] for x in (lst, c, n, p, comp, known, pivot, lo, hi))
     indexed = p < index_length(n)
     at = np.append(np.flatnonzero(np.append(True, lst[1:] != lst[:-1])), len(lst))
     for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -215,17 +224,44 @@ def crossing_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 k = close(n[a], p[a], n[b], p[b])
                 a, b = a[k], b[k]
                 both = known[a] & known[b] & (pivot[a] == pivot[b])
-                most = np.minimum(shared[b] + n[a] - shared[a], shared[a] + n[b] - shared[b])
+                most = np.minimum(hi[b] + n[a] - lo[a], hi[a] + n[b] - lo[b])
                 k = ~(both & (most < least_overlap(n[a], n[b])))
                 a, b = a[k], b[k]
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c[a], c[b])), pa.array(np.maximum(c[a], c[b]))], names=["a", "b"])
 
 
-def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, text) to (class, set)."""
+def row_filter(keys: DataFrame) -> np.ndarray:
+    """A bit for each value of the keys' low bits: which rows can be among them. Of fixed size, whatever the input."""
+    at = F.pmod("key", F.lit(1 << FILTER_BITS))
+    words = keys.groupBy(F.shiftright(at, 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(key, 64) AS int))) AS bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+def set_reader(among: np.ndarray):
+    """A function from (key, text) to (key, set), for the rows that pass the filter."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            hit = (among[(key & ((1 << FILTER_BITS) - 1)) >> 6] >> (key & 63)) & 1 == 1
+            batch = batch.filter(pa.array(hit))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(w).tobytes() for w in words_of(batch.column(1))], pa.binary())], names=["set_key", "set"])
+
+    return sets
+
+
+def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, n_a, n_b, mark_a, mark_b) to (a, b, hi): no more elements than hi are shared; null if that decides nothing."""
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(w).tobytes() for w in words_of(batch.column(1))], pa.binary())], names=["class", "set"])
+        if not batch.num_rows:
+            continue
+        one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, MARK_BITS // 64) for k in (4, 5))
+        n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        hi = (n + m - np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)) // 2
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hi, mask=hi >= least_overlap(n, m))], names=["a", "b", "hi"])
 
 
 def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,14 +282,27 @@ def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "shared", "linked"])
 
 
-def compared(pairs: DataFrame, rows: DataFrame, leads: DataFrame, name: str) -> DataFrame:
-    """Pairs of classes (a, b) with their overlap, counted over the whole sets, and whether it makes a link."""
-    needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    wanted = leads.join(needed, "class").select("class", F.col("lead_key").alias("key"))
-    sets = written(rows.select("key", "text").join(wanted, "key").select("class", "text").mapInArrow(sets_of, "class long, set binary"), f"{name}-sets").dropDuplicates(["class"])
-    sets = written(sets, f"{name}-sets")
+def compared(pairs: DataFrame, rows: DataFrame, read: DataFrame, leads: DataFrame, name: str) -> DataFrame:
+    """Pairs of classes (a, b) to (a, b, lo, hi, linked): bounds of their overlap, alike where the whole sets were compared."""
+
+    def of(pairs: DataFrame) -> DataFrame:
+        needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+        return written(leads.join(needed, "class").select("class", "n", F.col("lead_key").alias("key")), f"{name}-wanted")
+
+    marks = written(read.where("slice is null").select("key", "mark").join(of(pairs), "key").dropDuplicates(["class"]).select("class", "n", "mark"), f"{name}-marks")
+    one, two = (marks.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("mark").alias(f"mark_{x}")) for x in "ab")
+    bounds = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "mark_a", "mark_b").mapInArrow(bounded, "a long, b long, hi long")
+    bounds = written(bounds, f"{name}-bounds")
+    open_pairs = bounds.where("hi is null").select("a", "b")
+    wanted = of(open_pairs)
+    sets = rows.select("key", "text").mapInArrow(set_reader(row_filter(wanted)), "set_key long, set binary")
+    sets = written(sets.join(wanted, F.col("set_key") == F.col("key")).select("class", "set"), f"{name}-sets")
+    if sets.count() > wanted.count():  # rows alike in id and text
+        sets = sets.dropDuplicates(["class"])
     one, two = (sets.select(F.col("class").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-    return written(pairs.join(two, "b").join(one, "a").select("a", "b", "set_a", "set_b").mapInArrow(overlaps, "a long, b long, shared long, linked boolean"), f"{name}-overlaps")
+    full = open_pairs.join(two, "b").join(one, "a").select("a", "b", "set_a", "set_b").mapInArrow(overlaps, "a long, b long, shared long, linked boolean")
+    full = full.select("a", "b", F.col("shared").alias("lo"), F.col("shared").alias("hi"), "linked")
+    return written(bounds.where("hi is not null").select("a", "b", F.lit(0).cast("long").alias("lo"), "hi", F.lit(False).alias("linked")).union(full), f"{name}-overlaps")
 
 
 def similarity_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -262,7 +311,7 @@ def similarity_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    read = written(rows.mapInArrow(read_sets, "doc_id long, key long, n long, class long, slice int, counts binary"), "sets")
+    read = written(rows.mapInArrow(read_sets, "doc_id long, key long, n long, class long, mark binary, slice int, counts binary"), "sets")
     sig = read.where("slice is null").select("doc_id", "key", "n", "class")
     slices = read.where("slice is not null").select("slice", "counts").repartition(1 << (SKETCH_BITS - SLICE_BITS), "slice").mapInArrow(summed_slices, "slice int, counts binary")
     sketch = np.zeros((1 << (SKETCH_BITS - SLICE_BITS), 1 << SLICE_BITS), np.uint64)
@@ -274,21 +323,22 @@ def similarity_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     packed = rows.select("text").mapInArrow(entry_writer(sketch, 4 * shares), "bucket int, entries binary")
     lists = written(packed.repartition(shares, "bucket").mapInArrow(list_reader(4 * shares), "list long, class long, n long, place long, pivot long, pivot_n long"), "lists")
     pairs = written(lists.where("pivot is not null and pivot <> class").select(F.least("pivot", "class").alias("a"), F.greatest("pivot", "class").alias("b")).distinct(), "pairs")
-    first = compared(pairs, rows, leads, "pivot")
+    first = compared(pairs, rows, read, leads, "pivot")
     links = first.where("linked").select("a", "b")
     comp = written(components(links), "components")
     # a list all of whose members are in one component has no pair left
     named = lists.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     named = written(named, "members")
     mixed = named.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("list")
-    known = first.select("a", "b", "shared")
+    known = first.select("a", "b", "lo", "hi")
     left = named.join(mixed, "list", "left_semi").withColumn("a", F.least("pivot", "class")).withColumn("b", F.greatest("pivot", "class"))
-    left = left.join(known, ["a", "b"], "left").withColumn("shared", F.when(F.col("pivot") == F.col("class"), F.col("n")).otherwise(F.col("shared")))
-    left = left.select("list", "class", "n", "place", "component", "pivot", "shared")
+    left = left.join(known, ["a", "b"], "left")
+    lo, hi = (F.when(F.col("pivot") == F.col("class"), F.col("n")).otherwise(F.col(x)).alias(x) for x in ("lo", "hi"))
+    left = left.select("list", "class", "n", "place", "component", "pivot", lo, hi)
     more = left.repartition(shares, hash_bucket(1 << 30, "list")).mapInArrow(crossing_pairs, "a long, b long").distinct()
     more = written(more.join(pairs, ["a", "b"], "left_anti"), "crossing")
     if not more.isEmpty():
-        second = compared(more, rows, leads, "crossing")
+        second = compared(more, rows, read, leads, "crossing")
         if not (found := second.where("linked").select("a", "b")).isEmpty():
             comp = written(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)), "components")
     return sig, leads.join(comp, leads["class"] == comp["node"], "left").select("class", "lead_id", F.coalesce("component", "class").alias("component"))
