@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, exact_dedup, jaccard_join, mixing, sharding
+from tidemark.llm import decontamination, exact_dedup, jaccard_join, line_dedup, mixing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,13 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what is left of its text as length and checksum."""
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    clean = F.encode("clean_text", "utf-8")
+    return out.select("doc_id", "n_lines", "removed_chunks", "removed_lines", F.octet_length(clean).cast("long").alias("clean_bytes"), F.crc32(clean).alias("clean_crc32"))
+
+
 def op9_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -37,7 +44,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op3_exact_dedup, op4_mix_sources, op9_shard_ring, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op2_decontaminate, op3_exact_dedup, op4_mix_sources, op6_line_dedup, op9_shard_ring, op10_ngram_jaccard_join)}
 
 
 OP3_SQL = r"""
