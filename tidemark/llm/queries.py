@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, exact_dedup, jaccard_join, line_dedup, mixing, sharding
+from tidemark.llm import decontamination, exact_dedup, jaccard_join, line_dedup, mixing, sharding, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "removed_chunks", "removed_lines", F.octet_length(clean).cast("long").alias("clean_bytes"), F.crc32(clean).alias("clean_crc32"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def op9_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -44,7 +50,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op3_exact_dedup, op4_mix_sources, op6_line_dedup, op9_shard_ring, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op2_decontaminate, op3_exact_dedup, op4_mix_sources, op6_line_dedup, op7_token_files, op9_shard_ring, op10_ngram_jaccard_join)}
 
 
 OP3_SQL = r"""
