@@ -7,8 +7,8 @@ Answers come in two rounds. First every list compares its sets with the list's p
 components: within a component no further pair is looked at. Then the pairs of a list that cross components are gone
 through in blocks by size and position; a block that the size or position bound rules out is skipped, and so is a pair
 whose sets were both compared with one pivot when the pivot's overlaps rule it out, since a set's overlap with a third
-can differ from the pivot's by no more than what the set has beside the pivot. What is left is compared by marks of
-fixed size, which bound the overlap from above, and where these leave it open, in full.
+can differ from the pivot's by no more than what the set has beside the pivot. What is left is compared by parity
+marks, a sixteenth of the sets' size, which bound the overlap from above, and where these leave it open, in full.
 """
 
 from __future__ import annotations
@@ -33,8 +33,9 @@ SKETCH_BITS, SLICE_BITS = 22, 16
 #: Index entries that a task of the list stage is meant to hold.
 TASK_ENTRIES = 600_000
 BLOCK = 64
-#: Bits of the mark that bounds a pair's overlap before sets are fetched, and of the filter on the rows fetched.
-MARK_BITS = 1024
+#: The mark that bounds a pair's overlap before sets are fetched has about so many bits for each element.
+MARK_SHARE = 4
+#: Bits of the filter on the rows whose sets are fetched.
 FILTER_BITS = 24
 LARGE = (1 << 63) - 1
 
@@ -55,7 +56,16 @@ def index_length(n):
 
 def mark_of(s: np.ndarray) -> bytes:
     """For each bit, whether an odd number of elements falls on it: two marks differ in no more bits than their sets in elements."""
-    return np.packbits(np.bincount((s >> np.uint64(40)).astype(np.int64) % MARK_BITS, minlength=MARK_BITS).astype(np.uint8) & 1).tobytes()
+    bits = max(256, 1 << (MARK_SHARE * len(s) - 1).bit_length()) if len(s) else 256
+    return np.packbits(np.bincount((s >> np.uint64(32)).astype(np.int64) & (bits - 1), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """In how many bits two marks differ. The longer is folded to the length of the other, which keeps parities."""
+    one, two = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(one) < len(two):
+        one, two = two, one
+    return int(np.bitwise_count(np.bitwise_xor.reduce(one.reshape(-1, len(two)), axis=0) ^ two).sum())
 
 
 def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,9 +268,9 @@ def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, MARK_BITS // 64) for k in (4, 5))
         n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-        hi = (n + m - np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)) // 2
+        differ = [apart(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+        hi = (n + m - np.array(differ, np.int64)) // 2
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hi, mask=hi >= least_overlap(n, m))], names=["a", "b", "hi"])
 
 
