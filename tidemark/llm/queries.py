@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, exact_dedup, jaccard_join, line_dedup, mixing, sharding, token_files
+from tidemark.llm import decontamination, exact_dedup, jaccard_join, line_dedup, mixing, sharding, token_files, warc
+from tidemark.llm.common import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,18 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
 
 
+#: pages have no time of capture: page k counts as captured k seconds after this.
+EPOCH = 1_704_067_200
+
+
+def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = new_path(spark, "archives")
+    warc.write(pages.select(F.col("page_id").alias("id"), "url", (F.coalesce("page_id", F.lit(0)) + EPOCH).alias("seconds"), F.col("html").alias("payload")), path)
+    lines = warc.index(spark, path)
+    return lines.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with what is left of its text as length and checksum."""
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
@@ -50,7 +63,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op3_exact_dedup, op4_mix_sources, op6_line_dedup, op7_token_files, op9_shard_ring, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op2_decontaminate, op3_exact_dedup, op4_mix_sources, op5_warc_index, op6_line_dedup, op7_token_files, op9_shard_ring, op10_ngram_jaccard_join)}
 
 
 OP3_SQL = r"""
@@ -84,5 +97,20 @@ FROM c
 """
 
 
+OP5_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+         lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?[^/?#:]*(?::[0-9]*)?([^#]*)', 1)) AS rest
+  FROM pages),
+d AS (SELECT *, octet_length(encode(html)) AS n, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to,
+       array_to_string(list_reverse(string_split(regexp_replace(host, '^www\.', ''), '.')), ',') || ')' || CASE WHEN rest = '' THEN '/' ELSE rest END AS url_key,
+       1704067200 + page_id AS captured
+FROM d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_warc_index": OP5_SQL}
