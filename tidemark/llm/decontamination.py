@@ -33,20 +33,21 @@ NUMBER, NAME, UNIT = "\u0001", "\u0002", "\u0003"
 MARKS = "\u0001\u0002\u0003"
 
 
-def tokens(text: Column) -> Column:
-    """The tokens of a text in lower case; numbers, names and units carry the mark of their type in front.
+def tokenised(df: DataFrame) -> DataFrame:
+    """df with `tokens` for its column text: in lower case; numbers, names and units with the mark of their type in front.
 
-    A number is a run of digits with inner points and commas. A unit stands right after a number. A name is a capitalised
-    word that begins no sentence: what stands before it is a word or a comma.
+    A number is a run of digits, inner points and commas. A unit stands right after a number. A name is a capitalised word
+    that begins no sentence: what stands before it is a word or a comma.
     """
-    t = F.translate(F.coalesce(text, F.lit("")), MARKS, "   ")
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;] )(\p{Lu}[\p{L}'’]+)", NAME + "$1")
-    t = F.regexp_replace(F.lower(t), r"(?<![\p{L}\p{N}])(\d+(?:[.,]\d+)*)", " " + NUMBER + "$1 ")
-    t = F.regexp_replace(t, r"(\u0001[\d.,]+\s+[%s]?)(%s)(?![\p{L}\p{N}])" % (NAME, "|".join(sorted(UNITS, key=len, reverse=True))), "$1" + UNIT + "$2")
-    t = F.regexp_replace(t, NAME + UNIT, UNIT)
-    t = F.regexp_replace(t, r"(?:(?<!\d)[.,]|[.,](?!\d)|[^\p{L}\p{N}.,\u0001-\u0003])+", " ")
-    t = F.trim(t)
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " +"))
+    # patterns test a character before they look behind, and repeat no groups: Java's matcher recurses into those
+    t = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), f"[{MARKS}]", " ")
+    t = F.lower(F.regexp_replace(t, r"(?=\p{Lu})(?<=[\p{L}\p{N},;] )(\p{Lu}[\p{L}'’]+)", NAME + "$1"))
+    n = F.regexp_replace("plain", r"(?=\d)(?<![\p{L}\p{N}])(\d[\d.,]*)", f" {NUMBER}$1 ")
+    n = F.regexp_replace(n, rf"({NUMBER}[\d.,]+\s+){NAME}?({'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}$2")
+    n = F.regexp_replace(n, r"[.,](?:(?<!\d[.,])|(?!\d))", " ")
+    n = F.array_remove(F.split(n, rf"[^\p{{L}}\p{{N}}.,{MARKS}]+"), "")
+    w = F.array_remove(F.split("plain", rf"[^\p{{L}}{MARKS}]+"), "")
+    return df.withColumn("plain", t).withColumn("tokens", F.when(F.col("plain").rlike(r"\p{N}"), n).otherwise(w)).drop("plain", "text")
 
 
 def template(token: Column) -> Column:
@@ -59,24 +60,50 @@ def slots(window: Column) -> Column:
     return F.transform(values, lambda v: F.array_position(values, v))
 
 
-def windows(df: DataFrame, size: int) -> DataFrame:
-    """df with `tokens` to one row for each run of `size` of them: all columns, place (from 0) and hash."""
+def bit_set(hashes: list[int], bits: int) -> Column:
+    """The hashes' low bits as a constant array of 2**bits bits."""
+    words = [0] * (1 << (bits - 6))
+    for h in hashes:
+        words[(h & ((1 << bits) - 1)) >> 6] |= 1 << (h & 63)
+    return F.split(F.lit(",".join(str(w - (1 << 64) if w >> 63 else w) for w in words)), ",").cast("array<bigint>")
+
+
+def outline(first: Column, middle: Column, last: Column) -> Column:
+    """Three of a run's token hashes as one, which is cheaper to make than a hash of the whole run."""
+    return first.bitwiseXOR(F.shiftleft(middle, 1)).bitwiseXOR(F.shiftleft(last, 2))
+
+
+def windows(df: DataFrame, size: int, among: list[int] | None = None) -> DataFrame:
+    """df with `tokens` to one row for each run of `size` of them: the other columns, place (from 0), hash, cut (the run) and outline.
+
+    With `among`, only runs whose outline can be one of these: a filter on low bits, so that the rows made stay few.
+    """
     hashed = F.transform("tokens", lambda t: F.xxhash64(template(t)))
     last = F.size("hashed") - size
-    each = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice("hashed", i + 1, size)))).otherwise(F.array().cast("array<long>"))
-    df = df.withColumn("hashed", hashed).withColumn("each", each).drop("hashed")
-    return df.select("*", F.posexplode_outer("each").alias("place", "hash")).drop("each")
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    places = starts
+    if among is not None:
+        bits = max(12, (64 * len(among)).bit_length())
+        there, mask = bit_set(among, bits), F.lit((1 << bits) - 1)
+        word = lambda h: F.get(there, F.shiftright(h.bitwiseAND(mask), 6).cast("int"))
+        hit = lambda h: word(h).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))) != 0
+        places = F.filter(starts, lambda i: hit(outline(F.get("hashed", i), F.get("hashed", i + size // 2), F.get("hashed", i + size - 1))))
+    run = lambda i: F.slice("hashed", i + 1, size)
+    found = F.transform(places, lambda i: F.struct(i.alias("place"), F.xxhash64(run(i)).alias("hash"), F.slice("tokens", i + 1, size).alias("cut"), outline(*[F.get(run(i), k) for k in (0, size // 2, size - 1)]).alias("outline")))
+    others = [c for c in df.columns if c != "tokens"]
+    df = df.withColumn("hashed", hashed).withColumn("found", found)
+    # outer, lest the optimizer tests each array before it is exploded by working it out once more
+    return df.select(*others, F.explode_outer("found").alias("found")).select(*others, "found.*").where("hash is not null")
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(size, b_hash, item_id, b_place, b_template, b_slots) of every window that can be joined."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text").cast("string")).alias("tokens"))
+    """(size, b_hash, outline, item_id, b_place, b_template, b_slots) of every window that can be joined."""
+    items = tokenised(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"))
     items = items.withColumn("size", F.least(F.size("tokens"), F.lit(WINDOW)))
     parts = []
     for size in range(LEAST_WORDS, WINDOW + 1):
         w = windows(items.where(F.col("size") == size), size)
-        cut = F.slice("tokens", F.col("place") + 1, size)
-        parts.append(w.select("size", F.col("hash").alias("b_hash"), "item_id", F.col("place").alias("b_place"), F.transform(cut, template).alias("b_template"), slots(cut).alias("b_slots")))
+        parts.append(w.select("size", F.col("hash").alias("b_hash"), "outline", "item_id", F.col("place").alias("b_place"), F.transform("cut", template).alias("b_template"), slots(F.col("cut")).alias("b_slots")))
     out = reduce(DataFrame.union, parts)
     plain = F.size(F.filter("b_template", lambda t: t >= F.lit("\u0004")))
     return out.where(plain >= LEAST_WORDS)
@@ -92,20 +119,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     bench = written(benchmark_windows(benchmark), "bench-windows")
     sizes = {r["size"]: r["n"] for r in bench.groupBy("size").agg(F.count("*").alias("n")).collect()}  # WINDOW rows at most
-    text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"), tokens(text).alias("tokens"))
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    rows = tokenised(docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), text.alias("text")))
     found = []
     for size, n in sorted(sizes.items()):
         blocks = -(-n // BLOCK_WINDOWS)
         for k in range(blocks):
             part = bench.where((F.col("size") == size) & (F.pmod(F.xxhash64("b_hash", "b_place", "item_id"), F.lit(blocks)) == k)).drop("size")
-            cut = F.slice("tokens", F.col("place") + 1, size)
-            # about BLOCK_WINDOWS rows, by the count above
-            hit = windows(rows, size).join(F.broadcast(part), F.col("hash") == F.col("b_hash"))
+            among = [r["outline"] for r in part.select("outline").distinct().collect()]  # about BLOCK_WINDOWS numbers
+            hit = windows(rows, size, among).drop("outline").join(F.broadcast(part.drop("outline")), F.col("hash") == F.col("b_hash"))
             # as inequalities these are no join keys, so that they are worked out for joined windows only
-            form, used = F.transform(cut, template), slots(cut)
+            form, used = F.transform("cut", template), slots(F.col("cut"))
             hit = hit.where((form <= F.col("b_template")) & (form >= F.col("b_template")) & (used <= F.col("b_slots")) & (used >= F.col("b_slots")))
-            found.append(hit.select("doc_id", "key", "item_id", "b_place", "place"))
+            found.append(hit.select("doc_id", "key", "item_id", "b_place"))
     if not found:
         return spark.createDataFrame([], "doc_id long, key long, item_id long, windows long, item_windows long")
     hits = reduce(DataFrame.union, found)
