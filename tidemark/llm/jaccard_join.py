@@ -3,12 +3,13 @@
 Equal sets form a class; only classes are joined. Every class enters index lists with the first tokens of its set, in an
 order that puts what a count over all documents shows to be frequent last (prefix filter). Lists are sorted by set size.
 
-Answers come in two rounds. First every list compares its sets with the list's pivots only, and links join classes to
-components: within a component no further pair is looked at. Then the pairs of a list that cross components are gone
-through in blocks by size and position; a block that the size or position bound rules out is skipped, and so is a pair
-whose sets were both compared with one pivot when the pivot's overlaps rule it out, since a set's overlap with a third
-can differ from the pivot's by no more than what the set has beside the pivot. What is left is compared by parity
-marks, a sixteenth of the sets' size, which bound the overlap from above, and where these leave it open, in full.
+Answers come in rounds. First every list compares its sets with a pivot only: the set that stands first in it by
+position, which has the fewest elements of its own and so is nearest to the others. Links make components; within one no
+further pair is looked at. Then the sets compared with one pivot get their answers from it: with both sets known by what
+they lack of the pivot and what they have beside it, an overlap is a few bit operations, and no set is read again. What
+is left are pairs of a list without a common pivot. Their blocks by size and position are skipped where a bound rules
+them out, as are pairs that their overlaps with a pivot rule out. The rest is compared by parity marks, a sixteenth of
+the sets' size, which bound the overlap from above, and where these leave it open, in full.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ SKETCH_BITS, SLICE_BITS = 22, 16
 #: Index entries that a task of the list stage is meant to hold.
 TASK_ENTRIES = 600_000
 BLOCK = 64
+#: Sets are compared with a pivot in full from this many hundredths on, since they may be similar to its other sets.
+NEAR = 50
+#: Sets of a family that one task answers from their pivot.
+FAMILY = 20_000
 #: The mark that bounds a pair's overlap before sets are fetched has about so many bits for each element.
 MARK_SHARE = 4
 #: Bits of the filter on the rows whose sets are fetched.
@@ -146,7 +151,7 @@ def close(n1, p1, n2, p2):
 
 def list_reader(buckets: int):
     """Packed entries of whole buckets to the lists' members (list, class, n, place, pivot) and pairs (pivot, class)."""
-    schema = pa.schema([("list", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("place", pa.int64()), ("pivot", pa.int64()), ("pivot_n", pa.int64())])
+    schema = pa.schema([("list", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("place", pa.int64()), ("pivot", pa.int64())])
 
     def members(bucket: int, rows: list[bytes]) -> Iterator[pa.RecordBatch]:
         cols = [[], [], [], []]
@@ -172,25 +177,17 @@ def list_reader(buckets: int):
         pivot = np.full(len(t), -1, np.int64)  # where the member's pivot stands
         for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             if j - i < 2 or not indexed[i:j].any():
-                pivot[i:j] = -2
                 continue
             while i < j:
-                if not indexed[i]:
-                    i += 1
-                    continue
                 end = i + int(np.searchsorted(n[i:j], DEN * n[i] // NUM, "right"))
-                pivot[i:end] = i
+                first = i + np.flatnonzero(p[i:end] == p[i:end].min())
+                pivot[i:end] = first[np.argmin(c[first])]
                 i = end
-        stay = pivot > -2
-        has = pivot >= 0
-        near = np.zeros(len(t), bool)
-        k = np.flatnonzero(has)
-        near[k] = close(n[k], p[k], n[pivot[k]], p[pivot[k]])
-        own = pivot == np.arange(len(t))
-        pc, pn = np.where(near | own, c[pivot], 0), np.where(near | own, n[pivot], 0)
+        stay = pivot >= 0
+        all_c = c
+        t, c, n, p = t[stay], c[stay], n[stay], p[stay]
         lists = (np.int64(bucket) << 32) | t.astype(np.int64)
-        mask = ~(near | own)[stay]
-        yield pa.RecordBatch.from_arrays([pa.array(lists[stay]), pa.array(c[stay]), pa.array(n[stay]), pa.array(p[stay]), pa.array(pc[stay], mask=mask), pa.array(pn[stay], mask=mask)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(lists), pa.array(c), pa.array(n), pa.array(p), pa.array(all_c[pivot[stay]])], schema=schema)
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
@@ -209,10 +206,10 @@ def crossing_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     if table is None or not table.num_rows:
         return
     lst, c, n, p, comp = (table.column(k).to_numpy() for k in ("list", "class", "n", "place", "component"))
-    known = table.column("hi").is_valid().to_numpy()
+    known, full = table.column("hi").is_valid().to_numpy(), table.column("full").fill_null(False).to_numpy()
     pivot, lo, hi = (table.column(k).fill_null(0).to_numpy() for k in ("pivot", "lo", "hi"))
     order = np.lexsort((c, p, n, lst))
-    lst, c, n, p, comp, known, pivot, lo, hi = (x[order] for x in (lst, c, n, p, comp, known, pivot, lo, hi))
+    lst, c, n, p, comp, known, full, pivot, lo, hi = (x[order] for x in (lst, c, n, p, comp, known, full, pivot, lo, hi))
     indexed = p < index_length(n)
     at = np.append(np.flatnonzero(np.append(True, lst[1:] != lst[:-1])), len(lst))
     for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -235,7 +232,7 @@ def crossing_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 a, b = a[k], b[k]
                 both = known[a] & known[b] & (pivot[a] == pivot[b])
                 most = np.minimum(hi[b] + n[a] - lo[a], hi[a] + n[b] - lo[b])
-                k = ~(both & (most < least_overlap(n[a], n[b])))
+                k = ~(both & (full[a] & full[b] | (most < least_overlap(n[a], n[b]))))
                 a, b = a[k], b[k]
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c[a], c[b])), pa.array(np.maximum(c[a], c[b]))], names=["a", "b"])
@@ -263,37 +260,75 @@ def set_reader(among: np.ndarray):
     return sets
 
 
-def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, n_a, n_b, mark_a, mark_b) to (a, b, hi): no more elements than hi are shared; null if that decides nothing."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-        differ = [apart(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-        hi = (n + m - np.array(differ, np.int64)) // 2
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hi, mask=hi >= least_overlap(n, m))], names=["a", "b", "hi"])
+def bounder(num: int):
+    """A function from (a, b, n_a, n_b, mark_a, mark_b) to (a, b, hi): no more elements than hi are shared.
+
+    hi is null where the similarity may be num hundredths or more, so that the sets have to be read.
+    """
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            differ = [apart(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            hi = (n + m - np.array(differ, np.int64)) // 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hi, mask=(DEN + num) * hi >= num * (n + m))], names=["a", "b", "hi"])
+
+    return bounded
 
 
 def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, set of a, set of b) to (a, b, shared, linked)."""
+    """(a, b, set of a, set of b) to (a, b, shared, linked, lacks, extra): which elements of a's b lacks, as bits, and what it has beside them."""
     for batch in batches:
-        shared, linked = [], []
-        last, left = None, None
+        shared, linked, lacks, extra = [], [], [], []
         for a, b in zip(batch.column(2), batch.column(3), strict=True):
-            raw = a.as_buffer()
-            if last is None or not raw.equals(last):
-                last, left = raw, np.frombuffer(raw, np.uint64)
-            right = np.frombuffer(b.as_buffer(), np.uint64)
+            left, right = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
             at = np.searchsorted(left, right)
             at[at == len(left)] = 0
-            k = int((left[at] == right).sum())
+            same = left[at] == right
+            missing = np.ones(len(left), np.uint8)
+            missing[at[same]] = 0
+            k = int(same.sum())
             shared.append(k)
             linked.append(DEN * k >= NUM * (len(left) + len(right) - k))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "shared", "linked"])
+            lacks.append(np.packbits(missing).tobytes())
+            extra.append(right[~same].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_()), pa.array(lacks, pa.binary()), pa.array(extra, pa.binary())], names=["a", "b", "shared", "linked", "lacks", "extra"])
 
 
-def compared(pairs: DataFrame, rows: DataFrame, read: DataFrame, leads: DataFrame, name: str) -> DataFrame:
-    """Pairs of classes (a, b) to (a, b, lo, hi, linked): bounds of their overlap, alike where the whole sets were compared."""
+def family_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets by their difference from a pivot, whole cells, to links (a, b) of those outside the pivot's component."""
+    table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+    if table is None or not table.num_rows:
+        return
+    cells: dict[tuple[int, int], list[int]] = {}
+    for i, key in enumerate(zip(table.column("a").to_pylist(), table.column("cell").to_pylist(), strict=True)):
+        cells.setdefault(key, []).append(i)
+    for rows in cells.values():
+        part = table.take(rows)
+        c, n, comp, home, size = (part.column(k).to_numpy() for k in ("b", "n", "component", "a_component", "a_n"))
+        raw = part.column("lacks").to_pylist()
+        width = -(-len(raw[0]) // 8) * 8
+        lacks = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in raw), np.uint64).reshape(len(raw), -1)
+        more = [np.frombuffer(x, np.uint64) for x in part.column("extra").to_pylist()]
+        tokens, owner = np.concatenate(more), np.repeat(np.arange(len(more)), [len(x) for x in more])
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        for z in np.flatnonzero(comp != home).tolist():
+            shared = size[z] - np.bitwise_count(lacks | lacks[z]).sum(axis=1, dtype=np.int64)
+            lo, hi = np.searchsorted(tokens, more[z]), np.searchsorted(tokens, more[z], "right")
+            for i, j in zip(lo[hi > lo + 1].tolist(), hi[hi > lo + 1].tolist(), strict=True):
+                shared[owner[i:j]] += 1
+            found = np.flatnonzero((shared >= least_overlap(n, n[z])) & (comp != comp[z]))
+            if len(found):
+                found = found[np.unique(comp[found], return_index=True)[1]]  # one link to each component will do
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), c[z])), pa.array(c[found])], names=["a", "b"])
+
+
+def compared(pairs: DataFrame, rows: DataFrame, read: DataFrame, leads: DataFrame, num: int, name: str) -> DataFrame:
+    """Pairs of classes (a, b) to (a, b, lo, hi, full, linked, lacks, extra): bounds of their overlap.
+
+    The whole sets are compared (full, lo = hi) where their similarity may be num hundredths or more.
+    """
 
     def of(pairs: DataFrame) -> DataFrame:
         needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
@@ -301,7 +336,7 @@ def compared(pairs: DataFrame, rows: DataFrame, read: DataFrame, leads: DataFram
 
     marks = written(read.where("slice is null").select("key", "mark").join(of(pairs), "key").dropDuplicates(["class"]).select("class", "n", "mark"), f"{name}-marks")
     one, two = (marks.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("mark").alias(f"mark_{x}")) for x in "ab")
-    bounds = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "mark_a", "mark_b").mapInArrow(bounded, "a long, b long, hi long")
+    bounds = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "mark_a", "mark_b").mapInArrow(bounder(num), "a long, b long, hi long")
     bounds = written(bounds, f"{name}-bounds")
     open_pairs = bounds.where("hi is null").select("a", "b")
     wanted = of(open_pairs)
@@ -310,9 +345,34 @@ def compared(pairs: DataFrame, rows: DataFrame, read: DataFrame, leads: DataFram
     if sets.count() > wanted.count():  # rows alike in id and text
         sets = sets.dropDuplicates(["class"])
     one, two = (sets.select(F.col("class").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-    full = open_pairs.join(two, "b").join(one, "a").select("a", "b", "set_a", "set_b").mapInArrow(overlaps, "a long, b long, shared long, linked boolean")
-    full = full.select("a", "b", F.col("shared").alias("lo"), F.col("shared").alias("hi"), "linked")
-    return written(bounds.where("hi is not null").select("a", "b", F.lit(0).cast("long").alias("lo"), "hi", F.lit(False).alias("linked")).union(full), f"{name}-overlaps")
+    full = open_pairs.join(two, "b").join(one, "a").select("a", "b", "set_a", "set_b").mapInArrow(overlaps, "a long, b long, shared long, linked boolean, lacks binary, extra binary")
+    full = full.select("a", "b", F.col("shared").alias("lo"), F.col("shared").alias("hi"), F.lit(True).alias("full"), "linked", "lacks", "extra")
+    none = F.lit(None).cast("binary")
+    return written(bounds.where("hi is not null").select("a", "b", F.lit(0).cast("long").alias("lo"), "hi", F.lit(False).alias("full"), F.lit(False).alias("linked"), none.alias("lacks"), none.alias("extra")).union(full), f"{name}-overlaps")
+
+
+def from_pivots(first: DataFrame, comp: DataFrame, leads: DataFrame, shares: int) -> DataFrame:
+    """Links of sets outside their pivot's component with others that were compared with the same pivot.
+
+    A large family is dealt over cells: each has a part of the pivot's component, and all that stand outside.
+    """
+    names = comp.select("node", "component")
+    sizes = leads.select("class", "n")
+    full = first.where("full").select("a", "b", "lacks", "extra")
+    full = full.join(sizes.select(F.col("class").alias("a"), F.col("n").alias("a_n")), "a").join(names.select(F.col("node").alias("a"), F.col("component").alias("a_component")), "a", "left")
+    full = full.join(sizes.select(F.col("class").alias("b"), "n"), "b").join(names.withColumnRenamed("node", "b"), "b", "left")
+    full = full.withColumn("a_component", F.coalesce("a_component", "a")).withColumn("component", F.coalesce("component", "b"))
+    full = written(full.withColumn("outside", F.col("component") != F.col("a_component")), "differences")
+    mixed = full.groupBy("a").agg(F.max("outside").alias("any"), F.count("*").alias("size")).where("any and size > 1").select("a", F.ceil(F.col("size") / FAMILY).cast("int").alias("cells"))
+    dealt = full.join(mixed, "a").withColumn("cell", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0), F.col("cells") - 1)).otherwise(F.array(F.pmod(F.xxhash64("b"), "cells").cast("int")))))
+    return dealt.drop("cells", "outside").repartition(shares, "a", "cell").mapInArrow(family_links, "a long, b long").distinct()
+
+
+def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components with more links."""
+    if links.isEmpty():
+        return comp
+    return components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
 
 
 def similarity_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -331,26 +391,25 @@ def similarity_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     leads = written(sig.where("n > 0").groupBy("class").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LARGE)).alias("id"), "key")).alias("m"), F.max("n").alias("n")).select("class", "n", F.col("m.id").alias("lead_id"), F.col("m.key").alias("lead_key")), "leads")
     shares = max(parts, int(sketch.sum()) // 4 // TASK_ENTRIES + 1)
     packed = rows.select("text").mapInArrow(entry_writer(sketch, 4 * shares), "bucket int, entries binary")
-    lists = written(packed.repartition(shares, "bucket").mapInArrow(list_reader(4 * shares), "list long, class long, n long, place long, pivot long, pivot_n long"), "lists")
-    pairs = written(lists.where("pivot is not null and pivot <> class").select(F.least("pivot", "class").alias("a"), F.greatest("pivot", "class").alias("b")).distinct(), "pairs")
-    first = compared(pairs, rows, read, leads, "pivot")
-    links = first.where("linked").select("a", "b")
-    comp = written(components(links), "components")
+    lists = written(packed.repartition(shares, "bucket").mapInArrow(list_reader(4 * shares), "list long, class long, n long, place long, pivot long"), "lists")
+    pairs = written(lists.where("pivot <> class").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
+    first = compared(pairs, rows, read, leads, NEAR, "pivot")
+    comp = components(first.where("linked").select("a", "b"))
+    comp = joined(comp, written(from_pivots(first, comp, leads, shares), "family-links"))
     # a list all of whose members are in one component has no pair left
     named = lists.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     named = written(named, "members")
     mixed = named.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("list")
-    known = first.select("a", "b", "lo", "hi")
-    left = named.join(mixed, "list", "left_semi").withColumn("a", F.least("pivot", "class")).withColumn("b", F.greatest("pivot", "class"))
-    left = left.join(known, ["a", "b"], "left")
-    lo, hi = (F.when(F.col("pivot") == F.col("class"), F.col("n")).otherwise(F.col(x)).alias(x) for x in ("lo", "hi"))
-    left = left.select("list", "class", "n", "place", "component", "pivot", lo, hi)
+    known = first.select(F.col("a").alias("pivot"), F.col("b").alias("class"), "lo", "hi", "full")
+    left = named.join(mixed, "list", "left_semi").join(known, ["pivot", "class"], "left")
+    own = F.col("pivot") == F.col("class")
+    lo, hi = (F.when(own, F.col("n")).otherwise(F.col(x)).alias(x) for x in ("lo", "hi"))
+    left = left.select("list", "class", "n", "place", "component", "pivot", lo, hi, F.when(own, True).otherwise(F.col("full")).alias("full"))
     more = left.repartition(shares, hash_bucket(1 << 30, "list")).mapInArrow(crossing_pairs, "a long, b long").distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "crossing")
+    more = written(more, "crossing")
     if not more.isEmpty():
-        second = compared(more, rows, read, leads, "crossing")
-        if not (found := second.where("linked").select("a", "b")).isEmpty():
-            comp = written(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)), "components")
+        second = compared(more, rows, read, leads, NUM, "crossing")
+        comp = joined(comp, second.where("linked").select("a", "b"))
     return sig, leads.join(comp, leads["class"] == comp["node"], "left").select("class", "lead_id", F.coalesce("component", "class").alias("component"))
 
 
