@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, exact_dedup, jaccard_join, line_dedup, mixing, sharding, token_files, warc
+from tidemark.llm import decontamination, exact_dedup, jaccard_join, line_dedup, mixing, preference, sharding, token_files, warc
 from tidemark.llm.common import new_path
 
 
@@ -54,6 +54,14 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op8_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against itself with its last reply swapped with its neighbour's."""
+    pairs = preference.swapped_replies(preference.conversations(table(spark, sf_dir, "conversations")))
+    out = preference.preference_pairs(pairs)
+    flat = lambda mask: F.array_join(F.transform(mask, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
+    return out.select("conv_id", F.col("prompt_turns").cast("long").alias("prompt_turns"), "prompt", "chosen_text", "rejected_text", flat("chosen_mask").alias("chosen_mask"), flat("rejected_mask").alias("rejected_mask"))
+
+
 def op9_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -63,7 +71,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op3_exact_dedup, op4_mix_sources, op5_warc_index, op6_line_dedup, op7_token_files, op9_shard_ring, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op2_decontaminate, op3_exact_dedup, op4_mix_sources, op5_warc_index, op6_line_dedup, op7_token_files, op8_preference_pairs, op9_shard_ring, op10_ngram_jaccard_join)}
 
 
 OP3_SQL = r"""
@@ -112,5 +120,36 @@ FROM d
 """
 
 
+OP8_SQL = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations),
+e AS (SELECT conv_id, max(k) FILTER (role = 'assistant') AS last FROM t GROUP BY conv_id),
+reply AS (SELECT t.conv_id, t.role, t.text FROM t JOIN e ON t.conv_id = e.conv_id AND t.k = e.last),
+sides AS (
+  SELECT 'c' AS side, t.* FROM t JOIN e USING (conv_id) WHERE k <= coalesce(last, k)
+  UNION ALL SELECT 'r', t.* FROM t JOIN e USING (conv_id) WHERE last IS NULL OR k < last
+  UNION ALL SELECT 'r', e.conv_id, e.last, r.role, r.text FROM e JOIN reply r ON r.conv_id = xor(e.conv_id, 1) WHERE e.last IS NOT NULL),
+c AS (SELECT * FROM sides WHERE side = 'c'), r AS (SELECT * FROM sides WHERE side = 'r'),
+n AS (
+  SELECT conv_id, coalesce(min(k) FILTER (NOT same), max(k) + 1) - 1 AS common FROM (
+    SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.k, r.k) AS k,
+           coalesce(c.role = r.role AND c.text = r.text, false) AS same
+    FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.k = r.k) GROUP BY conv_id),
+p AS (
+  SELECT s.*, common, '<|' || replace(role, '<|', '< |') || '|>' || chr(10) AS head, replace(text, '<|', '< |') || '<|end|>' || chr(10) AS tail
+  FROM sides s JOIN n USING (conv_id)),
+o AS (SELECT *, coalesce(sum(length(head) + length(tail)) FILTER (k > common) OVER (PARTITION BY conv_id, side ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM p)
+SELECT conv_id, CAST(any_value(common) AS BIGINT) AS prompt_turns,
+       coalesce(string_agg(head || tail, '' ORDER BY k) FILTER (side = 'c' AND k <= common), '') AS prompt,
+       coalesce(string_agg(head || tail, '' ORDER BY k) FILTER (side = 'c' AND k > common), '') AS chosen_text,
+       coalesce(string_agg(head || tail, '' ORDER BY k) FILTER (side = 'r' AND k > common), '') AS rejected_text,
+       coalesce(string_agg((pos + length(head)) || '-' || (pos + length(head) + length(tail) - 1), ',' ORDER BY k) FILTER (side = 'c' AND k > common AND role = 'assistant'), '') AS chosen_mask,
+       coalesce(string_agg((pos + length(head)) || '-' || (pos + length(head) + length(tail) - 1), ',' ORDER BY k) FILTER (side = 'r' AND k > common AND role = 'assistant'), '') AS rejected_mask
+FROM o GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_warc_index": OP5_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_warc_index": OP5_SQL, "op8_preference_pairs": OP8_SQL}
