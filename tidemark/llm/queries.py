@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, exact_dedup, jaccard_join, line_dedup, mixing, preference, sharding, token_files, warc
+from tidemark.llm import decontamination, exact_dedup, jaccard_join, language_id, line_dedup, mixing, preference, sharding, token_files, warc
 from tidemark.llm.common import new_path
 
 
@@ -15,6 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and every page with its language; the model is fitted on labelled documents."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    none = F.lit(None).cast("long")
+    rows = language_id.of_documents(docs).drop("key").withColumn("page_id", none).unionByName(language_id.of_pages(pages).withColumn("doc_id", none))
+    return language_id.identify(rows, ["doc_id", "page_id"], language_id.fit(docs))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contaminated documents, with the item and how many of its windows they hold."""
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
@@ -71,7 +79,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op3_exact_dedup, op4_mix_sources, op5_warc_index, op6_line_dedup, op7_token_files, op8_preference_pairs, op9_shard_ring, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_exact_dedup, op4_mix_sources, op5_warc_index, op6_line_dedup, op7_token_files, op8_preference_pairs, op9_shard_ring, op10_ngram_jaccard_join)}
 
 
 OP3_SQL = r"""
