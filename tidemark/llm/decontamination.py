@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import lookup, written
 
 #: Tokens of a window. An item of fewer tokens is one window of all of them.
 WINDOW = 8
@@ -142,5 +142,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no window of the benchmark, with all their columns."""
-    bad = contaminated(docs, benchmark).select(F.col("key").alias("__bad")).distinct()
-    return docs.join(bad, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")) == F.col("__bad"), "left_anti")
+    bad = written(contaminated(docs, benchmark).select(F.col("key").alias("__key")).distinct(), "contaminated")
+    marked = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    return lookup(marked, bad, "__key", F.col("doc_id"), salts=1, how="left_anti").drop("__key")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import hash_bucket, written
+from tidemark.llm.common import hash_bucket, lookup, written
 from tidemark.llm.graph import components
 from tidemark.llm.textsets import class_of, shingles, words_of
 
@@ -413,7 +413,7 @@ def similarity_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sig, leads.join(comp, leads["class"] == comp["node"], "left").select("class", "lead_id", F.coalesce("component", "class").alias("component"))
 
 
-def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, with_key: bool = False) -> DataFrame:
     """Every row of docs (doc_id, text, ...) with the size of its shingle set and its component of similar documents.
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included). Texts without
@@ -425,11 +425,16 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     least = named.groupBy("component").agg(F.min("lead_id").alias("component_id"))
     of = written(named.join(least, "component").select(F.col("class").alias("of_class"), F.when(F.col("component_id") < LARGE, F.col("component_id")).alias("component_id")), "component-ids")
     out = sig.join(of, F.when(F.col("n") > 0, F.col("class")) == F.col("of_class"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    key = ["key"] if with_key else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *key)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that name their component; rows without an id stay if their component has no id at all."""
-    named = ngram_jaccard_join(docs.select("doc_id", "text"))
-    keep = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of docs that name their component, with all their columns.
+
+    Rows without an id stay if their component has no id at all; rows alike in id and text share their fate.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    named = ngram_jaccard_join(docs.select("doc_id", "text"), with_key=True)
+    gone = written(named.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("__key")).distinct(), "similar")
+    return lookup(keyed, gone, "__key", F.col("doc_id"), salts=1, how="left_anti").drop("__key")
