@@ -29,8 +29,9 @@ from tidemark.llm.textsets import class_of, shingles, words_of
 #: The similarity as a fraction in whole numbers.
 NUM, DEN = 75, 100
 
-#: Counters of the shingle counts; more of them tell frequent from usual shingles more finely, and never change a result.
-SKETCH_BITS, SLICE_BITS = 22, 16
+#: Shingles are counted in 2**bits counters, from so many bits on to so many, about one for each four shingles. More of
+#: them tell frequent from usual shingles more finely; they never change a result.
+SKETCH_BITS, SLICE_BITS = (18, 26), 16
 #: Index entries that a task of the list stage is meant to hold.
 TASK_ENTRIES = 600_000
 BLOCK = 64
@@ -73,38 +74,47 @@ def apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(np.bitwise_xor.reduce(one.reshape(-1, len(two)), axis=0) ^ two).sum())
 
 
-def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key, text) to (doc_id, key, n, class, mark), and at the end this task's shingle counts by hash, in slices."""
+def set_counter(bits: int):
+    """A function from (doc_id, key, text) to (doc_id, key, n, class, mark), and at the end the task's counts by hash, in slices."""
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("mark", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
-    counts, bits = np.zeros(1 << SKETCH_BITS, np.uint32), np.uint64((1 << SKETCH_BITS) - 1)
-    for batch in batches:
-        sets = [shingles(w) for w in words_of(batch.column(2))]
-        for s in sets:
-            counts[s & bits] += 1  # two shingles of a text in one counter count once; the order needs no more
-        n = len(sets)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([mark_of(s) for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
-    parts = counts.reshape(-1, 1 << SLICE_BITS)
-    k = len(parts)
-    if counts.any():
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 4 + [pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], schema=schema)
-
-
-def summed_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            total[k] = np.frombuffer(zlib.decompress(raw), np.uint32) + total.get(k, np.uint64(0))
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"])
+
+    def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, low = np.zeros(1 << bits, np.uint8), np.uint64((1 << bits) - 1)
+        for batch in batches:
+            sets = [shingles(w) for w in words_of(batch.column(2))]
+            for s in sets:
+                at = s & low
+                counts[at] += counts[at] < 255  # two shingles of a text in one counter count once; the order needs no more
+            n = len(sets)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([mark_of(s) for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+        if counts.any():
+            for k, part in enumerate(counts.reshape(-1, 1 << SLICE_BITS)):
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], schema=schema)
+
+    return read_sets
+
+
+def leveller(usual: float):
+    """A function from slices of counts to how frequent their shingles are: 0 up to the usual count, then in powers of two."""
+
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[k] = np.frombuffer(zlib.decompress(raw), np.uint8) + total.get(k, np.uint32(0))
+        for k, x in total.items():
+            level = np.maximum(np.log2(np.maximum(x, 1) / usual), 0).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(level.tobytes(), 1)], pa.binary())], names=["slice", "levels"])
+
+    return levels
 
 
-def entry_writer(sketch: np.ndarray, buckets: int):
+def entry_writer(slices: dict[int, bytes], bits: int, buckets: int):
     """A function from (text) to index entries, packed by list bucket: tokens, classes, sizes, positions."""
-    usual = 2 * int(sketch.mean()) + 8
-    bits = np.uint64((1 << SKETCH_BITS) - 1)
-    level = np.maximum(np.log2(np.maximum(sketch, 1) / usual), 0).astype(np.int8)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, empty = np.uint64((1 << bits) - 1), bytes(1 << SLICE_BITS)
+        level = np.frombuffer(b"".join(zlib.decompress(slices[k]) if k in slices else empty for k in range(1 << (bits - SLICE_BITS))), np.int8)
         seen: set[int] = set()
         tokens, classes, sizes, places, held = [], [], [], [], 0
 
@@ -125,7 +135,7 @@ def entry_writer(sketch: np.ndarray, buckets: int):
                 if not n or (c := class_of(s)) in seen:
                     continue
                 seen.add(c)
-                rank = level[s & bits]
+                rank = level[s & low]
                 if rank.any():
                     s = s[np.argsort(rank, kind="stable")]
                 tokens.append(s[: probe_length(n)])
@@ -381,16 +391,17 @@ def similarity_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    read = written(rows.mapInArrow(read_sets, "doc_id long, key long, n long, class long, mark binary, slice int, counts binary"), "sets")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    bits = min(max((size // 24).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+    read = written(rows.mapInArrow(set_counter(bits), "doc_id long, key long, n long, class long, mark binary, slice int, counts binary"), "sets")
     sig = read.where("slice is null").select("doc_id", "key", "n", "class")
-    slices = read.where("slice is not null").select("slice", "counts").repartition(1 << (SKETCH_BITS - SLICE_BITS), "slice").mapInArrow(summed_slices, "slice int, counts binary")
-    sketch = np.zeros((1 << (SKETCH_BITS - SLICE_BITS), 1 << SLICE_BITS), np.uint64)
-    for r in slices.collect():  # 1 << SKETCH_BITS numbers, whatever the input
-        sketch[r["slice"]] = np.frombuffer(r["counts"], np.uint64)
-    sketch = sketch.ravel()
+    total = sig.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    mean = total / (1 << bits)
+    slices = read.where("slice is not null").select("slice", "counts").repartition(parts, "slice").mapInArrow(leveller(mean + 4 * mean**0.5 + 4), "slice int, levels binary")
+    levels = {r["slice"]: bytes(r["levels"]) for r in slices.collect()}  # 2**bits small numbers at most, nearly all 0
     leads = written(sig.where("n > 0").groupBy("class").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LARGE)).alias("id"), "key")).alias("m"), F.max("n").alias("n")).select("class", "n", F.col("m.id").alias("lead_id"), F.col("m.key").alias("lead_key")), "leads")
-    shares = max(parts, int(sketch.sum()) // 4 // TASK_ENTRIES + 1)
-    packed = rows.select("text").mapInArrow(entry_writer(sketch, 4 * shares), "bucket int, entries binary")
+    shares = max(parts, total // 4 // TASK_ENTRIES + 1)
+    packed = rows.select("text").mapInArrow(entry_writer(levels, bits, 4 * shares), "bucket int, entries binary")
     lists = written(packed.repartition(shares, "bucket").mapInArrow(list_reader(4 * shares), "list long, class long, n long, place long, pivot long"), "lists")
     pairs = written(lists.where("pivot <> class").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
     first = compared(pairs, rows, read, leads, NEAR, "pivot")
