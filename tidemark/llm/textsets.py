@@ -14,6 +14,8 @@ WIDTH = 5
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+PLAIN = np.zeros(256, bool)
+PLAIN[65:91] = PLAIN[97:123] = True
 LOWER = np.arange(256, dtype=np.uint64) + 1
 LOWER[65:91] += 32
 
@@ -33,36 +35,56 @@ def powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words in data, lower-cased in A-Z, and for each cut how many words begin before it. No word spans a cut."""
+def word_spans(data: np.ndarray, cuts: np.ndarray, stops: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and hashes of the words in data, lower-cased in A-Z. No word spans a cut.
+
+    With `stops`, a point or comma between an ASCII letter and white space is a word of its own.
+    """
     inside = ~SPACE[data]
     inner = cuts[(cuts > 0) & (cuts < len(data))]
     before = np.empty_like(inside)
     before[:1] = False
     before[1:] = inside[:-1]
     before[inner] = False
+    if stops:
+        stop = np.flatnonzero((data == 46) | (data == 44))
+        stop = stop[(stop > 0) & (stop + 1 < len(data))]
+        stop = stop[SPACE[data[stop + 1]] & before[stop] & PLAIN[data[stop - 1]]]
+        before[stop] = False
     starts = np.flatnonzero(inside & ~before)
     if not len(starts):
-        return np.empty(0, np.uint64), np.zeros(len(cuts), np.int64)
-    where = np.arange(len(data), dtype=np.int64)
+        return starts, starts, np.empty(0, np.uint64)
     spans = np.diff(np.append(starts, len(data)))
-    place = where[starts[0] :] - np.repeat(starts, spans)
+    place = np.arange(starts[0], len(data), dtype=np.int32) - np.repeat(starts.astype(np.int32), spans)
     part = LOWER[data[starts[0] :]]
     part *= powers(int(spans.max()))[place]
     part[~inside[starts[0] :]] = 0
-    return scrambled(np.add.reduceat(part, starts - starts[0])), np.searchsorted(starts, cuts)
+    lengths = np.add.reduceat(inside[starts[0] :], starts - starts[0], dtype=np.int64)
+    return starts, lengths, scrambled(np.add.reduceat(part, starts - starts[0]))
+
+
+def word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words in data, lower-cased in A-Z, and for each cut how many words begin before it."""
+    starts, _, hashes = word_spans(data, cuts)
+    return hashes, np.searchsorted(starts, cuts)
+
+
+def breaks(data: np.ndarray, step: int) -> list[int]:
+    """Where a long text can be cut at white space into pieces of about `step` bytes; begins with 0 and ends with its length."""
+    out = [0]
+    while out[-1] < len(data):
+        end = min(out[-1] + step, len(data))
+        while end < len(data) and not SPACE[data[end]]:  # on to the next white space, in steps
+            ahead = np.flatnonzero(SPACE[data[end : end + step]])
+            end = end + int(ahead[0]) if len(ahead) else min(end + step, len(data))
+        out.append(end)
+    return out
 
 
 def long_words(data: np.ndarray) -> np.ndarray:
     """word_hashes of one text, piece by piece."""
-    out, at = [], 0
-    while at < len(data):
-        end = min(at + PIECE, len(data))
-        while end < len(data) and not SPACE[data[end]]:  # on to the next white space, in steps
-            ahead = np.flatnonzero(SPACE[data[end : end + PIECE]])
-            end = end + int(ahead[0]) if len(ahead) else min(end + PIECE, len(data))
-        out.append(word_hashes(data[at:end], np.empty(0, np.int64))[0])
-        at = end
+    at = breaks(data, PIECE)
+    out = [word_hashes(data[a:b], np.empty(0, np.int64))[0] for a, b in zip(at[:-1], at[1:], strict=True)]
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 

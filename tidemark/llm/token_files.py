@@ -22,26 +22,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.common import new_path, ranked, written
+from tidemark.llm.textsets import SPACE, breaks, word_spans
 
 LENGTH = 2048
 FILE_BYTES = 8 << 20
-#: Words whose ids a worker keeps; beyond, it starts anew.
+#: Beyond so many words a worker starts a new table of ids and keeps the last one beside it.
 CACHE_WORDS = 600_000
-STEP_BYTES = 1 << 20
-BATCH_ROWS = 256
+STEP_BYTES = 4 << 20
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
+
+
+def unicode_word(raw: bytes) -> bool:
+    """Is the word of lower-case Latin letters that no normalisation changes?"""
+    text = raw.decode()
+    return text.isalpha() and text == text.lower() and max(text) < "\u0250"
 
 
 class WordIds:
     """Ids of texts by a tokenizer that drops white space, worked out once for each word.
 
-    That is sound where the tokenizer splits at white space and marks the end of each piece within: the ids of a text
-    are then those of its words in a row. `end_mark` is the suffix that marks a piece's last token.
+    That is sound where the tokenizer ignores the case of A-Z, splits at white space and between letters and points, and
+    marks the end of each piece within: the ids of a text are then those of its words in a row. `end_mark` is the suffix that marks a piece's last token.
     """
 
     def __init__(self, path: str, end_mark: str = "</w>"):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        # for lower-case words of letters its normaliser and patterns change nothing
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tok.get_vocab()
         size = max(vocab.values()) + 1
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
@@ -51,9 +63,7 @@ class WordIds:
         for i, t in self.tok.get_added_tokens_decoder().items():
             self.last[i] = t.special or self.last[i]
         self.ids: dict[bytes, bytes] = {}
-        self.stops: dict[int, bytes] = {}
-        self.one_by_one([b".", b","])
-        self.stops = {w[0]: self.ids[w] for w in (b".", b",")}
+        self.old: dict[bytes, bytes] = {}
 
     def one_by_one(self, words: list[bytes]) -> None:
         e = self.tok.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
@@ -63,45 +73,71 @@ class WordIds:
             self.ids[w], a = raw[a:b], b
 
     def learn(self, words: list[bytes]) -> None:
-        """Words of letters alone, perhaps with a stop behind, are one piece each and encoded in one go."""
-        ids, stops = self.ids, self.stops
-        bases, tails, hard = set(), [], []
-        for w in words:
-            low = w.lower()
-            base = low[:-1] if low[-1] in stops else low
-            if base.decode().isalpha():
-                tails.append((w, base, 0 if base is low else low[-1]))
-                if base not in ids:
-                    bases.add(base)
-            else:
-                hard.append(w)
-        if bases:
-            bases = list(bases)
-            found = np.array(self.tok.encode_batch_fast([b" ".join(bases).decode()], add_special_tokens=False)[0].ids, self.dtype)
+        """Lower-case words of letters alone are one piece each and encoded in one go."""
+        plain = [w for w in words if w.isalpha() or unicode_word(w)]
+        if plain:
+            found = np.array(self.plain.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, self.dtype)
             ends = (np.flatnonzero(self.last[found]) + 1) * self.dtype.itemsize
-            if len(ends) == len(bases):
+            if len(ends) == len(plain):
                 raw, a = found.tobytes(), 0
-                for w, b in zip(bases, ends.tolist(), strict=True):
-                    ids[w], a = raw[a:b], b
-            else:
-                self.one_by_one(bases)
-        for w, base, stop in tails:
-            ids[w] = ids[base] + stops[stop] if stop else ids[base]
-        if hard:
+                for w, b in zip(plain, ends.tolist(), strict=True):
+                    self.ids[w], a = raw[a:b], b
+        if hard := [w for w in words if w not in self.ids]:
             self.one_by_one(hard)
 
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text as little-endian bytes. One text's words are looked up in steps, whatever its length."""
-        for a in range(0, len(texts), BATCH_ROWS):
-            words = [t.split() for t in texts[a : a + BATCH_ROWS]]
-            if len(self.ids) > CACHE_WORDS:
-                self.ids = {}
-            new = set().union(*words).difference(self.ids)
+    def ids_of(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts that the cuts make of data, in a row, and where each text's begin.
+
+        Words are told apart by hashes of their bytes; then every word's bytes are held against those of the first with
+        its hash. Each different word is looked up once.
+        """
+        starts, lengths, hashes = word_spans(data, cuts, stops=True)
+        if not len(starts):
+            return np.empty(0, self.dtype), np.zeros(len(cuts), np.int64)
+        low = FOLD[data]
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        lead = starts[first][which]
+        shift = np.repeat((lead - starts).astype(np.int32), lengths)
+        at = np.flatnonzero(~SPACE[low])
+        if (lengths != lengths[first][which]).any() or (low[at] != low[at + shift]).any():
+            first = which = np.arange(len(starts))  # two words of one hash: look every word up
+        raw = low.tobytes()
+        words = [raw[a:b] for a, b in zip(starts[first].tolist(), (starts[first] + lengths[first]).tolist(), strict=True)]
+        if len(self.ids) > CACHE_WORDS:
+            self.old, self.ids = self.ids, {}
+        found = list(map(self.ids.get, words))
+        if None in found:
+            new = [w for w, x in zip(words, found, strict=True) if x is None]
+            if self.old:
+                self.ids.update((w, x) for w in new if (x := self.old.get(w)) is not None)
+                new = [w for w in new if w not in self.ids]
             if new:
-                self.learn(list(new))
-            get = self.ids.__getitem__
-            for w in words:
-                yield b"".join(map(get, w))
+                self.learn(new)
+            found = [self.ids[w] if x is None else x for w, x in zip(words, found, strict=True)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        pool, offsets = np.frombuffer(b"".join(found), self.dtype), np.cumsum(sizes) - sizes
+        sizes, offsets = sizes[which], offsets[which]
+        ends = np.cumsum(sizes)
+        ids = pool[np.repeat((offsets - ends + sizes).astype(np.int32), sizes) + np.arange(ends[-1], dtype=np.int32)]
+        return ids, np.append(0, ends)[np.searchsorted(starts, cuts)]
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of an Arrow array, null as empty; whole texts, the long ones piece by piece."""
+        texts = texts.cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        i = 0
+        while i < len(texts):
+            j = min(max(int(np.searchsorted(offsets, offsets[i] + STEP_BYTES, "right")) - 1, i + 1), len(texts))
+            part, cuts = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            if j == i + 1 and len(part) > STEP_BYTES:
+                at = breaks(part, STEP_BYTES)
+                yield np.concatenate([self.ids_of(part[a:b], np.empty(0, np.int64))[0] for a, b in zip(at[:-1], at[1:], strict=True)])
+            else:
+                ids, begins = self.ids_of(part, cuts)
+                for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+                    yield ids[a:b]
+            i = j
 
 
 def file_of(docs: list[tuple[int | None, np.ndarray]], place: tuple[int, int], length: int, dtype: np.dtype) -> bytes:
@@ -142,15 +178,12 @@ def file_writer(path: str, end_id: int, length: int, file_bytes: int):
         end = np.array([end_id], words.dtype)
         held, size = [], 0
         for batch in batches:
-            for a in range(0, batch.num_rows, BATCH_ROWS):
-                some = batch.slice(a, BATCH_ROWS)
-                texts = [t or b"" for t in some.column(1).cast(pa.binary()).to_pylist()]
-                for doc, raw in zip(some.column(0).to_pylist(), words.encode(texts), strict=True):
-                    held.append((doc, np.concatenate((np.frombuffer(raw, words.dtype), end))))
-                    size += len(raw)
-                    if size >= file_bytes:
-                        yield pa.RecordBatch.from_arrays([pa.array([file_of(held, (part, k), length, words.dtype)[:-1]], pa.binary())], names=["file"])
-                        held, size, k = [], 0, k + 1
+            for doc, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1)), strict=True):
+                held.append((doc, np.append(ids, end)))
+                size += ids.nbytes
+                if size >= file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([file_of(held, (part, k), length, words.dtype)[:-1]], pa.binary())], names=["file"])
+                    held, size, k = [], 0, k + 1
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([file_of(held, (part, k), length, words.dtype)[:-1]], pa.binary())], names=["file"])
 
