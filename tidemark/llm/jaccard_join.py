@@ -160,8 +160,8 @@ def close(n1, p1, n2, p2):
 
 
 def list_reader(buckets: int):
-    """Packed entries of whole buckets to the lists' members (list, class, n, place, pivot) and pairs (pivot, class)."""
-    schema = pa.schema([("list", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("place", pa.int64()), ("pivot", pa.int64())])
+    """Packed entries of whole buckets to the lists' members (list, class, n, place, pivot, and how many members it has)."""
+    schema = pa.schema([("list", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("place", pa.int64()), ("pivot", pa.int64()), ("members", pa.int64())])
 
     def members(bucket: int, rows: list[bytes]) -> Iterator[pa.RecordBatch]:
         cols = [[], [], [], []]
@@ -197,7 +197,7 @@ def list_reader(buckets: int):
         all_c = c
         t, c, n, p = t[stay], c[stay], n[stay], p[stay]
         lists = (np.int64(bucket) << 32) | t.astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(lists), pa.array(c), pa.array(n), pa.array(p), pa.array(all_c[pivot[stay]])], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(lists), pa.array(c), pa.array(n), pa.array(p), pa.array(all_c[pivot[stay]]), pa.array(np.repeat(np.diff(at), np.diff(at))[stay])], schema=schema)
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
@@ -258,14 +258,15 @@ def row_filter(keys: DataFrame) -> np.ndarray:
 
 
 def set_reader(among: np.ndarray):
-    """A function from (key, text) to (key, set), for the rows that pass the filter."""
+    """A function from (key, text) to (class, set), for the rows that pass the filter; a few others pass with them."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = batch.column(0).to_numpy()
             hit = (among[(key & ((1 << FILTER_BITS) - 1)) >> 6] >> (key & 63)) & 1 == 1
             batch = batch.filter(pa.array(hit))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(w).tobytes() for w in words_of(batch.column(1))], pa.binary())], names=["set_key", "set"])
+            found = [shingles(w) for w in words_of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["class", "set"])
 
     return sets
 
@@ -287,9 +288,9 @@ def bounder(num: int):
 
 
 def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, set of a, set of b) to (a, b, shared, linked, lacks, extra): which elements of a's b lacks, as bits, and what it has beside them."""
+    """(a, b, set of a, set of b) to (a, b, shared, linked, a_n, n, lacks, extra): which elements of a's b lacks, as bits, and what it has beside them."""
     for batch in batches:
-        shared, linked, lacks, extra = [], [], [], []
+        shared, linked, sizes, lacks, extra = [], [], [], [], []
         for a, b in zip(batch.column(2), batch.column(3), strict=True):
             left, right = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
             at = np.searchsorted(left, right)
@@ -299,10 +300,11 @@ def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             missing[at[same]] = 0
             k = int(same.sum())
             shared.append(k)
+            sizes.append((len(left), len(right)))
             linked.append(DEN * k >= NUM * (len(left) + len(right) - k))
             lacks.append(np.packbits(missing).tobytes())
             extra.append(right[~same].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_()), pa.array(lacks, pa.binary()), pa.array(extra, pa.binary())], names=["a", "b", "shared", "linked", "lacks", "extra"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_()), pa.array([x[0] for x in sizes], pa.int64()), pa.array([x[1] for x in sizes], pa.int64()), pa.array(lacks, pa.binary()), pa.array(extra, pa.binary())], names=["a", "b", "shared", "linked", "a_n", "n", "lacks", "extra"])
 
 
 def family_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +337,7 @@ def family_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def compared(pairs: DataFrame, rows: DataFrame, read: DataFrame, leads: DataFrame, num: int, name: str) -> DataFrame:
-    """Pairs of classes (a, b) to (a, b, lo, hi, full, linked, lacks, extra): bounds of their overlap.
+    """Pairs of classes (a, b) to (a, b, lo, hi, full, linked, a_n, n, lacks, extra): bounds of their overlap.
 
     The whole sets are compared (full, lo = hi) where their similarity may be num hundredths or more.
     """
@@ -350,32 +352,36 @@ def compared(pairs: DataFrame, rows: DataFrame, read: DataFrame, leads: DataFram
     bounds = written(bounds, f"{name}-bounds")
     open_pairs = bounds.where("hi is null").select("a", "b")
     wanted = of(open_pairs)
-    sets = rows.select("key", "text").mapInArrow(set_reader(row_filter(wanted)), "set_key long, set binary")
-    sets = written(sets.join(wanted, F.col("set_key") == F.col("key")).select("class", "set"), f"{name}-sets")
-    if sets.count() > wanted.count():  # rows alike in id and text
+    sets = written(rows.select("key", "text").mapInArrow(set_reader(row_filter(wanted)), "class long, set binary"), f"{name}-sets")
+    if sets.count() > sets.select("class").distinct().count():  # rows alike in id and text
         sets = sets.dropDuplicates(["class"])
     one, two = (sets.select(F.col("class").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-    full = open_pairs.join(two, "b").join(one, "a").select("a", "b", "set_a", "set_b").mapInArrow(overlaps, "a long, b long, shared long, linked boolean, lacks binary, extra binary")
-    full = full.select("a", "b", F.col("shared").alias("lo"), F.col("shared").alias("hi"), F.lit(True).alias("full"), "linked", "lacks", "extra")
-    none = F.lit(None).cast("binary")
-    return written(bounds.where("hi is not null").select("a", "b", F.lit(0).cast("long").alias("lo"), "hi", F.lit(False).alias("full"), F.lit(False).alias("linked"), none.alias("lacks"), none.alias("extra")).union(full), f"{name}-overlaps")
+    full = open_pairs.join(two, "b").join(one, "a").select("a", "b", "set_a", "set_b").mapInArrow(overlaps, "a long, b long, shared long, linked boolean, a_n long, n long, lacks binary, extra binary")
+    full = full.select("a", "b", F.col("shared").alias("lo"), F.col("shared").alias("hi"), F.lit(True).alias("full"), "linked", "a_n", "n", "lacks", "extra")
+    none, zero = F.lit(None).cast("binary"), F.lit(0).cast("long")
+    return written(bounds.where("hi is not null").select("a", "b", F.lit(0).cast("long").alias("lo"), "hi", F.lit(False).alias("full"), F.lit(False).alias("linked"), zero.alias("a_n"), zero.alias("n"), none.alias("lacks"), none.alias("extra")).union(full), f"{name}-overlaps")
 
 
-def from_pivots(first: DataFrame, comp: DataFrame, leads: DataFrame, shares: int) -> DataFrame:
+def placed(first: DataFrame, comp: DataFrame) -> DataFrame:
+    """Compared pairs (a, b) with the components of both."""
+    pairs = first.select("a", "b", "lo", "hi", "full")
+    for x in "ab":
+        pairs = pairs.join(comp.select(F.col("node").alias(x), F.col("component").alias(f"{x}_component")), x, "left")
+    return written(pairs.withColumns({f"{x}_component": F.coalesce(f"{x}_component", x) for x in "ab"}), "placed")
+
+
+def from_pivots(first: DataFrame, pairs: DataFrame, shares: int) -> DataFrame:
     """Links of sets outside their pivot's component with others that were compared with the same pivot.
 
     A large family is dealt over cells: each has a part of the pivot's component, and all that stand outside.
     """
-    names = comp.select("node", "component")
-    sizes = leads.select("class", "n")
-    full = first.where("full").select("a", "b", "lacks", "extra")
-    full = full.join(sizes.select(F.col("class").alias("a"), F.col("n").alias("a_n")), "a").join(names.select(F.col("node").alias("a"), F.col("component").alias("a_component")), "a", "left")
-    full = full.join(sizes.select(F.col("class").alias("b"), "n"), "b").join(names.withColumnRenamed("node", "b"), "b", "left")
-    full = full.withColumn("a_component", F.coalesce("a_component", "a")).withColumn("component", F.coalesce("component", "b"))
-    full = written(full.withColumn("outside", F.col("component") != F.col("a_component")), "differences")
-    mixed = full.groupBy("a").agg(F.max("outside").alias("any"), F.count("*").alias("size")).where("any and size > 1").select("a", F.ceil(F.col("size") / FAMILY).cast("int").alias("cells"))
-    dealt = full.join(mixed, "a").withColumn("cell", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0), F.col("cells") - 1)).otherwise(F.array(F.pmod(F.xxhash64("b"), "cells").cast("int")))))
-    return dealt.drop("cells", "outside").repartition(shares, "a", "cell").mapInArrow(family_links, "a long, b long").distinct()
+    pairs = pairs.where("full").withColumn("outside", F.col("b_component") != F.col("a_component"))
+    mixed = pairs.groupBy("a").agg(F.max("outside").alias("any"), F.count("*").alias("size")).where("any and size > 1").select("a", F.ceil(F.col("size") / FAMILY).cast("int").alias("cells"))
+    narrow = written(pairs.join(mixed, "a").select("a", "b", F.col("b_component").alias("component"), "a_component", "outside", "cells"), "families")
+    wide = first.where("full").select("a", "b", "a_n", "n", "lacks", "extra").join(narrow, ["a", "b"])
+    cell = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("cells") - 1)).otherwise(F.array(F.pmod(F.xxhash64("b"), "cells").cast("int")))
+    dealt = wide.withColumn("cell", F.explode(cell)).drop("cells", "outside")
+    return dealt.repartition(shares, "a", "cell").mapInArrow(family_links, "a long, b long").distinct()
 
 
 def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -402,17 +408,20 @@ def similarity_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     leads = written(sig.where("n > 0").groupBy("class").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LARGE)).alias("id"), "key")).alias("m"), F.max("n").alias("n")).select("class", "n", F.col("m.id").alias("lead_id"), F.col("m.key").alias("lead_key")), "leads")
     shares = max(parts, total // 4 // TASK_ENTRIES + 1)
     packed = rows.select("text").mapInArrow(entry_writer(levels, bits, 4 * shares), "bucket int, entries binary")
-    lists = written(packed.repartition(shares, "bucket").mapInArrow(list_reader(4 * shares), "list long, class long, n long, place long, pivot long"), "lists")
+    lists = written(packed.repartition(shares, "bucket").mapInArrow(list_reader(4 * shares), "list long, class long, n long, place long, pivot long, members long"), "lists")
     pairs = written(lists.where("pivot <> class").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
     first = compared(pairs, rows, read, leads, NEAR, "pivot")
     comp = components(first.where("linked").select("a", "b"))
-    comp = joined(comp, written(from_pivots(first, comp, leads, shares), "family-links"))
-    # a list all of whose members are in one component has no pair left
-    named = lists.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    named = written(named, "members")
-    mixed = named.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("list")
-    known = first.select(F.col("a").alias("pivot"), F.col("b").alias("class"), "lo", "hi", "full")
-    left = named.join(mixed, "list", "left_semi").join(known, ["pivot", "class"], "left")
+    near = placed(first, comp)
+    found = written(from_pivots(first, near, shares), "family-links")
+    if not found.isEmpty():
+        comp = joined(comp, found)
+        near = placed(first, comp)
+    # a list of two has no pair but that of its pivot
+    of = near.select(F.col("a").alias("pivot"), F.col("b").alias("class"), "lo", "hi", "full", F.col("b_component").alias("component"))
+    pivots = near.select(F.col("a").alias("pivot"), F.col("a").alias("class"), F.col("a_component").alias("component")).distinct()
+    of = of.unionByName(pivots, allowMissingColumns=True)
+    left = lists.where("members > 2").drop("members").join(of, ["pivot", "class"])
     own = F.col("pivot") == F.col("class")
     lo, hi = (F.when(own, F.col("n")).otherwise(F.col(x)).alias(x) for x in ("lo", "hi"))
     left = left.select("list", "class", "n", "place", "component", "pivot", lo, hi, F.when(own, True).otherwise(F.col("full")).alias("full"))
