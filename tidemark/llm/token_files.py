@@ -27,8 +27,8 @@ from tidemark.llm.textsets import SPACE, breaks, word_spans
 LENGTH = 2048
 FILE_BYTES = 8 << 20
 #: Beyond so many words a worker starts a new table of ids and keeps the last one beside it.
-CACHE_WORDS = 600_000
-STEP_BYTES = 4 << 20
+CACHE_WORDS = 250_000
+STEP_BYTES = 1 << 20
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
