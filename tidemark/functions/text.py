@@ -16,6 +16,9 @@ Text = Column | str
 CHAPTER = r"\((\d{1,2}):(\d{2})(?::(\d{2}))?\)\s*([^<]+?)(?=</p>|<p>|\s*\(\d)"
 MARKER = r"\[(\d+)\]"
 
+# Zone names of RFC 822 by offset.
+ZONES = {"GMT|UTC|UT|Z": "+0000", "EDT": "-0400", "EST|CDT": "-0500", "CST|MDT": "-0600", "MST|PDT": "-0700", "PST": "-0800"}
+
 
 def col(c: Text) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -176,7 +179,10 @@ def cache_key(query: Text, version: str, speaker: Column | None = None, mode: Co
 
 def rss_date(c: Text) -> Column:
     """The UTC date of an RFC 822 date, null where it cannot be read."""
-    return F.to_date(F.try_to_timestamp(F.regexp_replace(col(c), r"^\s*[A-Za-z]{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z")))
+    t = F.regexp_replace(trimmed(c), r"^[A-Za-z]{3},\s*", "")
+    for names, offset in ZONES.items():
+        t = F.regexp_replace(t, rf" (?:{names})$", f" {offset}")
+    return F.to_date(F.try_to_timestamp(t, F.lit("d MMM yyyy HH:mm:ss Z")))
 
 
 def confidence(n: Text) -> Column:

@@ -17,7 +17,7 @@ def captions(spark: SparkSession, folder: str, suffix: str = ".en.json3") -> Dat
     """(video_id, events) of every caption file; the id is the file's name, and files that cannot be read are left out."""
     rows = spark.read.schema(schemas.EVENTS).option("multiLine", True).option("pathGlobFilter", f"*{suffix}").json(folder)
     name = F.replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), F.lit(suffix), F.lit(""))
-    return rows.select(name.alias("video_id"), "events", "_corrupt_record").where("_corrupt_record is null").drop("_corrupt_record")
+    return rows.select(name.alias("video_id"), "events", "_corrupt_record").where("_corrupt_record is null and events is not null").drop("_corrupt_record")
 
 
 def json_folder(spark: SparkSession, folder: str, schema: str, pattern: str = "*.json") -> DataFrame:
