@@ -20,7 +20,7 @@ def found(spark, texts, items=(QUESTION,)):
 def test_templates(spark):
     texts = [
         "Before. " + QUESTION + " after",
-        QUESTION.upper().lower(),  # names are lost, numbers are not: other windows still match
+        QUESTION.lower(),  # names can't be told from words
         QUESTION.replace("12", "37").replace("5 kg", "9 lb").replace("Anna", "Maria").replace("Tom Baker", "Eva Stone"),
         "She said Eva has 3 pears and gives Max 2",
         "nothing of the kind is in this text at all, not a window of it",
@@ -31,8 +31,8 @@ def test_templates(spark):
 
 
 def test_slots_must_be_consistent(spark):
-    item = "if Tom has 3 coins and Anna has 3 coins"
-    same, other = "if Max has 8 coins and Eva has 8 coins", "if Max has 8 coins and Eva has 9 coins"
+    item = "when Tom has 3 then Anna has 3"
+    same, other = "when Max has 8 then Eva has 8", "when Max has 8 then Eva has 9"
     assert found(spark, [same, other], [item]) == {0}
 
 
@@ -87,14 +87,14 @@ def brute_lines(spark, docs):
 
 
 def test_line_dedup(spark):
-    block = "\n".join(f"line {i} of a block that is shared" for i in range(12))
+    block = "\n".join(f"line {i} of a block that is shared" for i in range(40))
     extra = [(900 + i, f"own {i}\n{block}\nend {i}", "en", "b", 0, 0, "c", "k") for i in range(5)]
     d = spark.createDataFrame(data.rows() + extra, data.SCHEMA).repartition(3)
     got = N.line_dedup(d).collect()
     assert len(got) == d.count()
     assert {(r["doc_id"], r["clean_text"]) for r in got} == brute_lines(spark, d)
     of = {r["doc_id"]: r for r in got}
-    assert of[900]["removed_lines"] == 0 and all(of[900 + i]["removed_lines"] >= 8 for i in range(1, 5))
+    assert of[900]["removed_lines"] == 0 and all(of[900 + i]["removed_lines"] >= 20 for i in range(1, 5))
     assert all(of[900 + i]["clean_text"].startswith(f"own {i}") for i in range(1, 5))
     assert N.line_dedup(data.nothing(spark)).count() == 0
 

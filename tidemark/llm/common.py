@@ -59,6 +59,29 @@ def lookup(big: DataFrame, small: DataFrame, key: str, spread: Column, salts: in
     return dealt.join(salted, F.col(key).eqNullSafe(F.col(name)) & (F.col("__salt_b") == F.col("__salt_s")), how).drop(name, "__salt_s", "__salt_b")
 
 
+def row_key() -> Column:
+    """A number for a row's id and text: rows alike in both share it, and rows without an id have one."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) whose row_key is not among gone (key), with all their columns."""
+    name = "__row_key"
+    while name in docs.columns:
+        name += "_"
+    small = written(gone.select(F.col("key").alias(name)).distinct(), "gone")
+    return lookup(docs.withColumn(name, row_key()), small, name, F.col("doc_id"), salts=1, how="left_anti").drop(name)
+
+
+#: Rows that a table of a few numbers may have to be broadcast: some tens of megabytes.
+NARROW_ROWS = 500_000
+
+
+def narrow(df: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, marked for broadcast if it was counted to be small; else it is shuffled."""
+    return F.broadcast(df) if df.limit(NARROW_ROWS + 1).count() <= NARROW_ROWS else df
+
+
 def ranked(df: DataFrame, order: list[Column], name: str, parts: int = 32) -> DataFrame:
     """Number the rows from 0 in a global order without a window over all rows: range partitions, then counts per partition."""
     dealt = written(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranked")

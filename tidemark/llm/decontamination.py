@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lookup, written
+from tidemark.llm.common import without, written
 
 #: Tokens of a window. An item of fewer tokens is one window of all of them.
 WINDOW = 8
@@ -41,7 +41,7 @@ def tokenised(df: DataFrame) -> DataFrame:
     """
     # patterns test a character before they look behind, and repeat no groups: Java's matcher recurses into those
     t = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), f"[{MARKS}]", " ")
-    t = F.lower(F.regexp_replace(t, r"(?=\p{Lu})(?<=[\p{L}\p{N},;] )(\p{Lu}[\p{L}'’]+)", NAME + "$1"))
+    t = F.lower(F.regexp_replace(t, r"(?=\p{Lu})(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}[\p{L}'’]*)", NAME + "$1"))
     n = F.regexp_replace("plain", r"(?=\d)(?<![\p{L}\p{N}])(\d[\d.,]*)", f" {NUMBER}$1 ")
     n = F.regexp_replace(n, rf"({NUMBER}[\d.,]+\s+){NAME}?({'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}$2")
     n = F.regexp_replace(n, r"[.,](?:(?<!\d[.,])|(?!\d))", " ")
@@ -99,6 +99,9 @@ def windows(df: DataFrame, size: int, among: list[int] | None = None) -> DataFra
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """(size, b_hash, outline, item_id, b_place, b_template, b_slots) of every window that can be joined."""
     items = tokenised(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"))
+    # an item with names is looked for in lower case too, where its names are words like others
+    plain = F.transform("tokens", lambda t: F.when(t.startswith(NAME), F.substring(t, 2, 1 << 20)).otherwise(t))
+    items = items.union(items.where(F.exists("tokens", lambda t: t.startswith(NAME))).withColumn("tokens", plain))
     items = items.withColumn("size", F.least(F.size("tokens"), F.lit(WINDOW)))
     parts = []
     for size in range(LEAST_WORDS, WINDOW + 1):
@@ -135,13 +138,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not found:
         return spark.createDataFrame([], "doc_id long, key long, item_id long, windows long, item_windows long")
     hits = reduce(DataFrame.union, found)
-    total = bench.groupBy("item_id").agg(F.count("*").alias("item_windows"))
+    total = bench.groupBy("item_id").agg(F.count_distinct("b_place").alias("item_windows"))
     out = hits.groupBy("doc_id", "key", "item_id").agg(F.count_distinct("b_place").alias("windows"))
     return out.join(total, "item_id").select("doc_id", "key", "item_id", "windows", "item_windows")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no window of the benchmark, with all their columns."""
-    bad = written(contaminated(docs, benchmark).select(F.col("key").alias("__key")).distinct(), "contaminated")
-    marked = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return lookup(marked, bad, "__key", F.col("doc_id"), salts=1, how="left_anti").drop("__key")
+    return without(docs, contaminated(docs, benchmark).select("key"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import hash_bucket, lookup, written
+from tidemark.llm.common import hash_bucket, narrow, without, written
 from tidemark.llm.graph import components
 from tidemark.llm.textsets import class_of, shingles, words_of
 
@@ -343,10 +343,12 @@ def compared(pairs: DataFrame, rows: DataFrame, read: DataFrame, leads: DataFram
     """
 
     def of(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-        return written(leads.join(needed, "class").select("class", "n", F.col("lead_key").alias("key")), f"{name}-wanted")
+        needed = written(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), f"{name}-needed")
+        return written(leads.join(narrow(needed), "class").select("class", "n", F.col("lead_key").alias("key")), f"{name}-wanted")
 
-    marks = written(read.where("slice is null").select("key", "mark").join(of(pairs), "key").dropDuplicates(["class"]).select("class", "n", "mark"), f"{name}-marks")
+    marks = written(read.where("slice is null").select("key", "mark").join(narrow(of(pairs)), "key").select("class", "n", "mark"), f"{name}-marks")
+    if marks.count() > marks.select("class").distinct().count():  # rows alike in id and text
+        marks = marks.dropDuplicates(["class"])
     one, two = (marks.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("mark").alias(f"mark_{x}")) for x in "ab")
     bounds = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "mark_a", "mark_b").mapInArrow(bounder(num), "a long, b long, hi long")
     bounds = written(bounds, f"{name}-bounds")
@@ -366,7 +368,7 @@ def placed(first: DataFrame, comp: DataFrame) -> DataFrame:
     """Compared pairs (a, b) with the components of both."""
     pairs = first.select("a", "b", "lo", "hi", "full")
     for x in "ab":
-        pairs = pairs.join(comp.select(F.col("node").alias(x), F.col("component").alias(f"{x}_component")), x, "left")
+        pairs = pairs.join(narrow(comp.select(F.col("node").alias(x), F.col("component").alias(f"{x}_component"))), x, "left")
     return written(pairs.withColumns({f"{x}_component": F.coalesce(f"{x}_component", x) for x in "ab"}), "placed")
 
 
@@ -420,8 +422,8 @@ def similarity_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # a list of two has no pair but that of its pivot
     of = near.select(F.col("a").alias("pivot"), F.col("b").alias("class"), "lo", "hi", "full", F.col("b_component").alias("component"))
     pivots = near.select(F.col("a").alias("pivot"), F.col("a").alias("class"), F.col("a_component").alias("component")).distinct()
-    of = of.unionByName(pivots, allowMissingColumns=True)
-    left = lists.where("members > 2").drop("members").join(of, ["pivot", "class"])
+    of = written(of.unionByName(pivots, allowMissingColumns=True), "compared")
+    left = lists.where("members > 2").drop("members").join(narrow(of), ["pivot", "class"])
     own = F.col("pivot") == F.col("class")
     lo, hi = (F.when(own, F.col("n")).otherwise(F.col(x)).alias(x) for x in ("lo", "hi"))
     left = left.select("list", "class", "n", "place", "component", "pivot", lo, hi, F.when(own, True).otherwise(F.col("full")).alias("full"))
@@ -454,7 +456,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows without an id stay if their component has no id at all; rows alike in id and text share their fate.
     """
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     named = ngram_jaccard_join(docs.select("doc_id", "text"), with_key=True)
-    gone = written(named.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("__key")).distinct(), "similar")
-    return lookup(keyed, gone, "__key", F.col("doc_id"), salts=1, how="left_anti").drop("__key")
+    return without(docs, named.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("key"))

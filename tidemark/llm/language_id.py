@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lookup, written
+from tidemark.llm.common import lookup, without, written
 
 #: Labelled texts that the model is fitted on, about; the only sample here.
 TRAIN_TEXTS = 2000
@@ -213,6 +213,4 @@ def of_pages(pages: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of docs whose language is accepted, with all their columns."""
     judged = identify(of_documents(docs), ["doc_id", "key"], fit(docs))
-    gone = written(judged.where("not accepted").select("key").distinct(), "rejected")
-    marked = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return lookup(marked, gone.withColumnRenamed("key", "__key"), "__key", F.col("doc_id"), salts=1, how="left_anti").drop("__key")
+    return without(docs, judged.where("not accepted").select("key"))
