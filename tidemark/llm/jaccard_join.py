@@ -29,7 +29,7 @@ from tidemark.llm.textsets import class_of, shingles, words_of
 #: The similarity as a fraction in whole numbers.
 NUM, DEN = 75, 100
 
-#: Shingles are counted in 2**bits counters, from so many bits on to so many, about one for each four shingles. More of
+#: Shingles are counted in 2**bits counters, from so many bits on to so many, about one for each eight shingles. More of
 #: them tell frequent from usual shingles more finely; they never change a result.
 SKETCH_BITS, SLICE_BITS = (18, 26), 16
 #: Index entries that a task of the list stage is meant to hold.
@@ -400,7 +400,7 @@ def similarity_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    bits = min(max((size // 24).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+    bits = min(max((size // 48).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
     read = written(rows.mapInArrow(set_counter(bits), "doc_id long, key long, n long, class long, mark binary, slice int, counts binary"), "sets")
     sig = read.where("slice is null").select("doc_id", "key", "n", "class")
     total = sig.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
