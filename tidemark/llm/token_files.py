@@ -11,6 +11,7 @@ their task commits. That writer ends each record with a separator: it is the las
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -22,15 +23,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.common import new_path, ranked, written
-from tidemark.llm.textsets import SPACE, breaks, word_spans
+from tidemark.llm.textsets import PLACES, PLAIN, SPACE, breaks, scrambled
 
 LENGTH = 2048
 FILE_BYTES = 8 << 20
 #: Beyond so many words a worker starts a new table of ids and keeps the last one beside it.
 CACHE_WORDS = 250_000
-STEP_BYTES = 1 << 20
+STEP_BYTES = 2 << 20
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
+KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def unicode_word(raw: bytes) -> bool:
@@ -39,6 +41,33 @@ def unicode_word(raw: bytes) -> bool:
     return text.isalpha() and text == text.lower() and max(text) < "\u0250"
 
 
+def word_spans(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the words in data, none across a cut; a point or comma between a letter and white space is one."""
+    inside = ~SPACE[data]
+    inner = cuts[(cuts > 0) & (cuts < len(data))]
+    stop = np.flatnonzero((data == 46) | (data == 44))
+    stop = stop[(stop > 0) & (stop + 1 < len(data))]
+    stop = stop[SPACE[data[stop + 1]] & PLAIN[data[stop - 1]]]
+    opens = inside.copy()
+    opens[1:] &= ~inside[:-1]
+    opens[inner] = inside[inner]
+    opens[stop] = True
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:]
+    ends[inner - 1] = inside[inner - 1]
+    ends[stop - 1] = True
+    starts = np.flatnonzero(opens)
+    return starts, np.flatnonzero(ends) + 1 - starts
+
+
+def packed(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    """The first 24 bytes of each word as three numbers, zero beyond its end."""
+    buffer = np.zeros(len(data) + 32, np.uint8)
+    buffer[: len(data)] = data
+    window = np.ndarray((len(data) + 24,), "<u8", buffer, strides=(1,))
+    return [window[np.minimum(starts + at, len(data))] & KEEP[np.clip(lengths - at, 0, 8)] for at in (0, 8, 16)]
+
+
 class WordIds:
     """Ids of texts by a tokenizer that drops white space, worked out once for each word.
 
@@ -88,19 +117,23 @@ class WordIds:
     def ids_of(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts that the cuts make of data, in a row, and where each text's begin.
 
-        Words are told apart by hashes of their bytes; then every word's bytes are held against those of the first with
-        its hash. Each different word is looked up once.
+        Words are told apart by hashes of their bytes, eight at a time; then every word is held against the first with its
+        hash. Each different word is looked up once.
         """
-        starts, lengths, hashes = word_spans(data, cuts, stops=True)
+        low = FOLD[data]
+        starts, lengths = word_spans(data, cuts)
         if not len(starts):
             return np.empty(0, self.dtype), np.zeros(len(cuts), np.int64)
-        low = FOLD[data]
+        parts = packed(low, starts, lengths)
+        hashes = scrambled(parts[0] * PLACES[0] + parts[1] * PLACES[1] + parts[2] * PLACES[2] + lengths.astype(np.uint64))
+        for i in np.flatnonzero(lengths > 24).tolist():
+            hashes[i] = int.from_bytes(hashlib.blake2b(low[starts[i] : starts[i] + lengths[i]].tobytes(), digest_size=8).digest(), "little")
         _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        lead = starts[first][which]
-        shift = np.repeat((lead - starts).astype(np.int32), lengths)
-        at = np.flatnonzero(~SPACE[low])
-        if (lengths != lengths[first][which]).any() or (low[at] != low[at + shift]).any():
+        lead = first[which]
+        same = not any((x != x[lead]).any() for x in (*parts, lengths))
+        if not same or any(low[starts[i] : starts[i] + lengths[i]].tobytes() != low[starts[lead[i]] : starts[lead[i]] + lengths[i]].tobytes() for i in np.flatnonzero(lengths > 24)):
             first = which = np.arange(len(starts))  # two words of one hash: look every word up
+        del parts, hashes, lead
         raw = low.tobytes()
         words = [raw[a:b] for a, b in zip(starts[first].tolist(), (starts[first] + lengths[first]).tolist(), strict=True)]
         if len(self.ids) > CACHE_WORDS:
