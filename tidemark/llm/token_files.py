@@ -30,6 +30,8 @@ FILE_BYTES = 8 << 20
 #: Beyond so many words a worker starts a new table of ids and keeps the last one beside it.
 CACHE_WORDS = 250_000
 STEP_BYTES = 2 << 20
+#: Rows of an Arrow batch on the way to the tokenizer.
+BATCH_ROWS = 1000
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -83,12 +85,9 @@ class WordIds:
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocab = self.tok.get_vocab()
-        size = max(vocab.values()) + 1
+        size = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.last = np.ones(size, bool)
-        for k, v in vocab.items():
-            self.last[v] = k.endswith(end_mark)
+        self.last = np.array([(self.tok.id_to_token(i) or end_mark).endswith(end_mark) for i in range(size)])
         for i, t in self.tok.get_added_tokens_decoder().items():
             self.last[i] = t.special or self.last[i]
         self.ids: dict[bytes, bytes] = {}
@@ -236,7 +235,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, length: int =
     rows = rows.withColumn("at", F.monotonically_increasing_id())
     rows = rows.repartitionByRange(parts, "doc_id", "at").sortWithinPartitions("doc_id", "at").select("doc_id", "text")
     files = rows.mapInArrow(file_writer(tokenizer, end_id, length, file_bytes), "file binary")
-    files.select(F.col("file").cast("string").alias("value")).write.option("lineSep", "1").option("maxRecordsPerFile", 1).text(path)
+    rows_key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows_key)
+    spark.conf.set(rows_key, BATCH_ROWS)  # whole texts are large rows
+    try:
+        files.select(F.col("file").cast("string").alias("value")).write.option("lineSep", "1").option("maxRecordsPerFile", 1).text(path)
+    finally:
+        spark.conf.set(rows_key, before)
 
 
 def documents_of(content: bytes) -> tuple[dict[str, int], list[int | None], list[np.ndarray]]:
