@@ -59,6 +59,22 @@ def test_a_family_and_its_outsiders(spark):
     assert got == brute(rows)
 
 
+def test_nested_texts_that_grow(spark):
+    """Small sets of which one stands alone in its range of sizes, and is similar to a set of the range before."""
+    rnd = random.Random(4)
+    rows = []
+    for family in range(40):
+        words = [f"f{family}w{i}" for i in range(40)]
+        n = rnd.randint(8, 14)
+        sizes = [10, 12, 13] if not family else [n]
+        while family and sizes[-1] < 34:
+            sizes.append(sizes[-1] + rnd.randint(1, 6))
+        rows += [(len(rows) + k, " ".join(words[:m])) for k, m in enumerate(sizes)]
+    rnd.shuffle(rows)
+    got = Counter(tuple(r) for r in J.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
+
+
 def test_one_of_each(spark):
     d = data.docs(spark)
     kept = J.one_of_each(d)

@@ -188,10 +188,15 @@ def list_reader(buckets: int):
         for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             if j - i < 2 or not indexed[i:j].any():
                 continue
+            start = i
             while i < j:
                 end = i + int(np.searchsorted(n[i:j], DEN * n[i] // NUM, "right"))
                 first = i + np.flatnonzero(p[i:end] == p[i:end].min())
                 pivot[i:end] = first[np.argmin(c[first])]
+                if end - i == 1:  # alone in its range: it stays for the smaller sets of the range before, where a bound leaves one
+                    k = start + np.flatnonzero(indexed[start:i])
+                    if not close(n[k], p[k], n[i], p[i]).any():
+                        pivot[i] = -1
                 i = end
         stay = pivot >= 0
         all_c = c
@@ -421,7 +426,9 @@ def similarity_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         near = placed(first, comp)
     # a list of two has no pair but that of its pivot
     of = near.select(F.col("a").alias("pivot"), F.col("b").alias("class"), "lo", "hi", "full", F.col("b_component").alias("component"))
-    pivots = near.select(F.col("a").alias("pivot"), F.col("a").alias("class"), F.col("a_component").alias("component")).distinct()
+    # every set that is its own pivot, those too that stand alone in a range of sizes and were compared with none there
+    pivots = written(lists.where("members > 2 and pivot = class").select("pivot", "class").distinct(), "pivots")
+    pivots = pivots.join(narrow(comp), pivots["class"] == comp["node"], "left").select("pivot", "class", F.coalesce("component", "class").alias("component"))
     of = written(of.unionByName(pivots, allowMissingColumns=True), "compared")
     left = lists.where("members > 2").drop("members").join(narrow(of), ["pivot", "class"])
     own = F.col("pivot") == F.col("class")
