@@ -118,6 +118,17 @@ def test_language_id(spark):
     assert L.accepted(data.nothing(spark)).count() == 0
 
 
+def test_rare_languages_are_known_at_every_size(spark):
+    """Few rows among many, and more languages than a fixed number."""
+    rare = [(100_000 + i, SPEECH["fr"], "fr", None) for i in range(10)]
+    rare += [(200_000 + 6 * k + i, f"tongue{k} speaks{k} words{k}", f"x{k:02}", None) for k in range(70) for i in range(6)]
+    often = spark.range(24_000).select(F.col("id").alias("doc_id"), F.lit(SPEECH["en"]).alias("text"), F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"))
+    model = L.fit(often.union(spark.createDataFrame(rare, "doc_id long, text string, lang string, source string")))
+    assert model.languages == sorted(["en", "fr", *(f"x{k:02}" for k in range(70))])
+    ask = spark.createDataFrame([(1, SPEECH["fr"], None, None, None)], "id long, text string, declared string, host string, suffix string")
+    assert L.identify(ask, ["id"], model).first()["language"] == "fr"
+
+
 def test_host_prior_decides_a_short_text(spark):
     """A word that all languages share goes with its host."""
     rows = [(i, SPEECH[lang] + " radio", lang, f"{lang}.example.org") for i, lang in enumerate(list(SPEECH) * 30)]

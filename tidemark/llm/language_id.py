@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import lookup, without, written
 
-#: Labelled texts that the model is fitted on, about; the only sample here.
+#: Labelled texts that the model is fitted on, about, in equal shares by language; the only sample here.
 TRAIN_TEXTS = 2000
-#: A language needs so many of them, and there are at most so many languages.
-LEAST_TEXTS, MOST_LANGUAGES = 5, 64
+#: A language needs so many labelled rows, of all there are, and its share of the texts is so many at least.
+LEAST_TEXTS, LEAST_SHARE = 5, 100
 BITS = 16
 PIECE = 1 << 20
 #: Neighbouring trigrams overlap; so much of a trigram's evidence is counted as new.
@@ -79,15 +79,20 @@ def counted(languages: list[str]):
 
 
 def fit(labelled: DataFrame, texts: int = TRAIN_TEXTS) -> Model:
-    """A model from labelled (doc_id, text, lang): about `texts` rows, chosen by a hash of the id, so that reruns agree."""
-    rows = labelled.where("lang is not null and lang <> '' and text is not null")
-    n = rows.count()
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // texts))) == 0).select("lang", "text")
+    """A model from labelled (doc_id, text, lang): every language of LEAST_TEXTS rows or more, whatever the input's size.
+
+    Labels are counted over all rows. Of each language about the same number of texts is drawn, one to two times its share
+    or all it has, by a hash of id and text, so that reruns agree.
+    """
+    rows = labelled.where("lang is not null and lang <> '' and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("draw"))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().where(F.col("count") >= LEAST_TEXTS).collect()}
+    languages = sorted(counts)
+    share = max(texts // max(len(languages), 1), LEAST_SHARE)
+    steps = labelled.sparkSession.createDataFrame([(x, max(1, counts[x] // share)) for x in languages], "lang string, step long")
+    sample = rows.join(F.broadcast(steps), "lang").where(F.pmod("draw", "step") == 0).select("lang", "text")
     sample = written(sample.repartition(8), "language-sample")
-    found = sample.groupBy("lang").count().where(F.col("count") >= LEAST_TEXTS).orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in found)
     total = np.zeros((len(languages), 1 << BITS))
-    for r in sample.where(F.col("lang").isin(languages)).mapInArrow(counted(languages), "counts binary").collect() if languages else []:
+    for r in sample.mapInArrow(counted(languages), "counts binary").collect() if languages else []:
         total += np.frombuffer(zlib.decompress(r["counts"]), np.uint32).reshape(total.shape)
     table = np.full(((1 << BITS) + 1, len(languages) + 1), -BITS * np.log(2), np.float32)
     table[:-1, :-1] = np.log((total + 0.1) / (total.sum(axis=1, keepdims=True) + 0.1 * (1 << BITS))).T
