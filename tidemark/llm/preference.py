@@ -71,7 +71,7 @@ def preference_pairs(pairs: DataFrame, role: str = "assistant") -> DataFrame:
 def swapped_replies(convs: DataFrame, by: str = "conv_id", role: str = "assistant") -> DataFrame:
     """Pairs for conversations that have no rejected version: the last reply is swapped with the neighbour's.
 
-    Neighbours are the ids 2k and 2k + 1. The rejected conversation ends with the neighbour's last reply; without a
+    Turns after the last reply are cut off and appear on neither side. Neighbours are the ids 2k and 2k + 1. The rejected conversation ends with the neighbour's last reply; without a
     neighbour, or one that never replies, it ends before the reply. Conversations without a reply, or without an id, have
     an equal rejected version. One row for each conversation.
     """
