@@ -99,6 +99,20 @@ def test_line_dedup(spark):
     assert N.line_dedup(data.nothing(spark)).count() == 0
 
 
+def test_short_passages_of_lines_are_found_wherever_they_begin(spark):
+    rows = []
+    for n in (2, 3, 4, 6):
+        for k in range(4):
+            passage = [f"passage {n} {k} line {i}" for i in range(n)]
+            rows += [(len(rows) + c, "\n".join([f"own {n} {k} {c} {i}" for i in range(c)] + passage + [f"end {n} {k} {c}"])) for c in range(3)]
+    got = {r["doc_id"]: r for r in N.line_dedup(spark.createDataFrame([*rows, (999, "x\nx\nx")], "doc_id long, text string")).collect()}
+    for i, (doc, text) in enumerate(rows):
+        want = text.split("\n") if i % 3 == 0 else [x for x in text.split("\n") if not x.startswith("passage")]
+        assert got[doc]["clean_text"].split("\n") == want
+        assert got[doc]["removed_chunks"] == (i % 3 > 0) and got[doc]["removed_lines"] == got[doc]["n_lines"] - len(want)
+    assert got[999]["clean_text"] == "x"
+
+
 SPEECH = {"en": "the house and the garden with those old windows", "de": "das Haus und der Garten mit alten Fenstern", "fr": "la maison et le jardin avec des vieilles fenêtres"}
 
 

@@ -1,8 +1,8 @@
-"""Line deduplication by content-defined chunks of lines.
+"""Line deduplication by a rolling hash over neighbouring lines.
 
-A rolling hash over the hashes of neighbouring lines ends a chunk wherever it falls on a fixed residue, so that boundaries
-move with the content and a block of lines that two documents share is cut alike in both. Of a chunk of two lines or more
-that stands in several places, the first stays and the others go, once the bytes of all of them were compared.
+Every run of LEAST_LINES neighbouring lines is a chunk with a hash of its own, so that whatever block of so many lines or
+more two places share is found in full, wherever it begins. Of a chunk that stands in several places the first stays and
+the others go, once the bytes of all of them were compared. A line that goes is left in an earlier place.
 
 DataFrame functions only. Chunks travel as hashes; bytes travel only for chunks whose hash stands in several places.
 """
@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import lookup, written
 
-#: Lines that the rolling hash looks at, and the mean number of lines between boundaries beyond the least.
-SPAN = 2
-EVERY = 3
+#: Lines that the rolling hash looks at: the shortest block that is found.
 LEAST_LINES = 2
 
 
@@ -24,26 +22,19 @@ def lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def chunk_ends(hashes: str) -> Column:
-    """The numbers of the lines (from 1) that end a chunk: where the rolling hash says so, and the last line."""
-    n = F.size(hashes)
-    rolled = lambda i: F.xxhash64(F.slice(hashes, F.greatest(i - SPAN + 1, F.lit(1)), SPAN))
-    return F.filter(F.sequence(F.lit(1), n), lambda i: (F.pmod(rolled(i), F.lit(EVERY)) == 0) | (i == n))
-
-
 def chunks(rows: DataFrame) -> DataFrame:
-    """rows (key, text) with `chunks`: first line (from 1), number of lines and hash of each chunk, in order."""
+    """rows (key, text) with `chunks`: first line (from 1), number of lines and hash of each run of LEAST_LINES lines, in order."""
     rows = rows.withColumn("hashes", F.transform(lines(F.col("text")), lambda x: F.xxhash64(x)))
-    rows = rows.withColumn("ends", chunk_ends("hashes"))
-    start = lambda i: F.when(i > 0, F.get("ends", i - 1)).otherwise(0) + 1
-    each = F.transform("ends", lambda e, i: F.struct(start(i).alias("first"), (e - start(i) + 1).alias("lines"), F.xxhash64(F.slice("hashes", start(i), e - start(i) + 1)).alias("hash")))
-    return rows.withColumn("chunks", each).drop("hashes", "ends")
+    last = F.size("hashes") - LEAST_LINES + 1
+    firsts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    each = F.transform(firsts, lambda i: F.struct(i.alias("first"), F.lit(LEAST_LINES).alias("lines"), F.xxhash64(F.slice("hashes", i, LEAST_LINES)).alias("hash")))
+    return rows.withColumn("chunks", each).drop("hashes")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """Every row of docs (doc_id, text, ...) without the multi-line chunks that stand in an earlier place.
+    """Every row of docs (doc_id, text, ...) without the runs of two lines or more that stand in an earlier place.
 
-    Returns doc_id, n_lines, n_chunks, removed_chunks, removed_lines, clean_text. Places are ordered by doc_id (null last),
+    Returns doc_id, n_lines, removed_chunks (blocks of neighbouring lines that went), removed_lines, clean_text. Places are ordered by doc_id (null last),
     then by a hash of the row, then by line. Rows alike in id and text are one place and get the same result. Null texts
     count as empty; an empty text is one empty line. Chunks whose hashes agree but whose bytes do not stay. An empty table
     gives an empty result; other columns are ignored.
@@ -65,11 +56,12 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     piece = F.concat_ws("\n", F.slice(lines(F.col("text")), F.col("one.first"), F.col("one.lines")))
     bytes_of = beside(found).where("found is not null").select("text", F.explode_outer("found").alias("one")).select(F.col("one.hash").alias("hash"), piece.alias("piece"))
     unequal = bytes_of.distinct().groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    joined = beside(found.join(unequal, "hash", "left_anti"))
+    joined = beside(lookup(found, written(unequal, "unequal"), "hash", F.col("key"), how="left_anti"))
     gone = F.coalesce(F.filter("found", lambda x: ~x["stays"]), F.array().cast("array<struct<first:int,lines:int,hash:bigint,stays:boolean>>"))
     out = joined.withColumn("gone", gone)
-    dead = F.flatten(F.transform("gone", lambda x: F.sequence(x["first"], x["first"] + x["lines"] - 1)))
+    dead = F.array_distinct(F.flatten(F.transform("gone", lambda x: F.sequence(x["first"], x["first"] + x["lines"] - 1))))
     out = out.withColumn("dead", dead).withColumn("all", lines(F.col("text")))
     kept = F.transform(F.array_except(F.sequence(F.lit(1), F.size("all")), F.col("dead")), lambda i: F.element_at("all", i))
     clean = F.when(F.size("dead") == 0, F.col("text")).otherwise(F.concat_ws("\n", kept))
-    return out.select("doc_id", F.size("all").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("removed_chunks"), F.size("dead").cast("long").alias("removed_lines"), clean.alias("clean_text"))
+    blocks = F.array_except("dead", F.transform("dead", lambda i: i + 1))
+    return out.select("doc_id", F.size("all").cast("long").alias("n_lines"), F.size(blocks).cast("long").alias("removed_chunks"), F.size("dead").cast("long").alias("removed_lines"), clean.alias("clean_text"))
