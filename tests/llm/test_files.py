@@ -45,7 +45,7 @@ def test_no_documents(spark):
 def test_words_equal_whole_texts(monkeypatch):
     w = K.WordIds(PATH)
     rnd = random.Random(3)
-    odd = ["it's they'll x.y, ok. <|endoftext|> A.B.", "É́ İstanbul ΣΑΣ ΟΔΟΣ. ﬁne ½ ² 語言 a b c", "áb ́x", "# #x x# 12,5. don't", "ǅ Ɖ ß ẞ.", ""]
+    odd = ["<|ENDOFTEXT|>", "x <|EndOfText|> y", "a<|STARTOFTEXT|>b", "one<|startoftext|>two <|end oftext|> <|endoftext|", "it's they'll x.y, ok. <|endoftext|> A.B.", "É́ İstanbul ΣΑΣ ΟΔΟΣ. ﬁne ½ ² 語言 a b c", "áb ́x", "# #x x# 12,5. don't", "ǅ Ɖ ß ẞ.", ""]
     texts = odd + [data.prose(rnd, 50) for _ in range(20)] + ["".join(rnd.choice("ab.,' \n\tÉé1#语") for _ in range(200)) for _ in range(200)]
     want = [w.tok.encode(t, add_special_tokens=False).ids for t in texts]
     assert [x.tolist() for x in w.encode(pa.array(texts))] == want
@@ -55,6 +55,23 @@ def test_words_equal_whole_texts(monkeypatch):
     assert [x.tolist() for x in w.encode(pa.array([None, "a"]))][0] == []
 
 
+def test_tokenizers_that_do_not_work_by_words(tmp_path):
+    """A cased byte-level tokenizer, and the usual one without its folding: whole texts are encoded."""
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        cased = json.load(f)
+    cased["normalizer"] = {"type": "NFC"}
+    (tmp_path / "cased.json").write_text(json.dumps(cased))
+    rnd = random.Random(4)
+    texts = ["Hello HELLO hello.", "", "tabs\tand  spaces", "<|endoftext|> <|ENDOFTEXT|>"] + ["".join(rnd.choice("abAB.,' \n#") for _ in range(100)) for _ in range(50)]
+    for path in (public.path("byte_bpe_50k.json"), str(tmp_path / "cased.json")):
+        w = K.WordIds(path)
+        assert not w.by_words
+        assert [x.tolist() for x in w.encode(pa.array(texts))] == [w.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert K.WordIds(PATH).by_words
+
+
 def captures():
     rnd = random.Random(8)
     big = data.prose(rnd, 40)

@@ -12,6 +12,7 @@ their task commits. That writer ends each record with a separator: it is the las
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -22,19 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import new_path, ranked, written
-from tidemark.llm.textsets import PLACES, PLAIN, SPACE, breaks, scrambled
+from tidemark.llm.common import in_arrow, new_path, ranked, removed, written
+from tidemark.llm.textsets import FOLD, PLACES, PLAIN, SPACE, breaks, packed, scrambled
 
 LENGTH = 2048
 FILE_BYTES = 8 << 20
 #: Beyond so many words a worker starts a new table of ids and keeps the last one beside it.
 CACHE_WORDS = 250_000
 STEP_BYTES = 2 << 20
-#: Rows of an Arrow batch on the way to the tokenizer.
-BATCH_ROWS = 1000
-FOLD = np.arange(256, dtype=np.uint8)
-FOLD[65:91] += 32
-KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def unicode_word(raw: bytes) -> bool:
@@ -62,36 +58,58 @@ def word_spans(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, np.flatnonzero(ends) + 1 - starts
 
 
-def packed(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-    """The first 24 bytes of each word as three numbers, zero beyond its end."""
-    buffer = np.zeros(len(data) + 32, np.uint8)
-    buffer[: len(data)] = data
-    window = np.ndarray((len(data) + 24,), "<u8", buffer, strides=(1,))
-    return [window[np.minimum(starts + at, len(data))] & KEEP[np.clip(lengths - at, 0, 8)] for at in (0, 8, 16)]
+#: The parts of a tokenizer's file under which a text's ids are those of its words in a row. They ignore
+#: the case of A-Z, drop white space, never join a letter with a point or comma, and mark the last token of each piece.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+END_MARK = "</w>"
+
+
+def by_words(path: str) -> bool:
+    """Does the tokenizer's file say that its ids can be worked out word by word? Else whole texts are encoded."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    model = said["model"]
+    plain = model["type"] == "BPE" and model.get("end_of_word_suffix") == END_MARK and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    return plain and not said.get("truncation") and not said.get("padding") and all(said[k] == v for k, v in BY_WORDS.items())
 
 
 class WordIds:
-    """Ids of texts by a tokenizer that drops white space, worked out once for each word.
+    """Ids of texts. Where `by_words` finds that sound, they are worked out once for each word; else for each whole text.
 
-    That is sound where the tokenizer ignores the case of A-Z, splits at white space and between letters and points, and
-    marks the end of each piece within: the ids of a text are then those of its words in a row. `end_mark` is the suffix that marks a piece's last token.
+    Texts that hold one of the tokenizer's added tokens, in any case, are always encoded whole: such tokens are looked for
+    in the text as it stands, before its case is folded.
     """
 
-    def __init__(self, path: str, end_mark: str = "</w>"):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        added = self.tok.get_added_tokens_decoder()
+        self.added = sorted({FOLD[np.frombuffer(t.content.encode(), np.uint8)].tobytes() for t in added.values()})
+        self.by_words = by_words(path)
+        size = max(self.tok.get_vocab_size(), max(added, default=0) + 1)
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.ids: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        if not self.by_words:
+            return
         # for lower-case words of letters its normaliser and patterns change nothing
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        size = self.tok.get_vocab_size()
-        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.last = np.array([(self.tok.id_to_token(i) or end_mark).endswith(end_mark) for i in range(size)])
-        for i, t in self.tok.get_added_tokens_decoder().items():
-            self.last[i] = t.special or self.last[i]
-        self.ids: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.last = np.array([(self.tok.id_to_token(i) or END_MARK).endswith(END_MARK) for i in range(size)])
+        self.last[list(added)] = True
 
     def one_by_one(self, words: list[bytes]) -> None:
         e = self.tok.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
@@ -153,6 +171,14 @@ class WordIds:
         ids = pool[np.repeat((offsets - ends + sizes).astype(np.int32), sizes) + np.arange(ends[-1], dtype=np.int32)]
         return ids, np.append(0, ends)[np.searchsorted(starts, cuts)]
 
+    def whole(self, data: np.ndarray) -> np.ndarray:
+        """The ids of one text by the tokenizer itself."""
+        return np.array(self.tok.encode(data.tobytes().decode(), add_special_tokens=False).ids, self.dtype)
+
+    def holds_added(self, data: np.ndarray) -> bool:
+        low = FOLD[data].tobytes()
+        return any(t in low for t in self.added)
+
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text of an Arrow array, null as empty; whole texts, the long ones piece by piece."""
         texts = texts.cast(pa.large_binary())
@@ -162,7 +188,15 @@ class WordIds:
         while i < len(texts):
             j = min(max(int(np.searchsorted(offsets, offsets[i] + STEP_BYTES, "right")) - 1, i + 1), len(texts))
             part, cuts = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            if j == i + 1 and len(part) > STEP_BYTES:
+            if not self.by_words or self.holds_added(part):
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    one = part[a:b]
+                    if not self.by_words or self.holds_added(one):
+                        yield self.whole(one)
+                    else:
+                        at = breaks(one, STEP_BYTES)
+                        yield np.concatenate([np.empty(0, self.dtype), *[self.ids_of(one[x:y], np.empty(0, np.int64))[0] for x, y in zip(at[:-1], at[1:], strict=True)]])
+            elif j == i + 1 and len(part) > STEP_BYTES:
                 at = breaks(part, STEP_BYTES)
                 yield np.concatenate([self.ids_of(part[a:b], np.empty(0, np.int64))[0] for a, b in zip(at[:-1], at[1:], strict=True)])
             else:
@@ -234,14 +268,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, length: int =
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // part_bytes + 1)
     rows = rows.withColumn("at", F.monotonically_increasing_id())
     rows = rows.repartitionByRange(parts, "doc_id", "at").sortWithinPartitions("doc_id", "at").select("doc_id", "text")
-    files = rows.mapInArrow(file_writer(tokenizer, end_id, length, file_bytes), "file binary")
-    rows_key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(rows_key)
-    spark.conf.set(rows_key, BATCH_ROWS)  # whole texts are large rows
-    try:
-        files.select(F.col("file").cast("string").alias("value")).write.option("lineSep", "1").option("maxRecordsPerFile", 1).text(path)
-    finally:
-        spark.conf.set(rows_key, before)
+    files = in_arrow(rows, file_writer(tokenizer, end_id, length, file_bytes), "file binary")
+    files.select(F.col("file").cast("string").alias("value")).write.option("lineSep", "1").option("maxRecordsPerFile", 1).text(path)
 
 
 def documents_of(content: bytes) -> tuple[dict[str, int], list[int | None], list[np.ndarray]]:
@@ -270,7 +298,7 @@ def read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The documents of a folder of such files: doc_id, start (ids of all documents before), n_tokens, ids_crc32."""
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
-    docs = written(files.mapInArrow(read_files, "part int, file int, doc_id long, within long, n_tokens long, ids_crc32 long"), "token-docs")
+    docs = written(in_arrow(files, read_files, "part int, file int, doc_id long, within long, n_tokens long, ids_crc32 long"), "token-docs", keep=True)
     sums = docs.groupBy("part", "file").agg(F.sum("n_tokens").alias("ids"))
     # one row for each file: the files before it, by ranges of files
     table = ranked(sums, [F.col("part"), F.col("file")], "k").withColumn("block", F.floor(F.col("k") / 1000))
@@ -282,7 +310,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """write, then read, over a new folder in the shared folder. An empty table gives no file and an empty result."""
+    """write, then read, over a new folder in the shared folder, which goes once it was read. An empty table gives no file
+    and an empty result."""
     path = new_path(docs.sparkSession, "token-files")
-    write(docs, path, tokenizer, end_id)
-    return read(docs.sparkSession, path)
+    try:
+        write(docs, path, tokenizer, end_id)
+        return read(docs.sparkSession, path)
+    finally:
+        removed(docs.sparkSession, path)
