@@ -120,3 +120,69 @@ def test_components(spark):
         up[max(a, b)] = min(a, b)
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()}
     assert got == {x: root(x) for x in up if any(x in e and e[0] != e[1] for e in links)}
+
+
+def test_words_that_a_polynomial_hash_confuses():
+    """The Thue-Morse word and its complement agree under any polynomial modulo a power of two."""
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    for n in (8, 16, 24, 32, 256, 1024):
+        one, two = T.words_of(pa.array([a[:n], b[:n]]))
+        assert one[0] != two[0]
+
+
+def test_word_hashes_tell_words_apart():
+    rnd = random.Random(2)
+    words = {"".join(rnd.choice("abcé\x00") for _ in range(rnd.randint(1, 40))) for _ in range(50_000)}
+    words |= {"x" * n for n in range(1, 60)} | {"\x00" * n for n in range(1, 30)}
+    (got,) = T.words_of(pa.array([" ".join(words)]))
+    assert len(got) == len(words) == len(np.unique(got))
+
+
+def test_similar_words_are_not_linked(spark):
+    a = "ab" * 512
+    got = [tuple(r) for r in J.ngram_jaccard_join(spark.createDataFrame([(1, a), (2, a[1:] + "a"), (3, a.upper())], "doc_id long, text string")).collect()]
+    assert sorted(got) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+def test_lists_dealt_over_shares_and_cells_give_the_same(spark, monkeypatch):
+    """With small limits every list is dealt over shares by its level, and over cells, and every family too."""
+    monkeypatch.setattr(J, "LIST_ENTRIES", 4)
+    monkeypatch.setattr(J, "CELL", 8)
+    monkeypatch.setattr(J, "FAMILY", 8)
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(80):
+        v = list(base)
+        for _ in range(rnd.choice((0, 1, 2, 3, 4, 6, 8))):
+            v[rnd.randrange(len(v))] = f"n{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(v[: rnd.choice((90, 90, 80, 70))])))
+    rows += [(1000 + n, " ".join(f"chain{k}" for k in range(n))) for n in range(4, 40)]
+    got = Counter(tuple(r) for r in J.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
+
+
+def test_one_list_of_many_sets(spark, monkeypatch):
+    """5,000 texts hold one passage each, and its shingles stand first in the order, so that all meet in one list. The
+    passage is too small a part to link them; every hundredth has a near copy, which by construction is its only link."""
+    monkeypatch.setattr(J, "leveller", lambda usual: reversed_levels)
+    passage = " ".join(f"p{i}" for i in range(8))
+    n = 5_000
+    texts = [f"{passage} " + " ".join(f"t{i}x{k}" for k in range(12)) for i in range(n)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(n + i, texts[i] + " end") for i in range(0, n, 100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["component_id"] for r in J.ngram_jaccard_join(df).collect()}
+    assert got == {i: i - n if i >= n else i for i, _ in rows}
+
+
+def reversed_levels(batches):
+    """Levels that put frequent shingles first."""
+    import zlib
+
+    for batch in batches:
+        for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x = np.frombuffer(zlib.decompress(raw), np.uint16)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(np.where(x > 100, -1, 0).astype(np.int8).tobytes(), 1)], pa.binary())], names=["slice", "levels"])

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import in_arrow, written
 
 WINDOW_BYTES = 32 << 20
 TABLE_BYTES = 64 << 20
@@ -181,10 +181,10 @@ def exact_dedup(docs: DataFrame, share_bytes: int = 64 << 20) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    local = written(rows.mapInArrow(local_groups, LOCAL), "dedup-local")
+    local = written(in_arrow(rows, local_groups, LOCAL), "dedup-local")
     total = local.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("n")).first()["n"]
     shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // share_bytes + 1)
     leads = local.where("content is not null").select("hash", "content", "gid", "copies", "min_id", "min_rid")
-    groups = leads.repartition(shares, "hash").mapInArrow(grace_groups, GROUPS)
+    groups = in_arrow(leads.repartition(shares, "hash"), grace_groups, GROUPS)
     out = local.select("rid", "gid", "doc_id", "text_sha256").join(groups, F.col("gid") == F.col("g_gid"))
     return out.select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import in_arrow, scratch, written
 
 STAR = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -35,26 +35,30 @@ def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*ends, strict=True)], schema=STAR)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """Links (a, b) to (node, component): the smallest node reachable. Nodes without links are not returned.
 
     Each round hangs every node on its smallest neighbour, follows the pointer once more, and contracts the links; they
-    shrink by half or better a round. Only the number of links left reaches the driver.
+    shrink by half or better a round. Only the number of links left reaches the driver. `rows` is about how many links
+    there are at most.
     """
-    cur = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").mapInArrow(stars, "u long, v long").distinct(), "links")
+    ends = links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")
     label = None
-    while not cur.isEmpty():
-        both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        up = written(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("v")), "parents")
-        above = up.select(F.col("u").alias("v"), F.col("v").alias("top"))
-        up = written(up.join(above, "v", "left").select("u", F.coalesce("top", "v").alias("v")), "parents")
-        to = lambda name: up.select(F.col("u").alias(name), F.col("v").alias(f"{name}_up"))  # noqa: B023, E731
+    with scratch(links.sparkSession):
+        cur = written(in_arrow(ends, stars, "u long, v long").distinct(), "links", rows)
+        while n := cur.count():
+            both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            up = written(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("v")), "parents", 2 * n)
+            above = up.select(F.col("u").alias("v"), F.col("v").alias("top"))
+            up = written(up.join(above, "v", "left").select("u", F.coalesce("top", "v").alias("v")), "parents", 2 * n)
+            to = lambda name: up.select(F.col("u").alias(name), F.col("v").alias(f"{name}_up"))  # noqa: B023, E731
+            if label is None:
+                nodes = 2 * n
+                label = up.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            else:
+                label = written(label.join(to("component"), "component", "left").select("node", F.coalesce("component_up", "component").alias("component")), "labels", nodes)
+            cur = cur.join(to("u"), "u", "left").join(to("v"), "v", "left")
+            cur = written(cur.select(F.coalesce("u_up", "u").alias("u"), F.coalesce("v_up", "v").alias("v")).where("u <> v").distinct(), "links", n)
         if label is None:
-            label = up.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        else:
-            label = written(label.join(to("component"), "component", "left").select("node", F.coalesce("component_up", "component").alias("component")), "labels")
-        cur = cur.join(to("u"), "u", "left").join(to("v"), "v", "left")
-        cur = written(cur.select(F.coalesce("u_up", "u").alias("u"), F.coalesce("v_up", "v").alias("v")).where("u <> v").distinct(), "links")
-    if label is None:
-        return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return label
+            return written(cur.select(F.col("u").alias("node"), F.col("v").alias("component")), "components", 0, keep=True)
+        return written(label, "components", nodes, keep=True)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lookup, without, written
+from tidemark.llm.common import in_arrow, lookup, without, written
 
 #: Labelled texts that the model is fitted on, about, in equal shares by language; the only sample here.
 TRAIN_TEXTS = 2000
@@ -90,9 +90,8 @@ def fit(labelled: DataFrame, texts: int = TRAIN_TEXTS) -> Model:
     share = max(texts // max(len(languages), 1), LEAST_SHARE)
     steps = labelled.sparkSession.createDataFrame([(x, max(1, counts[x] // share)) for x in languages], "lang string, step long")
     sample = rows.join(F.broadcast(steps), "lang").where(F.pmod("draw", "step") == 0).select("lang", "text")
-    sample = written(sample.repartition(8), "language-sample")
     total = np.zeros((len(languages), 1 << BITS))
-    for r in sample.mapInArrow(counted(languages), "counts binary").collect() if languages else []:
+    for r in in_arrow(sample.repartition(8), counted(languages), "counts binary").collect() if languages else []:
         total += np.frombuffer(zlib.decompress(r["counts"]), np.uint32).reshape(total.shape)
     table = np.full(((1 << BITS) + 1, len(languages) + 1), -BITS * np.log(2), np.float32)
     table[:-1, :-1] = np.log((total + 0.1) / (total.sum(axis=1, keepdims=True) + 0.1 * (1 << BITS))).T
@@ -178,14 +177,15 @@ def identify(rows: DataFrame, keys: list[str], model: Model) -> DataFrame:
     rows = rows.select(*keys, F.when(declared != "", declared).alias("declared"), F.coalesce("host", F.lit("")).alias("host"), "suffix", "text")
     types = dict(rows.dtypes)
     head = ", ".join(f"`{c}` {types[c]}" for c in keys)
-    scored = rows.mapInArrow(scorer(model, k), f"{head}, declared string, host string, suffix string, logs array<double>, trigrams long")
+    scored = in_arrow(rows, scorer(model, k), f"{head}, declared string, host string, suffix string, logs array<double>, trigrams long")
     most = F.array_max("logs")
     soft = F.transform("logs", lambda x: F.exp(x - most))
     total = F.aggregate("soft", F.lit(0.0), lambda a, x: a + x)
     scored = scored.withColumn("soft", soft).withColumn("soft", F.transform("soft", lambda x: F.when(F.col("trigrams") > 0, x / total).otherwise(0.0)))
-    scored = written(scored.withColumn("domain", F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0)), "language-scores")
-    hosts = written(scored.groupBy("domain", "host").agg(total_of("soft", width).alias("by_host")), "hosts")
-    domains = written(hosts.groupBy("domain").agg(total_of("by_host", width).alias("by_domain")), "domains")
+    scored = written(scored.withColumn("domain", F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0)), "language-scores", keep=True)
+    n = scored.count()
+    hosts = written(scored.groupBy("domain", "host").agg(total_of("soft", width).alias("by_host")), "hosts", n, keep=True)
+    domains = written(hosts.groupBy("domain").agg(total_of("by_host", width).alias("by_domain")), "domains", n, keep=True)
     overall = np.array(domains.agg(total_of("by_domain", width).alias("n")).first()["n"], float)
     overall = np.nan_to_num(overall)
     # how often rows of each language declare each language: as many numbers as pairs of languages
@@ -195,9 +195,9 @@ def identify(rows: DataFrame, keys: list[str], model: Model) -> DataFrame:
         agree[model.languages.index(r["said"]) if r["said"] else width - 1] += r["n"]
     agree = np.log(agree / agree.sum(axis=0, keepdims=True))
     priors = lookup(hosts, domains, "domain", F.col("host")).select("host", "by_host", "by_domain")
-    joined = lookup(scored.drop("soft", "domain"), written(priors, "host-priors"), "host", F.xxhash64(*keys))
+    joined = lookup(scored.drop("soft", "domain"), written(priors, "host-priors", n, keep=True), "host", F.xxhash64(*keys))
     out = joined.select(*keys, "declared", "suffix", "logs", "trigrams", "by_host", "by_domain")
-    return out.mapInArrow(fuser(model.languages, overall, agree, k), f"{head}, language string, probability double, accepted boolean")
+    return in_arrow(out, fuser(model.languages, overall, agree, k), f"{head}, language string, probability double, accepted boolean")
 
 
 def of_documents(docs: DataFrame) -> DataFrame:
@@ -218,4 +218,4 @@ def of_pages(pages: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of docs whose language is accepted, with all their columns."""
     judged = identify(of_documents(docs), ["doc_id", "key"], fit(docs))
-    return without(docs, judged.where("not accepted").select("key"))
+    return without(docs, judged.where("not accepted").select("doc_id", "key"))
