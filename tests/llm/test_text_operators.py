@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -36,6 +37,65 @@ def test_slots_must_be_consistent(spark):
     assert found(spark, [same, other], [item]) == {0}
 
 
+def test_names_that_begin_sentences(spark):
+    item = "Natalia sold clips to 48 of her friends"
+    three = "Tom runs to the market. Anna sings at home. Eva paints a wall"
+    texts = ["Maria sold clips to 30 of her friends", "Yes. Max runs to the market. Ida sings at home. Zoe paints a wall. No", "natalia sold clips to 9 of her friends", "Maria sold cards to 30 of her friends"]
+    assert found(spark, texts, [item, three]) == {0, 1, 2}
+
+
+def test_one_assignment_holds_over_all_windows(spark):
+    item = "Tom has 12 red apples in a box and then Tom gives Anna 5 of them before Tom goes home with Anna"
+    whole = item.replace("Tom", "Max").replace("Anna", "Ida").replace("12", "31").replace("5", "7")
+    torn = "Eva" + whole.replace("Max", "Eva", 2)[3:]  # Tom is Eva first and Max later
+    merged = whole.replace("Max", "Ida")
+    assert found(spark, [whole, torn, merged], [item]) == {0}
+    assert found(spark, [item.replace("12", "13"), torn + " " + item], [item]) == {0, 1}  # its own windows count in any case
+
+
+def test_windows_of_few_words_and_scripts_without_spaces(spark):
+    items = ["What is 12 + 7?", "3 + 4 = 7, 12 - 5 = 7", "今日は良い天気ですね"]
+    texts = ["so what is 12 + 7 then", "what is 13 + 7", "3+4=7 and 12-5=7", "3 4 7 12 5 7", "彼は今日は良い天気ですねと言った", "今日は雨です"]
+    assert found(spark, texts, items) == {0, 3, 4}
+
+
+def substituted(rnd, question, words):
+    """A question with other names and numbers, one to one."""
+    new = {}
+    for w in sorted(set(words)):
+        while (x := rnd.choice(("Nadia", "Oskar", "Piet", "Quinn", "Rosa", "Sven", "Theo", "Uma")) if w.isalpha() else str(rnd.randint(2, 999))) in new.values():
+            pass
+        new[w] = x
+    return re.sub(r"\b(" + "|".join(map(re.escape, new)) + r")\b", lambda m: new[m[0]], question)
+
+
+def test_recall_of_reparameterised_questions(spark):
+    """Questions from patterns, each with its copies under other names and numbers inside other text, and with torn copies."""
+    rnd = random.Random(12)
+    nouns, verbs = "apples coins books stamps marbles tickets".split(), "buys sells finds loses counts borrows".split()
+    items, good, torn = [], [], []
+    for _ in range(60):
+        a, b = rnd.sample(("Tom", "Anna", "Eva", "Max"), 2)
+        n, m = rnd.sample(range(2, 99), 2)
+        thing, verb = rnd.choice(nouns), rnd.choice(verbs)
+        q = rnd.choice((
+            f"{a} {verb} {n} {thing} on Monday and {b} {verb} {m} more. How many {thing} does {a} have when {b} returns {n} of them?",
+            f"On a trip {a} {verb} {n} {thing} for {m} dollars. Then {b} asks {a} to share. {a} keeps {m} and gives the rest to {b}.",
+            f"{a} and {b} share {n} {thing}. {a} {verb} {m} while {b} takes none. What part of the {n} {thing} is left?",
+        ))
+        items.append(q)
+        words = [a, b, str(n), str(m)]
+        good.append(f"{data.prose(rnd, 30)}. {substituted(rnd, q, words)} {data.prose(rnd, 30)}")
+        torn.append(f"{data.prose(rnd, 30)}. " + re.sub(rf"\b({'|'.join(words)})\b", lambda m: f"{m[0]}{rnd.randint(100, 10**6)}" if m[0].isdigit() else "Z" + data.prose(rnd, 1).replace("-", "") + rnd.choice("abcdefgh") * 3, q))
+    docs = list(enumerate(good + torn))
+    rows = C.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), BENCH)).collect()
+    hits = {(r["doc_id"], r["item_id"]) for r in rows}
+    assert sum((i, i) in hits for i in range(60)) >= 54
+    assert sum((60 + i, i) in hits for i in range(60)) <= 6  # a torn copy counts only by a window that has values of its own once
+    # a document is held by an item only where the two fit: brute force over all windows of all pairs
+    assert not {d for d, i in hits if d < 60 and items[i].split()[0] != items[d].split()[0] and not set(good[d].split()) & set(items[i].split())}
+
+
 def test_short_items_and_nothing(spark):
     assert found(spark, ["the capital of france is paris", "what is paris"], ["capital of france", "is", None, ""]) == {0}
     d, b = data.docs(spark), spark.createDataFrame([], BENCH)

@@ -1,8 +1,10 @@
 """Benchmark decontamination by templates: numbers, names and units become typed placeholders, windows of templates are
-hash-joined, and the slots of a joined pair must be consistent.
+hash-joined, and the slots of a document's windows of an item must be consistent, all of them together.
 
-Everything runs in DataFrame functions. The texts are read once for each block of benchmark windows; a block is of fixed
-size and therefore broadcast, and a benchmark of any size is gone through block by block.
+A capitalised word that begins a sentence may be a name or not. Both sides are read both ways: all such words are words,
+or all are names. Everything runs in DataFrame functions. One pass over the texts, for windows of all lengths, picks
+the runs that a filter of the benchmark's outlines lets through; these few are joined by hash. A benchmark of more than
+BLOCK_WINDOWS windows is gone through block by block.
 """
 
 from __future__ import annotations
@@ -12,14 +14,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import without, written
+from tidemark.llm.common import lookup, without, written
 
 #: Tokens of a window. An item of fewer tokens is one window of all of them.
 WINDOW = 8
-#: A window must have so many tokens beside placeholders: a run of numbers is no question.
+#: A window of fewer tokens beside placeholders is too general for a template: it is joined by its tokens, values included.
 LEAST_WORDS = 3
-#: Benchmark windows broadcast at once.
-BLOCK_WINDOWS = 200_000
+#: Benchmark windows that one pass over the texts looks for, and the most bits of their filter.
+BLOCK_WINDOWS, FILTER_BITS = 1_000_000, 24
 
 #: The units that count as such after a number.
 UNITS = (
@@ -29,43 +31,65 @@ UNITS = (
     "percent dollar dollars cent cents euro euros usd eur degree degrees mph kmh kph watt watts volt volts byte bytes kb mb gb tb"
 ).split()
 
-NUMBER, NAME, UNIT = "\u0001", "\u0002", "\u0003"
-MARKS = "\u0001\u0002\u0003"
+NUMBER, NAME, UNIT, OPENER = "\u0001", "\u0002", "\u0003", "\u0004"
+MARKS = "\u0001\u0002\u0003\u0004"
+#: Placeholders sort before this, words after.
+FIRST_WORD = "\u0005"
+
+#: Scripts that are written without spaces; each of their characters is a token.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 
 
 def tokenised(df: DataFrame) -> DataFrame:
-    """df with `tokens` for its column text: in lower case; numbers, names and units with the mark of their type in front.
+    """df with `tokens` for its column text: in lower case; numbers, names, units and openers with the mark of their type in front.
 
     A number is a run of digits, inner points and commas. A unit stands right after a number. A name is a capitalised word
-    that begins no sentence: what stands before it is a word or a comma.
+    that begins no sentence: what stands before it is a word or a comma. An opener is any other capitalised word.
     """
     # patterns test a character before they look behind, and repeat no groups: Java's matcher recurses into those
     t = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), f"[{MARKS}]", " ")
-    t = F.lower(F.regexp_replace(t, r"(?=\p{Lu})(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}[\p{L}'’]*)", NAME + "$1"))
+    t = F.regexp_replace(t, r"(?=\p{Lu})(?<![\p{L}\p{N}])(\p{Lu}\p{Ll}[\p{L}'’]*)", OPENER + "$1")
+    t = F.lower(F.regexp_replace(t, rf"{OPENER}(?<=[\p{{L}}\p{{N}},;] {OPENER})", NAME))
+    t = F.when(t.rlike(f"[{UNSPACED}]"), F.regexp_replace(t, f"([{UNSPACED}])", " $1 ")).otherwise(t)
     n = F.regexp_replace("plain", r"(?=\d)(?<![\p{L}\p{N}])(\d[\d.,]*)", f" {NUMBER}$1 ")
-    n = F.regexp_replace(n, rf"({NUMBER}[\d.,]+\s+){NAME}?({'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}$2")
+    n = F.regexp_replace(n, rf"({NUMBER}[\d.,]+\s+)[{NAME}{OPENER}]?({'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}$2")
     n = F.regexp_replace(n, r"[.,](?:(?<!\d[.,])|(?!\d))", " ")
     n = F.array_remove(F.split(n, rf"[^\p{{L}}\p{{N}}.,{MARKS}]+"), "")
     w = F.array_remove(F.split("plain", rf"[^\p{{L}}{MARKS}]+"), "")
     return df.withColumn("plain", t).withColumn("tokens", F.when(F.col("plain").rlike(r"\p{N}"), n).otherwise(w)).drop("plain", "text")
 
 
+def bare(token: Column) -> Column:
+    """A token without its mark."""
+    return F.when(token < FIRST_WORD, F.substring(token, 2, 1 << 20)).otherwise(token)
+
+
+def openers_as(tokens: Column, mark: str) -> Column:
+    """Openers as names, or with the mark "" as words."""
+    return F.transform(tokens, lambda t: F.when(t.startswith(OPENER), F.concat(F.lit(mark), F.substring(t, 2, 1 << 20))).otherwise(t))
+
+
 def template(token: Column) -> Column:
-    return F.when(token < F.lit("\u0004"), F.substring(token, 1, 1)).otherwise(token)
+    return F.when(token < FIRST_WORD, F.substring(token, 1, 1)).otherwise(token)
+
 
+def values(window: Column) -> Column:
+    return F.filter(window, lambda t: t < FIRST_WORD)
 
-def slots(window: Column) -> Column:
-    """For each placeholder of a window the place of its value's first use: equal where values can be exchanged one to one."""
-    values = F.filter(window, lambda t: t < F.lit("\u0004"))
-    return F.transform(values, lambda v: F.array_position(values, v))
 
+def by_template(window: Column) -> Column:
+    """Has a window enough words for its template to be joined?"""
+    return F.size(F.filter(window, lambda t: t >= FIRST_WORD)) >= LEAST_WORDS
 
-def bit_set(hashes: list[int], bits: int) -> Column:
-    """The hashes' low bits as a constant array of 2**bits bits."""
-    words = [0] * (1 << (bits - 6))
-    for h in hashes:
-        words[(h & ((1 << bits) - 1)) >> 6] |= 1 << (h & 63)
-    return F.split(F.lit(",".join(str(w - (1 << 64) if w >> 63 else w) for w in words)), ",").cast("array<bigint>")
+
+def form(window: Column) -> Column:
+    """What two windows that are joined have in common: the template, or of windows with few words the tokens."""
+    return F.when(by_template(window), F.transform(window, template)).otherwise(F.transform(window, bare))
+
+
+def bit_set(words: dict[int, int], bits: int) -> Column:
+    """A constant array of 2**bits bits, from its words that are not 0."""
+    return F.split(F.lit(",".join(str(words.get(k, 0)) for k in range(1 << (bits - 6)))), ",").cast("array<bigint>")
 
 
 def outline(first: Column, middle: Column, last: Column) -> Column:
@@ -73,76 +97,84 @@ def outline(first: Column, middle: Column, last: Column) -> Column:
     return first.bitwiseXOR(F.shiftleft(middle, 1)).bitwiseXOR(F.shiftleft(last, 2))
 
 
-def windows(df: DataFrame, size: int, among: list[int] | None = None) -> DataFrame:
-    """df with `tokens` to one row for each run of `size` of them: the other columns, place (from 0), hash, cut (the run) and outline.
+def windows(df: DataFrame, readings: list[str], sizes: list[int], there: Column | None = None, bits: int = 0) -> DataFrame:
+    """df to one row for each run of so many tokens: its other columns, reading, place (from 0), cut (the run), outline.
 
-    With `among`, only runs whose outline can be one of these: a filter on low bits, so that the rows made stay few.
+    `readings` are columns of tokens. Runs of fewer than LEAST_WORDS tokens are whole texts. With `there`, a set of bits,
+    only runs whose outline can be in it, so that the rows made stay few.
     """
-    hashed = F.transform("tokens", lambda t: F.xxhash64(template(t)))
-    last = F.size("hashed") - size
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    places = starts
-    if among is not None:
-        bits = max(12, (64 * len(among)).bit_length())
-        there, mask = bit_set(among, bits), F.lit((1 << bits) - 1)
-        word = lambda h: F.get(there, F.shiftright(h.bitwiseAND(mask), 6).cast("int"))
-        hit = lambda h: word(h).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))) != 0
-        places = F.filter(starts, lambda i: hit(outline(F.get("hashed", i), F.get("hashed", i + size // 2), F.get("hashed", i + size - 1))))
-    run = lambda i: F.slice("hashed", i + 1, size)
-    found = F.transform(places, lambda i: F.struct(i.alias("place"), F.xxhash64(run(i)).alias("hash"), F.slice("tokens", i + 1, size).alias("cut"), outline(*[F.get(run(i), k) for k in (0, size // 2, size - 1)]).alias("outline")))
-    others = [c for c in df.columns if c != "tokens"]
-    df = df.withColumn("hashed", hashed).withColumn("found", found)
+    others, parts = [c for c in df.columns if c not in readings], []
+    for r, name in enumerate(readings):
+        hashed = f"hashed_{r}"
+        df = df.withColumn(hashed, F.transform(name, lambda t: F.xxhash64(template(t))))
+        for size in sizes:
+            last = F.size(hashed) - size
+            fits = last == 0 if size < LEAST_WORDS else last >= 0
+            places = F.when(fits, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+            of = lambda i, h=hashed, n=size: outline(F.get(h, i), F.get(h, i + n // 2), F.get(h, i + n - 1))
+            if there is not None:
+                word = lambda h: F.get(there, F.shiftright(h.bitwiseAND(F.lit((1 << bits) - 1)), 6).cast("int"))
+                hit = lambda h: word(h).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))) != 0
+                places = F.filter(places, lambda i: hit(of(i)))  # noqa: B023
+            parts.append(F.transform(places, lambda i: F.struct(F.lit(r).alias("reading"), i.alias("place"), F.slice(name, i + 1, size).alias("cut"), of(i).alias("outline"))))  # noqa: B023
+    df = df.withColumn("found", F.concat(*parts))
     # outer, lest the optimizer tests each array before it is exploded by working it out once more
-    return df.select(*others, F.explode_outer("found").alias("found")).select(*others, "found.*").where("hash is not null")
+    return df.select(*others, F.explode_outer("found").alias("found")).select(*others, "found.*").where("cut is not null").withColumn("hash", F.xxhash64(F.size("cut"), form(F.col("cut"))))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(size, b_hash, outline, item_id, b_place, b_template, b_slots) of every window that can be joined."""
-    items = tokenised(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"))
-    # an item with names is looked for in lower case too, where its names are words like others
-    plain = F.transform("tokens", lambda t: F.when(t.startswith(NAME), F.substring(t, 2, 1 << 20)).otherwise(t))
-    items = items.union(items.where(F.exists("tokens", lambda t: t.startswith(NAME))).withColumn("tokens", plain))
-    items = items.withColumn("size", F.least(F.size("tokens"), F.lit(WINDOW)))
-    parts = []
-    for size in range(LEAST_WORDS, WINDOW + 1):
-        w = windows(items.where(F.col("size") == size), size)
-        parts.append(w.select("size", F.col("hash").alias("b_hash"), "outline", "item_id", F.col("place").alias("b_place"), F.transform("cut", template).alias("b_template"), slots(F.col("cut")).alias("b_slots")))
-    out = reduce(DataFrame.union, parts)
-    plain = F.size(F.filter("b_template", lambda t: t >= F.lit("\u0004")))
-    return out.where(plain >= LEAST_WORDS)
+    """(size, b_hash, outline, item_id, b_place, b_cut) of every window."""
+    items = tokenised(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")).where(F.size("tokens") > 0)
+    # in a text in lower case names are words like others
+    items = items.withColumns({"words": openers_as(F.col("tokens"), ""), "names": openers_as(F.col("tokens"), NAME), "low": F.transform("tokens", lambda t: F.when(t.startswith(NAME) | t.startswith(OPENER), bare(t)).otherwise(t))}).drop("tokens")
+    items = items.withColumn("size", F.least(F.size("words"), F.lit(WINDOW)))
+    parts = [windows(items.where(F.col("size") == size), ["words", "names", "low"], [size]) for size in range(1, WINDOW + 1)]
+    return reduce(DataFrame.union, parts).select("size", F.col("hash").alias("b_hash"), "outline", "item_id", F.col("place").alias("b_place"), F.col("cut").alias("b_cut")).distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold a window of a benchmark item, perhaps with other numbers, names and units in its slots.
 
-    Takes docs (doc_id, text, ...) and benchmark (item_id, text, ...). Returns for each document and item doc_id, key (a
-    hash of id and text, for rows without an id), item_id, windows (joined windows of the item) and item_windows. Null and empty texts hold nothing; items of fewer than LEAST_WORDS
-    words match nothing; rows alike give one result; an empty table on either side gives an empty result.
+    A window counts if it has the item's own values, or if all windows that stand as they do in the item, one after
+    another, go from the item's values to the document's one to one. Takes docs (doc_id, text, ...) and benchmark
+    (item_id, text, ...). Returns for each document and item doc_id, key (a hash of id and text, for rows without an id),
+    item_id, windows (of the item that count) and item_windows. Null and empty texts hold nothing; windows of fewer than
+    LEAST_WORDS words count with their own values only; items of fewer than LEAST_WORDS tokens are found in documents
+    that have no others; rows alike give one result; an empty table on either side gives an empty result.
     """
     spark = docs.sparkSession
-    bench = written(benchmark_windows(benchmark), "bench-windows")
+    bench = written(benchmark_windows(benchmark), "bench-windows", 100 * benchmark.count(), keep=True)
     sizes = {r["size"]: r["n"] for r in bench.groupBy("size").agg(F.count("*").alias("n")).collect()}  # WINDOW rows at most
+    if not sizes:
+        return spark.createDataFrame([], "doc_id long, key long, item_id long, windows long, item_windows long")
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     rows = tokenised(docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), text.alias("text")))
-    found = []
-    for size, n in sorted(sizes.items()):
-        blocks = -(-n // BLOCK_WINDOWS)
-        for k in range(blocks):
-            part = bench.where((F.col("size") == size) & (F.pmod(F.xxhash64("b_hash", "b_place", "item_id"), F.lit(blocks)) == k)).drop("size")
-            among = [r["outline"] for r in part.select("outline").distinct().collect()]  # about BLOCK_WINDOWS numbers
-            hit = windows(rows, size, among).drop("outline").join(F.broadcast(part.drop("outline")), F.col("hash") == F.col("b_hash"))
-            # as inequalities these are no join keys, so that they are worked out for joined windows only
-            form, used = F.transform("cut", template), slots(F.col("cut"))
-            hit = hit.where((form <= F.col("b_template")) & (form >= F.col("b_template")) & (used <= F.col("b_slots")) & (used >= F.col("b_slots")))
-            found.append(hit.select("doc_id", "key", "item_id", "b_place"))
-    if not found:
-        return spark.createDataFrame([], "doc_id long, key long, item_id long, windows long, item_windows long")
-    hits = reduce(DataFrame.union, found)
+    rows = rows.withColumns({"words": openers_as(F.col("tokens"), ""), "names": openers_as(F.col("tokens"), NAME)}).drop("tokens")
+    n = sum(sizes.values())
+    blocks, hits = -(-n // BLOCK_WINDOWS), []
+    bits = min(max((64 * -(-n // blocks)).bit_length(), 12), FILTER_BITS)
+    for k in range(blocks):
+        part = bench.where(F.pmod(F.xxhash64("b_hash", "b_place", "item_id"), F.lit(blocks)) == k)
+        at = F.pmod("outline", F.lit(1 << bits))
+        words = part.groupBy(F.shiftright(at, 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(outline, 64) AS int)))").alias("bits"))
+        words = {r["word"]: r["bits"] for r in words.collect()}  # 2**(FILTER_BITS - 6) at most
+        runs = windows(rows, ["words", "names"], sorted(sizes), bit_set(words, bits), bits).select("doc_id", "key", "reading", "place", "cut", "hash")
+        hits.append(lookup(runs, part.select(F.col("b_hash").alias("hash"), "item_id", "b_place", "b_cut"), "hash", F.xxhash64("key", "place")))
+    # as inequalities these are no join keys, so that they are worked out for joined windows only
+    one, two = form(F.col("cut")), form(F.col("b_cut"))
+    pairs = F.transform(F.arrays_zip(values(F.col("b_cut")).alias("b"), values(F.col("cut")).alias("d")), lambda x: F.struct(x["b"].alias("b"), x["d"].alias("d")))
+    hit = reduce(DataFrame.union, hits).where((one <= two) & (one >= two))
+    hit = hit.select("doc_id", "key", "item_id", "reading", (F.col("place") - F.col("b_place")).alias("shift"), "b_place", (F.transform("cut", bare) == F.transform("b_cut", bare)).alias("own"), pairs.alias("pairs")).distinct()
+    # windows of one item at one place of one document: as many as the item has
+    every = F.array_distinct(F.flatten(F.collect_list("pairs")))
+    alike = hit.groupBy("doc_id", "key", "item_id", "reading", "shift").agg(every.alias("pairs"), F.collect_set("b_place").alias("all"), F.collect_set(F.when(F.col("own"), F.col("b_place"))).alias("own"))
+    one_to_one = (F.size(F.array_distinct("pairs.b")) == F.size("pairs")) & (F.size(F.array_distinct("pairs.d")) == F.size("pairs"))
+    held = alike.select("doc_id", "key", "item_id", F.explode(F.when(one_to_one, F.col("all")).otherwise(F.col("own"))).alias("b_place"))
     total = bench.groupBy("item_id").agg(F.count_distinct("b_place").alias("item_windows"))
-    out = hits.groupBy("doc_id", "key", "item_id").agg(F.count_distinct("b_place").alias("windows"))
-    return out.join(total, "item_id").select("doc_id", "key", "item_id", "windows", "item_windows")
+    out = held.groupBy("doc_id", "key", "item_id").agg(F.count_distinct("b_place").alias("windows"))
+    return lookup(out, written(total, "bench-items", n, keep=True), "item_id", F.col("key")).select("doc_id", "key", "item_id", "windows", "item_windows")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no window of the benchmark, with all their columns."""
-    return without(docs, contaminated(docs, benchmark).select("key"))
+    return without(docs, contaminated(docs, benchmark).select("doc_id", "key"))
