@@ -82,7 +82,7 @@ def captures():
 def test_warc_round_trip(spark, tmp_path, monkeypatch):
     rows = captures()
     df = spark.createDataFrame(rows, "id long, url string, seconds long, payload string").repartition(3)
-    monkeypatch.setattr(W, "RECORDS_PER_FILE", 9)
+    monkeypatch.setattr(W, "FILE_BYTES", 3000)
     path = f"file://{tmp_path}/warc"
     W.write(df, path)
     got = W.index(spark, path).collect()
@@ -98,10 +98,10 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch):
         again = len(p) >= 100 and lead is not None and id_ != lead
         want.append((id_, len(p), hashlib.sha256(p).hexdigest(), "revisit" if again else "response", lead if again else None))
     assert sorted(((r["id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got), key=repr) == sorted(want, key=repr)
-    files = {p.name: p.read_bytes() for p in (tmp_path / "warc").glob("part-*")}
+    files = {"/".join(p.parts[-2:]): p.read_bytes() for p in (tmp_path / "warc").rglob("part-*")}
     assert len(files) > 3
     for r in got:  # every record can be read on its own, and every file as one gzip stream
-        raw = files[r["run"].rsplit("/", 1)[1]][r["offset"] : r["offset"] + r["length"]]
+        raw = files["/".join(r["run"].split("/")[-2:])][r["offset"] : r["offset"] + r["length"]]
         assert gzip.decompress(raw).startswith(b"WARC/1.1\r\nWARC-Type: " + r["record_type"].encode())
     for raw in files.values():
         gzip.decompress(raw)
@@ -114,11 +114,50 @@ def test_index_is_in_global_order(spark, tmp_path):
     assert lines == sorted(lines)
 
 
+def test_no_pages_and_columns_that_clash(spark, tmp_path):
+    ddl = "id long, url string, seconds long, payload string, digest string, key long, first long, `file` string, member int, `__key` string, `__digest` int"
+    rows = [(*r, "d", 1, 2, "f", 3, "k", 4) for r in captures()]
+    for name, some in (("none", []), ("some", rows)):
+        W.write(spark.createDataFrame(some, ddl), f"file://{tmp_path}/{name}")
+        got = W.index(spark, f"file://{tmp_path}/{name}")
+        assert got.count() == len(some)
+    W.write(spark.createDataFrame(captures(), "id long, url string, seconds long, payload string"), f"file://{tmp_path}/plain")
+    of = lambda name: sorted(map(repr, W.index(spark, f"file://{tmp_path}/{name}").select("id", "payload_digest", "record_type", "refers_to").collect()))
+    assert of("some") == of("plain")
+
+
+def test_large_payloads_stay_in_one_file(spark, tmp_path, monkeypatch):
+    """Records of several members, each larger than a file is meant to be."""
+    monkeypatch.setattr(W, "MEMBER_BYTES", 5000)
+    monkeypatch.setattr(W, "FILE_BYTES", 2000)
+    rnd = random.Random(3)
+    rows = [(i, f"http://x.org/{i}", i, "".join(rnd.choices("abcdefgh ", k=20_000 * (1 + i % 3)))) for i in range(12)]
+    W.write(spark.createDataFrame(rows, "id long, url string, seconds long, payload string").repartition(2), f"file://{tmp_path}/w")
+    got = {r["id"]: r["payload_digest"] for r in W.index(spark, f"file://{tmp_path}/w").collect()}
+    assert got == {r[0]: hashlib.sha256(r[3].encode()).hexdigest() for r in rows}
+    assert len(list((tmp_path / "w").rglob("part-*"))) == 12
+
+
+@pytest.mark.parametrize("runs", [0, 1, 3, 40])
+def test_runs_are_merged_in_passes_from_spill_files(monkeypatch, runs):
+    monkeypatch.setattr(W, "FAN_IN", 3)
+    monkeypatch.setattr(W, "BLOCK_LINES", 4)
+    monkeypatch.setattr(W, "HELD_LINES", 25)
+    rnd = random.Random(runs)
+    lines = []
+    for k in range(runs):
+        own = sorted((f"k{rnd.randrange(9)}", rnd.randrange(5)) for _ in range(rnd.randrange(1, 14)))
+        lines += [(*x, f"run{k:03}", i, 0, 1, "u", k, 2, "d", "response", None) for i, x in enumerate(own)]
+    table = pa.Table.from_batches([W.batch_of(lines)]) if lines else W.LINE.empty_table()
+    got = [x for b in W.merged_runs(iter(table.to_batches(max_chunksize=7))) for x in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+    assert got == sorted(lines, key=lambda x: x[:4])
+
+
 def test_large_records_are_several_members(monkeypatch):
     monkeypatch.setattr(W, "MEMBER_BYTES", 1000)
     payload = random.Random(1).randbytes(5000)
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["http://a.org/"]), pa.array([5]), pa.array([hashlib.sha256(payload).hexdigest()]), pa.array([payload], pa.binary()), pa.array([None], pa.int64()), pa.array([None], pa.int64())], names=list("abcdefg"))
-    raw = b"".join(m.as_py() + b"\0" for out in W.records(iter([batch])) for m in out.column(0))
+    raw = b"".join(m.as_py() + b"\0" for out in W.file_cutter(1 << 20)(iter([batch])) for m in out.column(0))
     (one,) = list(W.records_of(memoryview(raw)))
     assert one[3].endswith(payload) and (one[0], one[1]) == (0, len(raw))
     with pytest.raises(ValueError):

@@ -4,28 +4,12 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm import data
+from tests.llm import brute, data
+from tests.llm.brute import water
 from tidemark.llm import mixing as M
 from tidemark.llm import sharding as S
 
 
-def water(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
-    """Targets by resharing the excess, as the contract says it."""
-    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
-    w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    left, goal, out = set(order), share * sum(sizes.values()), {}
-    while left:
-        rest = goal - sum(out.values())
-        part = {s: rest * w[s] / sum(w[x] for x in left) for s in left}
-        full = {s for s in left if part[s] > most * sizes[s]}
-        if not full:
-            out |= part
-            break
-        out |= {s: most * sizes[s] for s in full}
-        left -= full
-    return out
-
-
 @pytest.mark.parametrize("sizes", [{"a": 10, "b": 10, "c": 10}, {"a": 1, "b": 1000, None: 5, "Z": 7, "é": 50}, {f"s{i}": i * i for i in range(30)}, {"a": 0}, {"a": 3}])
 def test_targets(spark, sizes):
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
@@ -42,8 +26,37 @@ def test_mix(spark):
         rate = r["target"] / r["source_size"] if r["source_size"] else 0
         assert int(rate) <= r["copies"] <= int(rate) + (rate % 1 > 0)
     assert Counter(map(repr, rows)) == Counter(map(repr, M.mix(data.docs(spark)).collect()))  # reruns agree
-    assert M.emit(M.mix(data.docs(spark))).count() == sum(r["copies"] for r in rows)
-    assert M.mix(data.nothing(spark)).count() == 0
+    whole = M.mixture(data.docs(spark))
+    assert whole.columns == data.docs(spark).columns
+    assert Counter(r["doc_id"] for r in whole.collect()) == +sum((Counter({r["doc_id"]: r["copies"]}) for r in rows), Counter())
+    assert M.mix(data.nothing(spark)).count() == 0 and M.mixture(data.nothing(spark)).count() == 0
+
+
+def test_mix_against_brute_force(spark):
+    rows = data.rows()
+    got = Counter((r["doc_id"], r["text"], r["copies"]) for r in M.mix(data.docs(spark)).collect())
+    assert got == Counter((r[0], r[1], n) for r, n in zip(rows, brute.mixed([(r[0], r[1], r[3]) for r in rows]), strict=True))
+
+
+def test_mix_with_columns_of_its_own_names(spark):
+    names = ("rate", "copy", "copies", "size", "target", "source_size", "draw", "__size", "__rate", "__source", "__each", "weight", "k", "a.b", "sums")
+    docs = data.docs(spark).drop("size", "__key")
+    more = docs.select("*", *[F.lit(f"own {x}").alias(x) for x in names])
+    want = Counter((r["doc_id"], r["size"], r["copies"]) for r in M.mix(docs).collect())
+    got = M.mix(more)
+    assert Counter((r["doc_id"], r["size"], r["copies"]) for r in got.collect()) == want
+    assert got.columns == [c for c in more.columns if c not in ("copies", "size", "target", "source_size")] + ["size", "source_size", "target", "copies"]
+    whole = M.mixture(more)
+    assert whole.columns == more.columns
+    assert {tuple(r[x] for x in names) for r in whole.collect()} == {tuple(f"own {x}" for x in names)}
+    assert whole.count() == M.mixture(docs).count()
+
+
+def test_small_sources_come_near_their_targets(spark):
+    """A source cannot come nearer than its texts' sizes allow: what is left is at most a tenth, or the smallest few texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for r in M.mix(docs).groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("size") * F.col("copies")).alias("taken")).collect():
+        assert r["taken"] == pytest.approx(r["target"], rel=0.1), r
 
 
 def test_taken_comes_near_the_target(spark):
@@ -91,6 +104,19 @@ def test_growing_moves_few_rows():
     assert sum(a[k] != b[k] for k in a) < 0.35 * len(a)
 
 
+def test_growing_with_full_shards_moves_few_rows():
+    """The setting that the query uses: 24 shards to 25, no slack. The least share that can move is a 25th."""
+    counts = {c: 40 for c in range(1 << 14)}
+
+    def owner(shards):
+        return {(cell, k): s for cell, lo, hi, s, _ in S.lay_out(counts, shards, 64, 14, 1.0) for k in range(lo, hi)}
+
+    a, b = owner(24), owner(25)
+    moved = [k for k in a if a[k] != b[k]]
+    assert 0.04 * len(a) <= len(moved) < 0.08 * len(a)
+    assert sum(b[k] == 24 for k in moved) > 0.6 * len(moved)
+
+
 def test_one_key_with_a_third_of_all_rows(spark):
     rows = [(1, "same")] * 12_000 + [(i, f"t{i}") for i in range(24_000)]
     got = S.shard(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("top")).collect()

@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tests.llm import data
+from tests.llm import brute, data
 from tidemark.llm import decontamination as C
 from tidemark.llm import language_id as L
 from tidemark.llm import line_dedup as N
@@ -130,29 +130,17 @@ def test_long_runs_of_junk(spark):
     assert found(spark, ["-.,;!" * 50_000 + QUESTION, "1,2." * 50_000, "A" * 200_000]) == {0}
 
 
-def brute_lines(spark, docs):
-    rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text")).distinct()
-    cut = N.chunks(rows).collect()
-    places = {}
-    for r in sorted(cut, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["key"])):
-        lines = r["text"].split("\n")
-        for c in r["chunks"]:
-            if c["lines"] >= N.LEAST_LINES:
-                places.setdefault("\n".join(lines[c["first"] - 1 : c["first"] - 1 + c["lines"]]), []).append((r["doc_id"], r["key"], c["first"], c["lines"]))
-    gone = {}
-    for where in places.values():
-        for doc, key, first, n in where[1:]:
-            gone.setdefault((doc, key), set()).update(range(first, first + n))
-    return {(r["doc_id"], "\n".join(x for k, x in enumerate(r["text"].split("\n"), 1) if k not in gone.get((r["doc_id"], r["key"]), ()))) for r in cut}
-
-
 def test_line_dedup(spark):
     block = "\n".join(f"line {i} of a block that is shared" for i in range(40))
     extra = [(900 + i, f"own {i}\n{block}\nend {i}", "en", "b", 0, 0, "c", "k") for i in range(5)]
     d = spark.createDataFrame(data.rows() + extra, data.SCHEMA).repartition(3)
     got = N.line_dedup(d).collect()
     assert len(got) == d.count()
-    assert {(r["doc_id"], r["clean_text"]) for r in got} == brute_lines(spark, d)
+    # places in order: ids, then a hash of the row for those that share one
+    rows = d.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text")).distinct().collect()
+    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["key"]))
+    left = brute.lines_left([((r["doc_id"], r["key"]), r["text"]) for r in rows])
+    assert {(r["doc_id"], r["clean_text"]) for r in got} == {(doc, text) for (doc, _), text in left.items()}
     of = {r["doc_id"]: r for r in got}
     assert of[900]["removed_lines"] == 0 and all(of[900 + i]["removed_lines"] >= 20 for i in range(1, 5))
     assert all(of[900 + i]["clean_text"].startswith(f"own {i}") for i in range(1, 5))
@@ -192,6 +180,26 @@ def test_language_id(spark):
     assert L.accepted(data.nothing(spark)).count() == 0
 
 
+def test_language_id_against_brute_force(spark):
+    """Likelihoods, declarations, suffixes and priors by host and domain, fused row by row."""
+    rnd = random.Random(6)
+    hosts = ["a.x.de", "b.x.de", "www.y.fr", "z.org", None, "localhost"]
+    rows = []
+    for i in range(120):
+        lang = rnd.choice(list(SPEECH))
+        words = SPEECH[lang].split()
+        text = rnd.choice((" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 12))), " ".join(rnd.choice(" ".join(SPEECH.values()).split()) for _ in range(4)), "", None, "12 34", "語言識別 言語判定 " * 20))
+        rows.append((i, text, lang, rnd.choice((lang, lang, "de-AT", "xx", None, " FR")), rnd.choice(hosts), rnd.choice(("de", "fr", "org", None))))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, declared string, host string, suffix string").repartition(3)
+    got = {r["doc_id"]: r for r in L.identify(df, ["doc_id"], L.fit(df)).collect()}
+    want = brute.identified(brute.language_model([(r[1], r[2]) for r in rows]), [(r[1], *r[3:]) for r in rows], L.SUFFIXES)
+    for r, (language, probability, accepted) in zip(rows, want, strict=True):
+        g = got[r[0]]
+        assert (g["language"], g["accepted"]) == (language, accepted), r
+        assert abs(g["probability"] - probability) < 1e-3
+    assert len({w[0] for w in want}) == 4 and {w[2] for w in want} == {True, False}
+
+
 def test_rare_languages_are_known_at_every_size(spark):
     """Few rows among many, and more languages than a fixed number."""
     rare = [(100_000 + i, SPEECH["fr"], "fr", None) for i in range(10)]

@@ -60,7 +60,8 @@ def removed(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables written inside are removed at the end, but for those written with keep, which the result still reads."""
+    """Tables written inside are removed at the end. Those written with keep, which the result still reads, are handed on
+    to the scratch around this one, if there is one."""
     _scratches.open.append([])
     try:
         yield
@@ -151,7 +152,7 @@ def without(docs: DataFrame, gone: DataFrame, rows: int | None = None) -> DataFr
     """
     key = free_name("__row_key", docs)
     pair = F.struct(F.col("doc_id").cast("long").alias("id"), F.col("key").alias("key"))
-    small = written(gone.select(pair.alias(key)).distinct(), "gone", rows, keep=True)
+    small = written(gone.select(pair.alias(key)).distinct(), "gone", rows)
     own = F.struct(F.col("doc_id").cast("long").alias("id"), row_key().alias("key"))
     return lookup(docs.withColumn(key, own), small, key, F.col("doc_id"), salts=1, how="left_anti").drop(key)
 
@@ -170,7 +171,7 @@ def narrow(df: DataFrame, rows: int | None = None) -> DataFrame:
 def ranked(df: DataFrame, order: list[Column], name: str, parts: int = 32) -> DataFrame:
     """Number the rows from 0 in a global order without a window over all rows: range partitions, then counts per partition."""
     part = free_name("__part", df)
-    dealt = written(df.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id()), "ranked", keep=True)
+    dealt = written(df.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id()), "ranked")
     counts = sorted((r[part], r["n"]) for r in dealt.groupBy(part).agg(F.count("*").alias("n")).collect())
     start, base = {}, 0
     for k, n in counts:

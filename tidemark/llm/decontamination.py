@@ -36,8 +36,9 @@ MARKS = "\u0001\u0002\u0003\u0004"
 #: Placeholders sort before this, words after.
 FIRST_WORD = "\u0005"
 
-#: Scripts that are written without spaces; each of their characters is a token.
-UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+#: Code points of scripts that are written without spaces (Thai, Lao, Myanmar, Khmer, kana, Han); each of
+#: their characters is a token.
+UNSPACED = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}"
 
 
 def tokenised(df: DataFrame) -> DataFrame:
@@ -98,28 +99,31 @@ def outline(first: Column, middle: Column, last: Column) -> Column:
 
 
 def windows(df: DataFrame, readings: list[str], sizes: list[int], there: Column | None = None, bits: int = 0) -> DataFrame:
-    """df to one row for each run of so many tokens: its other columns, reading, place (from 0), cut (the run), outline.
+    """df to one row for each run of so many tokens: its other columns, reading, place (from 0), cut (the run), outline, hash.
 
-    `readings` are columns of tokens. Runs of fewer than LEAST_WORDS tokens are whole texts. With `there`, a set of bits,
-    only runs whose outline can be in it, so that the rows made stay few.
+    `readings` are columns of tokens, as many in each. Runs of fewer than LEAST_WORDS tokens are whole texts. With `there`,
+    a set of bits, only runs whose outline can be in it. Places become rows first and are tested there, within generated
+    code; a row points to its text's arrays, which are copied for the few that pass only.
     """
-    others, parts = [c for c in df.columns if c not in readings], []
+    others = [c for c in df.columns if c not in readings]
     for r, name in enumerate(readings):
-        hashed = f"hashed_{r}"
-        df = df.withColumn(hashed, F.transform(name, lambda t: F.xxhash64(template(t))))
+        df = df.withColumn(f"hashed_{r}", F.transform(name, lambda t: F.xxhash64(template(t))))
+    # outer, lest the optimizer tests each array before it is exploded by working it out once more
+    rows = df.select("*", F.posexplode_outer("hashed_0").alias("place", "first"))
+    place, cases = F.col("place"), []
+    for r in range(len(readings)):
         for size in sizes:
-            last = F.size(hashed) - size
-            fits = last == 0 if size < LEAST_WORDS else last >= 0
-            places = F.when(fits, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-            of = lambda i, h=hashed, n=size: outline(F.get(h, i), F.get(h, i + n // 2), F.get(h, i + n - 1))
+            of = outline(*[F.get(f"hashed_{r}", place + k) for k in (0, size // 2, size - 1)])
+            hit = of.isNotNull()
             if there is not None:
-                word = lambda h: F.get(there, F.shiftright(h.bitwiseAND(F.lit((1 << bits) - 1)), 6).cast("int"))
-                hit = lambda h: word(h).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))) != 0
-                places = F.filter(places, lambda i: hit(of(i)))  # noqa: B023
-            parts.append(F.transform(places, lambda i: F.struct(F.lit(r).alias("reading"), i.alias("place"), F.slice(name, i + 1, size).alias("cut"), of(i).alias("outline"))))  # noqa: B023
-    df = df.withColumn("found", F.concat(*parts))
-    # outer, lest the optimizer tests each array before it is exploded by working it out once more
-    return df.select(*others, F.explode_outer("found").alias("found")).select(*others, "found.*").where("cut is not null").withColumn("hash", F.xxhash64(F.size("cut"), form(F.col("cut"))))
+                word = F.get(there, F.shiftright(of.bitwiseAND(F.lit((1 << bits) - 1)), 6).cast("int"))
+                hit = word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), of.bitwiseAND(F.lit(63)).cast("int"))) != 0
+            if size < LEAST_WORDS:
+                hit = hit & (F.size("hashed_0") == size)
+            cases.append((hit, F.struct(F.lit(r).alias("reading"), F.slice(readings[r], place + 1, size).alias("cut"), of.alias("outline"))))
+    rows = rows.where(reduce(Column.__or__, [hit for hit, _ in cases]))
+    rows = rows.select(*others, "place", F.explode_outer(F.array(*[F.when(hit, found) for hit, found in cases])).alias("found")).where("found is not null")
+    return rows.select(*others, "place", "found.*").withColumn("hash", F.xxhash64(F.size("cut"), form(F.col("cut"))))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -143,7 +147,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     that have no others; rows alike give one result; an empty table on either side gives an empty result.
     """
     spark = docs.sparkSession
-    bench = written(benchmark_windows(benchmark), "bench-windows", 100 * benchmark.count(), keep=True)
+    bench = written(benchmark_windows(benchmark), "bench-windows", 100 * benchmark.count())
     sizes = {r["size"]: r["n"] for r in bench.groupBy("size").agg(F.count("*").alias("n")).collect()}  # WINDOW rows at most
     if not sizes:
         return spark.createDataFrame([], "doc_id long, key long, item_id long, windows long, item_windows long")
@@ -158,21 +162,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         at = F.pmod("outline", F.lit(1 << bits))
         words = part.groupBy(F.shiftright(at, 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(outline, 64) AS int)))").alias("bits"))
         words = {r["word"]: r["bits"] for r in words.collect()}  # 2**(FILTER_BITS - 6) at most
-        runs = windows(rows, ["words", "names"], sorted(sizes), bit_set(words, bits), bits).select("doc_id", "key", "reading", "place", "cut", "hash")
+        runs = windows(rows, ["words", "names"], sorted(sizes), bit_set(words, bits), bits).select("doc_id", "key", "place", "cut", "hash")
         hits.append(lookup(runs, part.select(F.col("b_hash").alias("hash"), "item_id", "b_place", "b_cut"), "hash", F.xxhash64("key", "place")))
     # as inequalities these are no join keys, so that they are worked out for joined windows only
     one, two = form(F.col("cut")), form(F.col("b_cut"))
     pairs = F.transform(F.arrays_zip(values(F.col("b_cut")).alias("b"), values(F.col("cut")).alias("d")), lambda x: F.struct(x["b"].alias("b"), x["d"].alias("d")))
     hit = reduce(DataFrame.union, hits).where((one <= two) & (one >= two))
-    hit = hit.select("doc_id", "key", "item_id", "reading", (F.col("place") - F.col("b_place")).alias("shift"), "b_place", (F.transform("cut", bare) == F.transform("b_cut", bare)).alias("own"), pairs.alias("pairs")).distinct()
-    # windows of one item at one place of one document: as many as the item has
+    hit = hit.select("doc_id", "key", "item_id", (F.col("place") - F.col("b_place")).alias("shift"), "b_place", (F.transform("cut", bare) == F.transform("b_cut", bare)).alias("own"), pairs.alias("pairs")).distinct()
+    # windows of one item at one place of one document, in both readings: a few times as many as the item has
     every = F.array_distinct(F.flatten(F.collect_list("pairs")))
-    alike = hit.groupBy("doc_id", "key", "item_id", "reading", "shift").agg(every.alias("pairs"), F.collect_set("b_place").alias("all"), F.collect_set(F.when(F.col("own"), F.col("b_place"))).alias("own"))
+    alike = hit.groupBy("doc_id", "key", "item_id", "shift").agg(every.alias("pairs"), F.collect_set("b_place").alias("all"), F.collect_set(F.when(F.col("own"), F.col("b_place"))).alias("own"))
     one_to_one = (F.size(F.array_distinct("pairs.b")) == F.size("pairs")) & (F.size(F.array_distinct("pairs.d")) == F.size("pairs"))
     held = alike.select("doc_id", "key", "item_id", F.explode(F.when(one_to_one, F.col("all")).otherwise(F.col("own"))).alias("b_place"))
     total = bench.groupBy("item_id").agg(F.count_distinct("b_place").alias("item_windows"))
     out = held.groupBy("doc_id", "key", "item_id").agg(F.count_distinct("b_place").alias("windows"))
-    return lookup(out, written(total, "bench-items", n, keep=True), "item_id", F.col("key")).select("doc_id", "key", "item_id", "windows", "item_windows")
+    return lookup(out, written(total, "bench-items", n), "item_id", F.col("key")).select("doc_id", "key", "item_id", "windows", "item_windows")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -182,10 +182,10 @@ def identify(rows: DataFrame, keys: list[str], model: Model) -> DataFrame:
     soft = F.transform("logs", lambda x: F.exp(x - most))
     total = F.aggregate("soft", F.lit(0.0), lambda a, x: a + x)
     scored = scored.withColumn("soft", soft).withColumn("soft", F.transform("soft", lambda x: F.when(F.col("trigrams") > 0, x / total).otherwise(0.0)))
-    scored = written(scored.withColumn("domain", F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0)), "language-scores", keep=True)
+    scored = written(scored.withColumn("domain", F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0)), "language-scores")
     n = scored.count()
-    hosts = written(scored.groupBy("domain", "host").agg(total_of("soft", width).alias("by_host")), "hosts", n, keep=True)
-    domains = written(hosts.groupBy("domain").agg(total_of("by_host", width).alias("by_domain")), "domains", n, keep=True)
+    hosts = written(scored.groupBy("domain", "host").agg(total_of("soft", width).alias("by_host")), "hosts", n)
+    domains = written(hosts.groupBy("domain").agg(total_of("by_host", width).alias("by_domain")), "domains", n)
     overall = np.array(domains.agg(total_of("by_domain", width).alias("n")).first()["n"], float)
     overall = np.nan_to_num(overall)
     # how often rows of each language declare each language: as many numbers as pairs of languages
@@ -195,7 +195,7 @@ def identify(rows: DataFrame, keys: list[str], model: Model) -> DataFrame:
         agree[model.languages.index(r["said"]) if r["said"] else width - 1] += r["n"]
     agree = np.log(agree / agree.sum(axis=0, keepdims=True))
     priors = lookup(hosts, domains, "domain", F.col("host")).select("host", "by_host", "by_domain")
-    joined = lookup(scored.drop("soft", "domain"), written(priors, "host-priors", n, keep=True), "host", F.xxhash64(*keys))
+    joined = lookup(scored.drop("soft", "domain"), written(priors, "host-priors", n), "host", F.xxhash64(*keys))
     out = joined.select(*keys, "declared", "suffix", "logs", "trigrams", "by_host", "by_domain")
     return in_arrow(out, fuser(model.languages, overall, agree, k), f"{head}, language string, probability double, accepted boolean")
 

@@ -103,13 +103,19 @@ r AS (
 l AS (SELECT coalesce(arg_min((goal - capped) / w_left, ratio) FILTER ((goal - capped) / w_left < ratio), max(ratio)) AS level FROM r),
 g AS (SELECT source, source_size, least(2.0 * source_size, w * level) AS target FROM s, l),
 c AS (
-  SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
-         CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
-         ('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || size), 1, 13))::BIGINT / 4503599627370496.0 AS u
-  FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, round(target, 3) AS target,
-       size * (CAST(floor(rate) AS BIGINT) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
-FROM c
+  SELECT doc_id, size, g.source, source_size, target,
+         CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate
+  FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source),
+d AS (
+  SELECT c.*, k, ('0x' || substr(md5(k || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || size), 1, 13))::BIGINT / 4503599627370496.0 < rate - floor(rate) AS more
+  FROM c, range(7, 39) AS draws(k)),
+e AS (
+  SELECT source, k, abs(floor(any_value(rate)) * any_value(source_size) + coalesce(sum(size) FILTER (more), 0) - any_value(target)) AS off
+  FROM d GROUP BY source, k),
+b AS (SELECT source, k FROM (SELECT source, k, row_number() OVER (PARTITION BY source ORDER BY off, k) AS n FROM e) WHERE n = 1)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, round(target, 3) AS target,
+       size * (CAST(floor(rate) AS BIGINT) + CASE WHEN more THEN 1 ELSE 0 END) AS taken
+FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source AND d.k = b.k
 """
 
 

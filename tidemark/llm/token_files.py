@@ -298,7 +298,7 @@ def read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The documents of a folder of such files: doc_id, start (ids of all documents before), n_tokens, ids_crc32."""
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
-    docs = written(in_arrow(files, read_files, "part int, file int, doc_id long, within long, n_tokens long, ids_crc32 long"), "token-docs", keep=True)
+    docs = written(in_arrow(files, read_files, "part int, file int, doc_id long, within long, n_tokens long, ids_crc32 long"), "token-docs")
     sums = docs.groupBy("part", "file").agg(F.sum("n_tokens").alias("ids"))
     # one row for each file: the files before it, by ranges of files
     table = ranked(sums, [F.col("part"), F.col("file")], "k").withColumn("block", F.floor(F.col("k") / 1000))

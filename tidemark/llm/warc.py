@@ -1,34 +1,40 @@
 """WARC archives of captures, and an index of them by external merging.
 
-Writing: every capture is one record of gzip members, in files of bounded size. Of captures with equal payloads the one
-with the smallest id is a response, the others are revisits that refer to it. The files go through Spark's own writer, so
-that they reach any store and appear when their task commits. That writer ends each row with a separator: a byte 0, which
-is the last byte of a gzip member of less than 16 MiB and is left out before.
+Writing: every capture is one record of gzip members; a file ends with the record that takes it past FILE_BYTES. Of
+captures with equal payloads the one with the smallest id is a response, the others are revisits that refer to it. The
+files go through Spark's own writer, so that they reach any store and appear when their task commits. That writer ends
+each row with a separator: a byte 0, which is the last byte of a gzip member of less than 16 MiB and is left out before.
 
 Indexing: each archive read back gives a run of index lines, sorted by URL key and time. Runs are dealt over ranges of
-keys, and in each range a loser tree merges them, k ways, into the order of all captures.
+keys. In each range they come one after another, go to spill files of the task, and a loser tree merges them from there,
+FAN_IN at a time and in as many passes as that takes. A task holds a block of lines of each of FAN_IN runs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import tempfile
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC, datetime
+from itertools import chain, groupby, islice
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lookup, written
+from tidemark.llm.common import in_arrow, lookup, written
 
 LEAST_BYTES = 100
 MEMBER_BYTES = 8 << 20
-RECORDS_PER_FILE = 3000
+FILE_BYTES = 32 << 20
 READ_STEP = 1 << 16
 LINES_PER_RANGE = 500_000
+#: Runs merged at once, lines of a run held at once, and lines of a range up to which no spill file is needed.
+FAN_IN, BLOCK_LINES, HELD_LINES = 32, 512, 50_000
 
 #: Fixed values of the WARC format.
 VERSION = b"WARC/1.1"
@@ -77,22 +83,34 @@ def member(raw: bytes) -> bytes:
     return z.compress(raw) + z.flush()
 
 
-def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, url, seconds, digest, payload, first_id, first_seconds) to gzip members without their last byte."""
-    for batch in batches:
-        rest = [batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5, 6)]
-        payloads = batch.column(4).cast(pa.binary())
-        out, size = [], 0
-        for i, (id_, url, seconds, digest, first, at) in enumerate(zip(*rest, strict=True)):
-            raw = record(id_, url, seconds, digest, payloads[i].as_py() or b"", None if first is None else (first, at))
-            for a in range(0, len(raw), MEMBER_BYTES):
-                out.append(member(raw[a : a + MEMBER_BYTES])[:-1])
-                size += len(out[-1])
-            if size > MEMBER_BYTES:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
-                out, size = [], 0
+MEMBERS = pa.schema([("member", pa.binary()), ("file", pa.int32()), ("place", pa.int64())])
+
+
+def file_cutter(file_bytes: int):
+    """A function from (id, url, seconds, digest, payload, first_id, first_seconds) to gzip members without their last byte,
+    each with the number of its file in the task and its place there. All members of a record are in one file."""
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, place, filled, out, size = 0, 0, 0, [], 0
+        for batch in batches:
+            rest = [batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5, 6)]
+            payloads = batch.column(4).cast(pa.binary())
+            for i, (id_, url, seconds, digest, first, at) in enumerate(zip(*rest, strict=True)):
+                raw = record(id_, url, seconds, digest, payloads[i].as_py() or b"", None if first is None else (first, at))
+                for a in range(0, len(raw), MEMBER_BYTES):
+                    out.append((member(raw[a : a + MEMBER_BYTES])[:-1], file, place))
+                    place += 1
+                    filled += len(out[-1][0])
+                    size += len(out[-1][0])
+                    if size > MEMBER_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), MEMBERS, strict=True)], schema=MEMBERS)
+                        out, size = [], 0
+                if filled >= file_bytes:
+                    file, filled = file + 1, 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), MEMBERS, strict=True)], schema=MEMBERS)
+
+    return records
 
 
 def write(captures: DataFrame, path: str) -> None:
@@ -100,7 +118,7 @@ def write(captures: DataFrame, path: str) -> None:
 
     Null payloads are empty; captures of less than LEAST_BYTES are responses always. Null ids come last and are never
     referred to; a capture without a URL has no target. Captures alike in id and payload share their fate. An empty table
-    gives no archive.
+    gives no archive; other columns are ignored, whatever their names.
     """
     rows = captures.select(F.col("id").cast("long").alias("id"), "url", F.col("seconds").cast("long").alias("seconds"), F.coalesce(F.col("payload"), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("key", F.xxhash64("id", "digest"))
@@ -110,8 +128,8 @@ def write(captures: DataFrame, path: str) -> None:
     later = later.where(~F.col("id").eqNullSafe(F.col("first.id"))).groupBy("key").agg(F.min("first").alias("first"))
     found = lookup(rows, written(later, "revisits"), "key", F.col("key"), how="left")
     out = found.select("id", "url", F.coalesce("seconds", F.lit(0)).alias("seconds"), "digest", "payload", F.col("first.id").alias("first_id"), F.col("first.seconds").alias("first_seconds"))
-    members = out.mapInArrow(records, "member binary").select(F.col("member").cast("string").alias("value"))
-    members.write.option("lineSep", "\0").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    members = in_arrow(out, file_cutter(FILE_BYTES), "member binary, file int, place long").sortWithinPartitions("file", "place")
+    members.select(F.col("member").cast("string").alias("value"), "file").write.partitionBy("file").option("lineSep", "\0").text(path)
 
 
 def members_of(content: memoryview) -> Iterator[tuple[int, int, bytes]]:
@@ -132,21 +150,21 @@ def members_of(content: memoryview) -> Iterator[tuple[int, int, bytes]]:
 
 def records_of(content: memoryview) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
     """(offset, length, header, block) of each record, whose members are joined until its content is whole."""
-    at, size, raw = 0, 0, b""
+    at, size, raw, fields, start, end = 0, 0, bytearray(), None, 0, 0
     for offset, length, part in members_of(content):
         if not raw:
             at, size = offset, 0
         raw += part
         size += length
-        head, found, rest = raw.partition(b"\r\n\r\n")
-        if not found:
-            continue
-        fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-        n = int(fields["Content-Length"])
-        if len(rest) < n + 4:
-            continue
-        yield at, size, fields, rest[:n]
-        raw = b""
+        if fields is None:
+            start = raw.find(b"\r\n\r\n") + 4
+            if start < 4:
+                continue
+            fields = dict(line.split(": ", 1) for line in raw[: start - 4].decode().split("\r\n")[1:])
+            end = start + int(fields["Content-Length"])
+        if len(raw) >= end + 4:
+            yield at, size, fields, bytes(raw[start:end])
+            raw, fields = bytearray(), None
     if raw:
         raise ValueError("an archive breaks off within a record")
 
@@ -175,7 +193,7 @@ def index_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class LoserTree:
     """Merges sorted runs: every inner node keeps the loser of its match, so that a step replays one path to the root."""
 
-    def __init__(self, runs: list[list], key: Callable):
+    def __init__(self, runs: list[Iterable], key: Callable):
         self.runs, self.key, k = [iter(r) for r in runs], key, max(len(runs), 1)
         self.heads = [self.pull(i) for i in range(len(runs))]
         self.size = 1 << (k - 1).bit_length()
@@ -212,28 +230,89 @@ class LoserTree:
             self.winner = w
 
 
+def batch_of(lines: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*lines, strict=True), LINE, strict=True)], schema=LINE)
+
+
+def in_blocks(lines: Iterable[tuple], n: int) -> Iterator[pa.RecordBatch]:
+    it = iter(lines)
+    while block := list(islice(it, n)):
+        yield batch_of(block)
+
+
+def lines_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+    for at in range(0, batch.num_rows, BLOCK_LINES):
+        yield from zip(*[c.to_pylist() for c in batch.slice(at, BLOCK_LINES).columns], strict=True)
+
+
+class Spill:
+    """A sorted run of index lines in an anonymous file of the task: written once, then read in blocks."""
+
+    def __init__(self, batches: Iterable[pa.RecordBatch]):
+        self.file = tempfile.TemporaryFile()
+        with pa.ipc.new_stream(self.file, LINE) as out:
+            for batch in batches:
+                batch = pa.RecordBatch.from_arrays(batch.columns, schema=LINE)
+                for at in range(0, batch.num_rows, BLOCK_LINES):
+                    out.write_batch(batch.slice(at, BLOCK_LINES))
+
+    def __iter__(self) -> Iterator[tuple]:
+        with self.file:
+            self.file.seek(0)
+            for batch in pa.ipc.open_stream(self.file):
+                yield from lines_of(batch)
+
+
+def merged(runs: list[Iterable[tuple]]) -> Iterator[tuple]:
+    return iter(LoserTree(runs, lambda x: x[:2]))
+
+
 def merged_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The index lines of one range of keys, in the order of url_key, captured, run and line."""
-    runs: dict[str, list[tuple]] = {}
-    for batch in batches:
-        for line in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            runs.setdefault(line[2], []).append(line)
-    for lines in runs.values():
-        if any(a[3] > b[3] for a, b in zip(lines, lines[1:], strict=False)):  # pieces of a run came out of turn
-            lines.sort(key=lambda x: x[3])
-    out = []
-    for line in LoserTree([runs[k] for k in sorted(runs)], lambda x: x[:2]):
-        out.append(line)
-        if len(out) >= 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), LINE, strict=True)], schema=LINE)
-            out = []
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), LINE, strict=True)], schema=LINE)
+    """The index lines of one range of keys, which come run by run, in the order of url_key, captured, run and line."""
+
+    def by_run() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("run")
+            run = batch.column(at).dictionary_encode().indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), batch.num_rows]
+            yield from (batch.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a)
+
+    def runs() -> Iterator[list[pa.RecordBatch] | Spill]:
+        """A run after another: in memory while few lines are held, else as spill files."""
+        held = 0
+        at = LINE.get_field_index("run")
+        for _, parts in groupby(by_run(), lambda x: x.column(at)[0].as_py()):
+            first = []
+            for part in parts:
+                first.append(part)
+                held += part.num_rows
+                if held > HELD_LINES:
+                    yield Spill(chain(first, parts))
+                    break
+            else:
+                yield first
+
+    def opened(run: list[pa.RecordBatch] | Spill) -> Iterable[tuple]:
+        return run if isinstance(run, Spill) else chain.from_iterable(map(lines_of, run))
+
+    # levels[k] has runs that were merged k times, in order; what stands on a higher level came before. Few files are open.
+    levels: list[list] = [[]]
+    for run in runs():
+        levels[0].append(run)
+        for k, level in enumerate(levels):
+            if len(level) < FAN_IN:
+                break
+            if k + 1 == len(levels):
+                levels.append([])
+            levels[k + 1].append(Spill(in_blocks(merged([opened(r) for r in level]), BLOCK_LINES)))
+            level.clear()
+    yield from in_blocks(merged([opened(r) for level in reversed(levels) for r in level]), 5_000)
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
     """The index of a folder of archives: one row for each record, range after range in global order of key and time."""
-    archives = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
-    runs = written(archives.mapInArrow(index_lines, LINE_DDL), "index-runs")
+    archives = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where("length > 0").select("path", "content")
+    runs = written(in_arrow(archives, index_lines, LINE_DDL), "index-runs")
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), runs.count() // LINES_PER_RANGE + 1)
-    return runs.repartitionByRange(ranges, "url_key", "captured", "run", "line").mapInArrow(merged_runs, LINE_DDL)
+    dealt = runs.repartitionByRange(ranges, "url_key", "captured", "run", "line").sortWithinPartitions("run", "line")
+    return in_arrow(dealt, merged_runs, LINE_DDL)
