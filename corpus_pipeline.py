@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, jaccard_join, language_id, mixing, sharding
-from tidemark.llm.common import written
+from tidemark.llm.common import scratch, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's rate says; copies are rows alike."""
-    return mixing.emit(mixing.mix(docs)).select(docs.columns)
+    return mixing.mixture(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another over all documents; a stage's own tables are removed once its result is written.
+
+    Documents with null, empty or letterless texts go in the first stage. Rows alike in id and text share the decisions on
+    them, so the second stage keeps them all or none; rows without an id are told apart by their texts. Columns besides
+    doc_id, text, lang and source may have any name: the stages pass them on, and the last returns its own columns only.
+    An empty table gives an empty result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch(spark):
+        for name, stage in STAGES[:-1]:
+            with scratch(spark):
+                docs = written(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)  # to the outer scratch
+        return written(STAGES[-1][1](spark, docs, sf_dir), f"stage-{STAGES[-1][0]}", keep=True)
