@@ -147,6 +147,13 @@ def test_similar_words_are_not_linked(spark):
     assert sorted(got) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
 
 
+def test_counts_are_thinned_and_filled():
+    rnd = np.random.default_rng(1)
+    for density in (0, 0.001, 0.5, 1):
+        x = np.where(rnd.random(1 << J.SLICE_BITS) < density, rnd.integers(0, 65536, 1 << J.SLICE_BITS), 0).astype(np.uint16)
+        assert (J.filled(J.thinned(x)) == x).all()
+
+
 def test_lists_dealt_over_shares_and_cells_give_the_same(spark, monkeypatch):
     """With small limits every list is dealt over shares by its level, and over cells, and every family too."""
     monkeypatch.setattr(J, "LIST_ENTRIES", 4)
@@ -184,5 +191,5 @@ def reversed_levels(batches):
 
     for batch in batches:
         for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(zlib.decompress(raw), np.uint16)
+            x = J.filled(raw)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(np.where(x > 100, -1, 0).astype(np.int8).tobytes(), 1)], pa.binary())], names=["slice", "levels"])

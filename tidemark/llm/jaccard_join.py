@@ -77,6 +77,22 @@ def apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(np.bitwise_xor.reduce(one.reshape(-1, len(two)), axis=0) ^ two).sum())
 
 
+def thinned(counts: np.ndarray) -> bytes:
+    """A slice of counts, most of them 0: a bit for each that is not, then the low and the high bytes of those."""
+    some = counts[counts > 0]
+    return zlib.compress(np.packbits(counts > 0).tobytes() + (some & 255).astype(np.uint8).tobytes() + (some >> 8).astype(np.uint8).tobytes(), 1)
+
+
+def filled(raw: bytes) -> np.ndarray:
+    """The slice of counts that was thinned."""
+    data = np.frombuffer(zlib.decompress(raw), np.uint8)
+    there = np.unpackbits(data[: (1 << SLICE_BITS) // 8]).astype(bool)
+    low, high = data[(1 << SLICE_BITS) // 8 :].reshape(2, -1).astype(np.uint16)
+    out = np.zeros(1 << SLICE_BITS, np.uint16)
+    out[there] = low | high << 8
+    return out
+
+
 def set_counter(bits: int):
     """A function from (doc_id, key, text) to (doc_id, key, n, class, mark), and at the end the task's counts by hash, in slices."""
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("mark", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
@@ -96,7 +112,7 @@ def set_counter(bits: int):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(marks, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         if counts.any():
             for k, part in enumerate(counts.reshape(-1, 1 << SLICE_BITS)):
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([thinned(part)], pa.binary())], schema=schema)
 
     return read_sets
 
@@ -108,7 +124,7 @@ def leveller(usual: float):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[k] = np.frombuffer(zlib.decompress(raw), np.uint16) + total.get(k, np.uint64(0))
+                total[k] = filled(raw) + total.get(k, np.uint64(0))
         for k, x in total.items():
             level = np.maximum(np.log2(np.maximum(x, 1) / usual), 0).astype(np.int8)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(level.tobytes(), 1)], pa.binary())], names=["slice", "levels"])
@@ -315,7 +331,7 @@ def row_filter(keys: DataFrame) -> np.ndarray:
 
 
 def set_reader(among: np.ndarray):
-    """A function from (key, text) to (class, set), for the rows that pass the filter; a few others pass with them."""
+    """A function from (key, text) to (key, class, set), for the rows that pass the filter; a few others pass with them."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,7 +339,7 @@ def set_reader(among: np.ndarray):
             hit = (among[(key & ((1 << FILTER_BITS) - 1)) >> 6] >> (key & 63)) & 1 == 1
             batch = batch.filter(pa.array(hit))
             found = [shingles(w) for w in words_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["class", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([class_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["key", "class", "set"])
 
     return sets
 
@@ -407,15 +423,16 @@ def compared(pairs: DataFrame, rows: DataFrame, read: DataFrame, leads: DataFram
     with scratch(pairs.sparkSession):
         marks = written(read.where("slice is null").select("key", "mark").join(narrow(of(pairs), classes), "key").select("class", "n", "mark"), f"{name}-marks")
         if marks.count() > marks.select("class").distinct().count():  # rows alike in id and text
-            marks = marks.dropDuplicates(["class"])
+            marks = written(marks.dropDuplicates(["class"]), f"{name}-marks")  # written, so that the joins' hot keys can be split
         one, two = (marks.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("mark").alias(f"mark_{x}")) for x in "ab")
         bounds = in_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "mark_a", "mark_b"), bounder(num), "a long, b long, hi long")
         bounds = written(bounds, f"{name}-bounds", pairs.count())
         open_pairs = bounds.where("hi is null").select("a", "b")
         wanted = of(open_pairs)
-        sets = written(in_arrow(rows.select("key", "text"), set_reader(row_filter(wanted)), "class long, set binary"), f"{name}-sets")
+        sets = in_arrow(rows.select("key", "text"), set_reader(row_filter(wanted)), "key long, class long, set binary")
+        sets = written(sets.join(narrow(wanted.select("key"), classes), "key", "left_semi").drop("key"), f"{name}-sets")
         if sets.count() > sets.select("class").distinct().count():  # rows alike in id and text
-            sets = sets.dropDuplicates(["class"])
+            sets = written(sets.dropDuplicates(["class"]), f"{name}-sets")
         one, two = (sets.select(F.col("class").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
         full = in_arrow(open_pairs.join(two, "b").join(one, "a").select("a", "b", "set_a", "set_b"), overlaps, "a long, b long, shared long, linked boolean, a_n long, n long, lacks binary, extra binary")
         full = full.select("a", "b", F.col("shared").alias("lo"), F.col("shared").alias("hi"), F.lit(True).alias("full"), "linked", "a_n", "n", "lacks", "extra")
