@@ -62,17 +62,44 @@ def test_hash_bucket_random(spark):
 
 
 def test_counts(spark):
-    assert one(spark, T.whole_word_count(F.lit("x ab ab_ab abc"), "ab")) == 3
-    assert one(spark, T.prefix_count(F.lit("recession recessionary prerecession"), "recession")) == 2
+    assert one(spark, F.size(T.whole_words(F.lit("x ab ab_ab abc AB"), ["ab"]))) == 4
+    assert one(spark, T.whole_words(F.lit("b a cc A"), ["a", "cc"])) == ["a", "cc", "a"]
+    assert one(spark, T.prefix_count(F.lit("recession recessionary prerecession"), ["recession"])) == 2
+    assert one(spark, T.prefix_count(F.lit("rate rates rating _rate x-rate"), ["rat", "rate", "rate"])) == 4 + 3 + 3
+    assert one(spark, T.prefix_count(F.lit("any"), [])) == 0
 
 
 def test_whole_word_count_equals_tokens(spark):
     rnd = random.Random(2)
     texts = ["".join(rnd.choice("ab9_- .") for _ in range(40)) for _ in range(200)]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.whole_word_count(F.col("t"), "ab").alias("n")).collect()
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.size(T.whole_words("t", ["ab"])).alias("n")).collect()
     assert all(r["n"] == re.split(r"\s+", re.sub(r"[^a-z0-9\s]", " ", r["t"])).count("ab") for r in rows)
 
 
+def test_prefix_count_equals_a_pattern(spark):
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choice("abAB9_- .é") for _ in range(60)) for _ in range(200)]
+    terms = ["aba", "ab9", "bab", "aba"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.prefix_count("t", terms).alias("n")).collect()
+    assert all(r["n"] == sum(len(re.findall(rf"\b{t}", r["t"].lower(), re.A)) for t in terms) for r in rows)
+
+
+def test_trimmed_takes_white_space_of_any_kind(spark):
+    assert one(spark, T.trimmed(F.lit("\ufeff\u00a0\u2003 a b\u3000\n"))) == "a b"
+
+
+def test_hashed_cosine_equals_the_long_form(spark):
+    rnd = random.Random(8)
+    words = [f"w{i}x" for i in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(rnd.choices(words, k=rnd.randint(0, 80)))) for i in range(60)], "id long, text string")
+    q = V.hashed_query(rnd.choices(words, k=9))
+    long = {}
+    for r in V.hashed_embedding(docs, "id", "text").collect():
+        long[r["id"]] = long.get(r["id"], 0.0) + r["weight"] * q.get(r["bucket"], 0.0)
+    for r in docs.select("id", V.hashed_cosine(T.tokens_plain("text"), q).alias("c")).collect():
+        assert r["c"] == pytest.approx(long.get(r["id"], 0.0))
+
+
 def test_strip_citations(spark):
     text = "x [3] y [13]. z [7, 3] w [7] ."
     assert one(spark, T.strip_citations("t", F.array(F.lit(3), F.lit(7))), t=text) == "x y [13]. z w."

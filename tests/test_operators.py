@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,6 +158,29 @@ def test_contained_titles(spark):
     assert knowledge.contained_titles(cat, feed).first()["item_ord"] == 1
 
 
+def test_titles_against_brute_force(spark):
+    """Both ways of matching, over titles with common words, contained words, ties and none alike."""
+    rnd = random.Random(11)
+    words = ["market", "markets", "tariff", "tariffs", "debate", "energy", "season", "report", "about", "great", "union", "trade"]
+    title = lambda n: " ".join(rnd.choice(words + ["x%d" % rnd.randrange(30)]) + rnd.choice(("", "", "s", ",")) for _ in range(n))
+    cat = [(f"v{i}", title(rnd.randint(0, 14))) for i in range(80)]
+    feed = [(i, title(rnd.randint(0, 9)), None) for i in range(40)]
+    c, f = spark.createDataFrame(cat, "video_id string, title string"), spark.createDataFrame(feed, "item_ord int, title string, date date")
+    plain = lambda t: {w for w in re.sub(r"[^a-z0-9]+", " ", t.lower()).split() if len(w) > 3}
+    want, held = {}, {}
+    for v, t in cat:
+        scores = [(len(plain(t) & plain(u)) / len(plain(t) | plain(u)) if plain(t) | plain(u) else 0, -i) for i, u, _ in feed]
+        if max(scores)[0] >= 0.2:
+            want[v] = (-max(scores)[1], round(max(scores)[0], 9))
+        for i, u, _ in feed:
+            long = {w for w in u.lower().split() if len(w) > 4}
+            hits = sum(w in t.lower() for w in long)
+            if hits >= 3 and hits / len(long) > 0.4:
+                held.setdefault(v, i)
+    assert {r["video_id"]: (r["item_ord"], round(r["score"], 9)) for r in knowledge.best_title_matches(c, f).collect()} == want and want
+    assert {r["video_id"]: r["item_ord"] for r in knowledge.contained_titles(c, f).collect()} == held and held
+
+
 @pytest.mark.parametrize("n", [0, 3])
 def test_hashed_search(spark, n):
     e = spark.createDataFrame([(i, i, "alpha beta") for i in range(n)], "id long, ord long, content string").withColumn("speakers", F.array(F.lit("s"))).withColumn("topics", F.array(F.lit("t")))

@@ -3,10 +3,11 @@ import struct
 
 from pyspark.sql import functions as F
 
-from tidemark.operators.cache import MemoryCache
+from tidemark.operators import ann
+from tidemark.operators.cache import MemoryCache, TableCache
 from tidemark.plans import adapters as A
 from tidemark.plans.ask import Knowledge, Models, ask
-from tidemark.plans.build import build_all
+from tidemark.plans.build import build_all, weekly
 from tidemark.operators import knowledge
 from tidemark.sources import readers, sinks
 from tidemark.streaming import ingest
@@ -74,7 +75,7 @@ def test_ask(spark):
     kb = Knowledge(e, knowledge.idf(e), A.dates(spark, SF))
     q = A.query_text(spark, SF)
     store = MemoryCache()
-    models = Models(score=lambda q, lines: [float(len(x)) for x in lines], write=lambda q, c: "So it is [1]. And not [2].", judge=lambda pairs: {p["pid"]: "NO" if p["n"] == 2 else "YES" for p in pairs})
+    models = Models(score=lambda q, lines: [float(len(x)) for x in lines], write=lambda q, c, f: "So it is [1]. And not [2].", judge=lambda pairs: {p["pid"]: "NO" if p["n"] == 2 else "YES" for p in pairs})
     a = ask(kb, models, q, A.as_of(), 0, store)
     assert a.report == "So it is [1]. And not." and (a.checked, a.unsupported) == (2, 1)
     assert [c["n"] for c in a.citations] == list(range(1, len(a.citations) + 1)) and a.search_mode == "tfidf"
@@ -88,6 +89,71 @@ def test_ask(spark):
         pass
 
 
+def test_ask_with_a_table_and_facts(spark, tmp_path):
+    """What one process stored another finds, as long as it is valid; facts go to the writer."""
+    e = A.entries(spark, SF)
+    facts = spark.createDataFrame([(0, "Ann", "host", "none", ["likes tea"], "dry")], "ord int, name string, role string, political_alignment string, current_positions array<string>, style string")
+    kb = Knowledge(e, knowledge.idf(e), A.dates(spark, SF), facts=facts)
+    seen = []
+    models = Models(write=lambda q, c, f: seen.append(f) or "Done [1].")
+    table, hour = TableCache(spark, str(tmp_path / "answers")), 3_600_000
+    first = ask(kb, models, A.query_text(spark, SF), A.as_of(), 0, MemoryCache(), table=table)
+    assert not first.cache_hit and len(seen) == 1 and seen[0].startswith("• **Ann** — host")
+    store = MemoryCache()
+    again = ask(kb, models, A.query_text(spark, SF).upper(), A.as_of(), 71 * hour, store, table=table)
+    assert (again.cache_hit, again.cache_source, again.report) == (True, "table", "Done [1].") and len(seen) == 1
+    assert [c["id"] for c in again.citations] == [c["id"] for c in first.citations]
+    assert ask(kb, models, A.query_text(spark, SF), A.as_of(), 71 * hour, store, table=table).cache_source == "memory"
+    assert not ask(kb, models, A.query_text(spark, SF), A.as_of(), 73 * hour, None, table=table).cache_hit
+    assert not ask(kb, models, A.query_text(spark, SF), A.as_of(), 0, None, mode="forecast", table=table).cache_hit
+
+
+def test_a_search_is_run_once(spark):
+    """Hits are a table in memory: what follows reads no file."""
+    from tidemark.plans.ask import retrieved
+
+    e = A.entries(spark, SF)
+    for speaker in (None, "tion"):
+        hits = retrieved(Knowledge(e, knowledge.idf(e), A.dates(spark, SF)), Models(), A.query_text(spark, SF), A.as_of(), speaker)[1]
+        assert "FileScan" not in hits._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_recall(spark, tmp_path):
+    """Every row whose id is divisible by 50 as a query, cells that a few probes reach, against all rows."""
+    v = A.vectors(spark, "/root/testdata/sf0.01")
+    path = str(tmp_path / "index")
+    assert ann.build(v, path, 64, cells=12) == (v.count(), 0)
+    queries = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("query"))
+    exact = {(r["query_id"], r["id"]) for r in ann.search_many(v, path, queries, 10, 12, 64).collect()}
+    near = {(r["query_id"], r["id"]) for r in ann.search_many(v, path, queries, 10, 8, 64).collect()}
+    assert len(exact) == 10 * queries.count() and len(near & exact) >= 0.9 * len(exact)
+    plan = ann.search(spark, path, [1.0] * 64, probes=2)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan
+
+
+def test_weekly(spark, tmp_path):
+    folder = caption_files(tmp_path / "c")
+    (tmp_path / "feed.xml").write_text(FEED)
+    (tmp_path / "list.tsv").write_text("vid0\tTrade war tariffs debate\n")
+    nothing = lambda: None
+
+    def fails():
+        raise OSError("no network")
+
+    at = (spark, str(folder), str(tmp_path / "feed.xml"), str(tmp_path / "list.tsv"), str(tmp_path / "out"), {"t": ["token"]})
+    done = weekly(*at, fetch_feed=nothing, fetch_catalogue=fails, fetch_captions=nothing, publish=fails)
+    assert [(n, s) for n, s, _ in done] == [("feed", "ok"), ("catalogue", "warned"), ("captions", "ok"), ("build", "ok"), ("publish", "warned")]
+    assert spark.read.parquet(str(tmp_path / "out" / "entries")).count() > 0
+    assert [(n, s) for n, s, _ in weekly(*at, fetch_feed=fails, fetch_catalogue=nothing, fetch_captions=nothing)] == [("feed", "failed"), ("catalogue", "not run"), ("captions", "not run"), ("build", "not run")]
+
+
+def test_items_alike_are_two_episodes_in_the_feeds_order(spark, tmp_path):
+    item = "<item><title>Same</title><pubDate>Fri, 10 May 2024 10:00:00 GMT</pubDate><description><![CDATA[<p>(0:00) Part {}</p>]]></description></item>"
+    (tmp_path / "feed.xml").write_text("<rss><channel>" + "".join(item.format(k) for k in "zyx") + "</channel></rss>")
+    made = build_all(spark, str(caption_files(tmp_path / "c")), str(tmp_path / "feed.xml"), None, str(tmp_path / "out"), {"t": ["token"]})
+    assert [(r["episode_id"], r["topic"]) for r in made["chapters"].orderBy("id").collect()] == [("ep_0000", "Part z"), ("ep_0001", "Part y"), ("ep_0002", "Part x")]
+
+
 def test_plans(spark):
     """Filters and columns reach the scan, searches end in a top-k, and no search shuffles documents."""
     from tidemark.operators import retrieval
@@ -98,4 +164,8 @@ def test_plans(spark):
     e = A.entries(spark, SF)
     plan = retrieval.keyword_search(e, "than the")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "n_chars" not in plan
+    plan = retrieval.hashed_search(e, "than the")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    plan = retrieval.tfidf_search(e, knowledge.idf(e), A.query_text(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^a-z0-9]+") == 1  # one pass over the texts, whatever the number of terms
     assert retrieval.substring_search(e.where(F.col("video_id") == "src1"), "than that").count() >= 0

@@ -29,8 +29,8 @@ def strings(values: Sequence[str]) -> Column:
 
 
 def trimmed(c: Text) -> Column:
-    """Without white space of any kind at either end; trim() would take spaces only."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    """Without white space of any kind, byte-order marks included, at either end; trim() would take spaces only."""
+    return F.regexp_replace(col(c), r"(?U)^[\s\uFEFF]+|[\s\uFEFF]+$", "")
 
 
 def collapsed(c: Text) -> Column:
@@ -100,8 +100,8 @@ def recency_weight(date: Text, as_of: Column) -> Column:
 
 
 def spaced(c: Text) -> Column:
-    """Lower case, with all but ASCII letters, digits and white space as spaces, cut at white space."""
-    return F.split(F.regexp_replace(F.lower(col(c)), r"[^a-z0-9\s]", " "), r"\s+")
+    """Runs of ASCII letters and digits of the text in lower case, with an empty one at an end that has other characters."""
+    return F.split(F.lower(col(c)), "[^a-z0-9]+")
 
 
 def tokens_idf(c: Text) -> Column:
@@ -152,14 +152,24 @@ def long_terms(query: str, n: int) -> list[str]:
     return [w for w in re.split(r"\s+", query.lower()) if len(w) > n]
 
 
-def whole_word_count(low: Column, term: str) -> Column:
-    """How often a term of letters and digits stands in the lower-cased text with no letter or digit next to it."""
-    return F.regexp_count(low, F.lit(rf"(?<![a-z0-9]){re.escape(term)}(?![a-z0-9])"))
+def whole_words(c: Text, terms: Sequence[str]) -> Column:
+    """Every place where one of the terms, of letters and digits, stands with no letter or digit next to it: one pass, whatever
+    the number of terms."""
+    return F.filter(spaced(c), lambda t: F.array_contains(strings(terms), t))
 
 
-def prefix_count(low: Column, term: str) -> Column:
-    """How many words begin with the term."""
-    return F.regexp_count(low, F.lit(rf"\b{re.escape(term)}"))
+def prefix_count(c: Text, terms: Sequence[str]) -> Column:
+    """How many words begin with a term, summed over the terms, repeated ones too; a word is of ASCII letters, digits and _.
+
+    One pass, in which the first characters of a word decide whether it is held against the terms.
+    """
+    if not terms:
+        return F.lit(0)
+    n = min(map(len, terms))
+    heads = strings(sorted({t[:n] for t in terms}))
+    near = F.filter(F.split(F.lower(col(c)), "[^a-z0-9_]+"), lambda w: F.array_contains(heads, F.substring(w, 1, n)))
+    each = lambda w: sum((F.startswith(w, F.lit(t)).cast("int") for t in terms), F.lit(0))
+    return F.aggregate(near, F.lit(0), lambda a, w: a + each(w))
 
 
 def relevance(distance: Text) -> Column:

@@ -69,6 +69,20 @@ def hashed_query(words: list[str], dims: int = HASHED_DIMS) -> dict[int, float]:
     return {k: x / norm for k, x in out.items()} if norm else {}
 
 
+def hashed_cosine(words: Column, query: dict[int, float], dims: int = HASHED_DIMS) -> Column:
+    """The cosine of an array of words, hashed, to a unit vector of buckets; 0 where they share no bucket. It is worked out
+    within the row: in sorted buckets, a bucket's k-th word adds 2k - 1 to the square of the norm."""
+    weights = F.array(*[F.lit(query.get(b, 0.0)) for b in range(dims)])
+    buckets = F.array_sort(F.transform(words, lambda w: hash_bucket(w, dims)))
+    zero = F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("square"), F.lit(0.0).alias("dot"))
+
+    def step(acc: Column, b: Column) -> Column:
+        run = F.when(acc["last"] == b, acc["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(b.alias("last"), run.alias("run"), (acc["square"] + 2 * run - 1).alias("square"), (acc["dot"] + F.get(weights, b)).alias("dot"))
+
+    return F.aggregate(buckets, zero, step, lambda acc: F.when(acc["square"] > 0, acc["dot"] / F.sqrt(acc["square"].cast("double"))).otherwise(0.0))
+
+
 def hashed_embedding(df: DataFrame, key: str, text: str, dims: int = HASHED_DIMS) -> DataFrame:
     """(key, bucket, weight): unit vectors of hashed words, in long form; texts without words have no rows."""
     words = df.select(key, F.explode(tokens_plain(text)).alias("word"))

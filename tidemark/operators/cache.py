@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import OrderedDict
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +34,22 @@ class MemoryCache:
         self.rows.move_to_end(key)
 
 
-def valid(cache: DataFrame, key: str, tag: str, as_of: Column, ttl_ms: int = TTL_MS) -> DataFrame:
-    """Stored answers (key15, payload, stored_at, tags) for a key that carry the tag, are young enough and have a report."""
+def usable(cache: DataFrame, tag: str, as_of: Column, ttl_ms: int = TTL_MS) -> DataFrame:
+    """Stored answers (key15, payload, stored_at, tags) that carry the tag, are young enough and have a report."""
     age = F.unix_millis(as_of) - F.unix_millis("stored_at")
     report = F.get_json_object("payload", "$.report")
-    return cache.where((F.col("key15") == key) & F.array_contains("tags", tag) & (age <= ttl_ms) & report.isNotNull()).orderBy(F.desc("stored_at")).limit(1)
+    return cache.where(F.array_contains("tags", tag) & (age <= ttl_ms) & report.isNotNull())
+
+
+def valid(cache: DataFrame, key: str, tag: str, as_of: Column, ttl_ms: int = TTL_MS) -> DataFrame:
+    """The newest usable answer for a key, or none."""
+    return usable(cache.where(F.col("key15") == key), tag, as_of, ttl_ms).orderBy(F.desc("stored_at")).limit(1)
+
+
+def lookup(requests: DataFrame, cache: DataFrame, tag: str, as_of: Column, ttl_ms: int = TTL_MS) -> DataFrame:
+    """Requests (key15, ...) with the payload of the newest usable answer, null where there is none."""
+    newest = usable(cache, tag, as_of, ttl_ms).groupBy("key15").agg(F.max_by("payload", F.struct("stored_at", "payload")).alias("payload"))
+    return requests.join(newest, "key15", "left")
 
 
 def store(spark: SparkSession, path: str, key: str, payload: str, stored_at: str, tags: list[str]) -> None:
@@ -45,16 +57,38 @@ def store(spark: SparkSession, path: str, key: str, payload: str, stored_at: str
     row.withColumn("stored_at", F.col("stored_at").cast("timestamp")).write.mode("append").parquet(path)
 
 
+class TableCache:
+    """The second tier: answers in a table that many processes append to, by key and tag, for `ttl_ms`."""
+
+    def __init__(self, spark: SparkSession, path: str, tag: str = "answer", ttl_ms: int = TTL_MS):
+        self.spark, self.path, self.tag, self.ttl_ms = spark, path, tag, ttl_ms
+
+    def get(self, key: str, now_ms: int) -> str | None:
+        """The newest answer's payload that is still valid; None where there is none, or no table yet."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
+            return None
+        row = valid(self.spark.read.parquet(self.path), key, self.tag, F.timestamp_millis(F.lit(now_ms)), self.ttl_ms).first()
+        return row and row["payload"]
+
+    def put(self, key: str, payload: str, now_ms: int) -> None:
+        at = datetime.fromtimestamp(now_ms / 1000, UTC).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+        store(self.spark, self.path, key, payload, at, [self.tag])
+
+
 def replay(requests: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
     """Requests (key, at_ms) to (key, requests, hits): a miss stores an answer, which serves requests up to ttl later, inclusive.
 
-    A key's requests are folded in order of time, as which of them miss follows from the misses before.
+    A key's requests are folded in order of time, as which of them miss follows from the misses before. Requests of one
+    time are one step of the fold, so that a row holds a key's different times, not its requests.
     """
-    rows = requests.groupBy("key").agg(F.array_sort(F.collect_list("at_ms")).alias("at"))
+    times = requests.groupBy("key", "at_ms").agg(F.count("*").alias("n"))
+    rows = times.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at_ms", "n"))).alias("at"), F.sum("n").alias("requests"))
     zero = F.struct(F.lit(None).cast("long").alias("stored"), F.lit(0).cast("long").alias("hits"))
 
-    def step(acc: Column, t: Column) -> Column:
+    def step(acc: Column, x: Column) -> Column:
+        t = x["at_ms"]
         hit = acc["stored"].isNotNull() & (t - acc["stored"] <= ttl_ms)
-        return F.struct(F.when(hit, acc["stored"]).otherwise(t).alias("stored"), (acc["hits"] + hit.cast("long")).alias("hits"))
+        return F.struct(F.when(hit, acc["stored"]).otherwise(t).alias("stored"), (acc["hits"] + x["n"] - (~hit).cast("long")).alias("hits"))
 
-    return rows.select("key", F.size("at").cast("long").alias("requests"), F.aggregate("at", zero, step, lambda acc: acc["hits"]).alias("hits"))
+    return rows.select("key", "requests", F.aggregate("at", zero, step, lambda acc: acc["hits"]).alias("hits"))

@@ -24,9 +24,12 @@ def catalogue(episodes: DataFrame, chapters: DataFrame, since: str | None = None
     if since:
         episodes = episodes.where(F.col("date") >= F.lit(since).cast("date"))
     n = chapters.groupBy("ep_key").agg(F.count("*").alias("chapter_count"))
-    # one row for each episode, of which there are few beside their contents
-    order = Window.orderBy(F.desc("date"), "ord")
-    kept = episodes.join(n, "ep_key").withColumn("id", F.format_string("ep_%04d", F.row_number().over(order) - 1))
+    kept = episodes.join(n, "ep_key")
+    # days are numbered in one task, of which there are as many as the calendar has; episodes within their day
+    days = kept.groupBy(F.col("date").alias("day")).agg(F.count("*").alias("n"))
+    days = days.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    place = F.col("before") + F.row_number().over(Window.partitionBy("date").orderBy("ord")) - 1
+    kept = kept.join(days, F.col("date").eqNullSafe(F.col("day"))).withColumn("id", F.format_string("ep_%04d", place)).drop("day", "before")
     named = chapters.join(kept.select("ep_key", F.col("id").alias("episode_id"), F.col("title").alias("episode_title"), F.col("date").alias("episode_date"), "audio_url"), "ep_key")
     return kept, named.withColumn("id", F.concat("episode_id", F.format_string("_ch_%02d", "pos")))
 

@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.text import cut, tokens_idf, tokens_title
-from tidemark.operators.joins import with_lookup
+from tidemark.functions.text import cut, jaccard, strings, tokens_idf, tokens_title
+from tidemark.operators.joins import once, with_lookup
 
-
-#: Titles that contained_titles looks for in every catalogue title.
-MOST_TITLES = 10_000
+#: Tokens that put themselves last when titles are matched, and characters by which contained words are looked for.
+HOT_TOKENS, GRAM = 256, 5
 
 
 def entries(chunks: DataFrame) -> DataFrame:
@@ -70,17 +69,30 @@ def profiles(docs: DataFrame, speakers: list[str], quotes: int = 50) -> DataFram
     return speaker_stats(docs, speakers).join(counts, "speaker", "left").join(top, "speaker", "left").join(said, "speaker", "left")
 
 
+def prefixes(titles: DataFrame, key: str, hot: list[str], least: float) -> DataFrame:
+    """(key, token) of as many of a title's tokens as must hold one that a similar title shares, the hottest last."""
+    n = F.size("tokens")
+    usual = F.array_sort(F.array_except("tokens", strings(hot)))
+    order = F.concat(usual, F.array_intersect(strings(hot[::-1]), F.col("tokens")))  # a shared order for both sides
+    return titles.select(key, n.alias(f"n_{key}"), F.explode(F.slice(order, 1, n - F.ceil(least * n - 1e-9).cast("int") + 1)).alias("token"))
+
+
 def best_title_matches(catalogue: DataFrame, feed: DataFrame, least: float = 0.2) -> DataFrame:
     """catalogue (video_id, title) by feed (item_ord, title, date): the most similar feed title, the first of equals.
 
-    Titles without a common token have similarity 0 and can never match, so titles meet through their tokens only.
+    Titles of similarity `least` share a token among all but that share of each one's tokens; the HOT_TOKENS commonest
+    stand last in that order, so that they hardly ever bring titles together. Pairs whose sizes differ too much are none.
+    What is left is compared by whole token sets.
     """
-    a = catalogue.select("video_id", tokens_title("title").alias("tokens")).withColumn("n", F.size("tokens"))
-    b = feed.select("item_ord", "date", tokens_title("title").alias("tokens")).withColumn("m", F.size("tokens"))
-    left = a.select("video_id", "n", F.explode("tokens").alias("token"))
-    right = b.select("item_ord", "m", F.explode("tokens").alias("token"))
-    both = left.join(right, "token").groupBy("video_id", "item_ord").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"))
-    scored = both.withColumn("score", F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).where(F.col("score") >= least)
+    a = catalogue.select("video_id", tokens_title("title").alias("tokens")).where(F.size("tokens") > 0)
+    b = feed.select("item_ord", "date", tokens_title("title").alias("tokens")).where(F.size("tokens") > 0)
+    counts = a.select(F.explode("tokens").alias("token")).groupBy("token").count()
+    hot = [r["token"] for r in counts.orderBy(F.desc("count"), "token").limit(HOT_TOKENS).collect()]
+    left, right = prefixes(a, "video_id", hot, least), prefixes(b, "item_ord", hot, least)
+    sizes = (F.col("n_video_id") >= least * F.col("n_item_ord") - 1e-9) & (F.col("n_item_ord") >= least * F.col("n_video_id") - 1e-9)
+    pairs = left.join(right, "token").where(sizes).select("video_id", "item_ord").distinct()
+    both = with_lookup(pairs.join(a, "video_id"), b.select("item_ord", F.col("tokens").alias("others")), "item_ord", "inner")
+    scored = once(both, score=jaccard(F.col("tokens"), F.col("others"))).where(F.col("score") >= least)
     best = scored.groupBy("video_id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "item_ord")).alias("b"))
     best = best.select("video_id", F.col("b.item_ord").alias("item_ord"), (-F.col("b.minus")).alias("score"))
     return with_lookup(best, b.select("item_ord", "date"), "item_ord")
@@ -89,14 +101,21 @@ def best_title_matches(catalogue: DataFrame, feed: DataFrame, least: float = 0.2
 def contained_titles(catalogue: DataFrame, feed: DataFrame) -> DataFrame:
     """Another way to match titles: three words or more of over four letters contained, and over 0.4 of them; the first item wins.
 
-    Containment has no key to join by, so the feed's titles go to every task; more than MOST_TITLES are refused.
+    A word that is contained holds its first GRAM characters where it stands, so that titles meet by these: of an item's
+    words, all but as many as may be missing. What meets is compared in full.
     """
-    if feed.limit(MOST_TITLES + 1).count() > MOST_TITLES:
-        raise ValueError(f"more than {MOST_TITLES} titles to look for; match by tokens instead")
-    words = feed.select("item_ord", F.array_distinct(F.filter(F.split(F.lower("title"), r"\s+"), lambda w: F.length(w) > 4)).alias("words"))
-    pairs = catalogue.select("video_id", F.lower("title").alias("low")).join(F.broadcast(words), F.exists("words", lambda w: F.contains(F.col("low"), w)))
+    words = feed.select("item_ord", F.array_distinct(F.filter(F.split(F.lower("title"), r"\s+"), lambda w: F.length(w) > 4)).alias("words")).where(F.size("words") >= 3)
+    least = F.greatest(F.lit(3), (F.floor(F.size("words") * 0.4) + 1).cast("int"))
+    # the longest words first: any `least` of the words hold one of these
+    order = F.transform(F.array_sort(F.transform("words", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
+    probes = words.select("item_ord", "words", F.explode(F.slice(order, 1, F.size("words") - least + 1)).alias("probe")).withColumn("gram", F.substring("probe", 1, GRAM))
+    low = catalogue.select("video_id", F.lower("title").alias("low")).where(F.length("low") >= GRAM)
+    at = F.sequence(F.lit(1), F.length("low") - GRAM + 1)
+    grams = low.select("video_id", "low", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring("low", i, GRAM)))).alias("gram"))
+    pairs = grams.join(probes, "gram").where(F.contains("low", "probe")).select("video_id", "item_ord").distinct()
+    both = pairs.join(low, "video_id").join(words, "item_ord")
     hit = F.size(F.filter("words", lambda w: F.contains(F.col("low"), w)))
-    return pairs.withColumn("hits", hit).where((F.col("hits") >= 3) & (F.col("hits") / F.size("words") > 0.4)).groupBy("video_id").agg(F.min("item_ord").alias("item_ord"))
+    return both.withColumn("hits", hit).where((F.col("hits") >= 3) & (F.col("hits") / F.size("words") > 0.4)).groupBy("video_id").agg(F.min("item_ord").alias("item_ord"))
 
 
 def match_summary(catalogue: DataFrame, matches: DataFrame) -> DataFrame:

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.text import collapsed, confidence, cut, keyword_terms, long_terms, prefix_count, query_terms, recency_weight, relevance, whole_word_count
-from tidemark.functions.vectors import cosine_distance, hashed_embedding, hashed_query, similarity
-from tidemark.operators.joins import with_lookup
+from tidemark.functions.text import collapsed, confidence, cut, keyword_terms, long_terms, prefix_count, query_terms, recency_weight, relevance, strings, tokens_plain, whole_words
+from tidemark.functions.vectors import cosine_distance, hashed_cosine, hashed_query, similarity
+from tidemark.operators.joins import once, with_lookup
 
 UNKNOWN_IDF, PRIMARY_IDF = 5.5, 2.5
 
@@ -62,41 +62,44 @@ def tfidf_search(entries: DataFrame, idf: DataFrame, query: str, k: int = 30, da
     weights = term_weights(idf, query_terms(query))
     primary = [t for t, w in weights if w > PRIMARY_IDF]
     most = sum(3 * w for _, w in weights) or 1.0
-    rows = of_speaker(entries, speaker).withColumn("low", F.lower("content"))
-    if primary:
-        rows = rows.where(reduce(Column.__or__, [F.contains(F.col("low"), F.lit(t)) for t in primary]))
+    rows = of_speaker(entries, speaker)
     if not weights:
         rows = rows.limit(0)
-    # one column for all counts: many columns of conditions would swamp the optimizer's inference of constraints
-    counts = F.array(*[whole_word_count(F.col("low"), t) for t, _ in weights]).cast("array<int>")
-    rows = rows.withColumn("counts", counts)
+    # the terms' places in one pass; texts with none of them as a word score nothing and need no gate
+    rows = once(rows, found=whole_words("content", [t for t, _ in weights])).where(F.size("found") > 0)
+    if primary:
+        low = F.lower("content")
+        rare = F.exists("found", lambda t: F.array_contains(strings(primary), t))
+        rows = rows.where(reduce(Column.__or__, [F.contains(low, F.lit(t)) for t in primary], rare))
+    counts = F.array(*[F.size(F.filter("found", lambda x: x == t)) for t, _ in weights]).cast("array<int>")  # noqa: B023
+    rows = once(rows, counts=counts)
     parts = F.zip_with("counts", F.array(*[F.lit(w) for _, w in weights]).cast("array<double>"), lambda c, w: F.when(c > 0, (1 + F.ln(c.cast("double"))) * w).otherwise(0.0))
     score = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
     if len(primary) > 1:
-        rare = F.array(*[F.lit(w > PRIMARY_IDF) for _, w in weights])
-        matched = F.size(F.filter(F.zip_with("counts", rare, lambda c, p: p & (c > 0)), lambda x: x))
+        of = F.array(*[F.lit(w > PRIMARY_IDF) for _, w in weights])
+        matched = F.size(F.filter(F.zip_with("counts", of, lambda c, p: p & (c > 0)), lambda x: x))
         score = score * (1 + F.lit(0.5) * matched / len(primary))
-    rows = rows.withColumn("score", score).where("score > 0").drop("low", "counts")
+    rows = once(rows, score=score).where("score > 0").drop("found", "counts")
     rows = rows.withColumn("raw_distance", 1 - F.least(F.lit(1.0), F.col("score") / (most * 0.5)))
     return top(with_recency(rows, dates, as_of), k)
 
 
 def keyword_search(entries: DataFrame, query: str, k: int = 20, topic: str | None = None, speaker: str | None = None) -> DataFrame:
     """Counts of words that begin with the query's terms; a matching topic raises the score by half, a matching speaker doubles it."""
-    low = F.lower("content")
-    score = sum((prefix_count(low, t) for t in keyword_terms(query)), F.lit(0)).cast("double")
+    rows = once(entries, score=prefix_count("content", keyword_terms(query)).cast("double")).where("score > 0")
+    score = F.col("score")
     if topic is not None:
         score = F.when(F.array_contains("topics", topic), score * 1.5).otherwise(score)
     if speaker is not None:
         score = F.when(F.array_contains("speakers", speaker), score * 2).otherwise(score)
-    return entries.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), "ord").limit(k)
+    return rows.withColumn("score", score).orderBy(F.desc("score"), "ord").limit(k)
 
 
 def substring_search(entries: DataFrame, query: str, k: int = 30) -> DataFrame:
     """How many of the query's words of more than 3 characters are part of the text."""
     low = F.lower("content")
     score = sum((F.contains(low, F.lit(t)).cast("int") for t in long_terms(query, 3)), F.lit(0))
-    return entries.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), "ord").limit(k)
+    return once(entries, score=score).where("score > 0").orderBy(F.desc("score"), "ord").limit(k)
 
 
 def hashed_search(entries: DataFrame, query: str, k: int = 20, topic: str | None = None, speaker: str | None = None) -> DataFrame:
@@ -107,10 +110,8 @@ def hashed_search(entries: DataFrame, query: str, k: int = 20, topic: str | None
     q = hashed_query(keyword_words(query))
     if not q:
         return rows.limit(0).withColumn("distance", F.lit(0.0)).withColumn("score", F.lit(0.0))
-    weight = F.element_at(F.create_map(*[F.lit(x) for kv in q.items() for x in kv]), F.col("bucket"))
-    near = hashed_embedding(rows, "id", "content").where(F.col("bucket").isin(list(q)))
-    dots = near.groupBy("id").agg(F.sum(F.col("weight") * weight).alias("dot")).withColumn("distance", 1 - F.col("dot")).drop("dot")
-    found = rows.join(dots, "id")
+    found = once(rows, cosine=hashed_cosine(tokens_plain("content"), q)).where("cosine > 0")
+    found = found.withColumn("distance", 1 - F.col("cosine")).drop("cosine")
     return found.withColumn("score", similarity("distance")).orderBy("distance", "ord").limit(k)
 
 
@@ -142,14 +143,22 @@ def speaker_mode(search: Callable[[str | None], DataFrame], speaker: str, limit:
     return interleaved(ranked(search(speaker)), ranked(search(None)), limit)
 
 
+def in_memory(hits: DataFrame) -> DataFrame:
+    """A top-k result as a table of its rows, so that what is done with it does not search again."""
+    return hits.sparkSession.createDataFrame(hits.toArrow(), hits.schema)
+
+
 def first_tier(tiers: list[tuple[str, Callable[[], DataFrame | None]]]) -> tuple[str, DataFrame]:
-    """The first tier that has hits, with its label; the last one if none has. A tier without an index gives None."""
+    """The first tier that has hits, with its label; the last one if none has. A tier without an index gives None.
+
+    Each tier is a top-k result and is searched once: its rows are the answer.
+    """
     label, hits = "", None
     for label, search in tiers:  # noqa: B007
         found = search()
         if found is None:
             continue
-        hits = found
+        hits = in_memory(found)
         if not hits.isEmpty():
             break
     if hits is None:

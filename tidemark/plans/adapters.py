@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +20,16 @@ def as_of() -> Column:
     return F.lit("2024-06-30 00:00:00").cast("timestamp")
 
 
+def files(spark: SparkSession, name: str) -> str:
+    """A new folder for files that are made from the driver's tables: in spark.checkpoint.dir, or on one machine a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -82,10 +95,12 @@ def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replies as reports with citation markers."""
+    """Replies as reports with citation markers; those of every tenth conversation have more claims than are checked."""
     c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
     n, m = (F.col("turn") + 1).cast("string"), (F.col("turn") + 2).cast("string")
     text = F.concat("text", F.lit(" First ["), n, F.lit("]. Then ["), m, F.lit("] and ["), n, F.lit("] end! Last ["), m, F.lit(", "), n, F.lit("] one."))
+    more = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: F.concat(F.lit(" Claim "), i.cast("string"), F.lit(" ["), (F.col("turn") + 1 + i % 2).cast("string"), F.lit("]."))), "")
+    text = F.when(F.col("conv_id") % 10 == 0, F.concat(text, more)).otherwise(text)
     return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("report_id"), text.alias("report"), "turn")
 
 
@@ -95,5 +110,5 @@ def report_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verdicts(paired: DataFrame) -> DataFrame:
-    kind = (F.col("report_id") + F.col("pid") * 3 + F.col("n")) % 4
+    kind = (F.floor(F.col("report_id") / 100) + F.when(F.col("report_id") % 3 == 0, F.col("pid")).otherwise(0) + F.col("n")) % 4
     return paired.select("report_id", "pid", F.when(kind == 0, "YES").when(kind == 1, "PARTIAL").when(kind == 2, "NO").otherwise("UNKNOWN").alias("verdict"))

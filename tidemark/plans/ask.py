@@ -1,16 +1,21 @@
-"""The answer path: cache, retrieval, rerank, citations, synthesis, validation, store. Models are functions passed in."""
+"""The answer path: caches, retrieval, rerank, citations, synthesis, validation, store. Models are functions passed in.
+
+A search is run once; from then on its hits, 31 at most, are a table in memory.
+"""
 
 from __future__ import annotations
 
+import json
+
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import cache_key
 from tidemark.operators import citations, retrieval
-from tidemark.operators.cache import MemoryCache
+from tidemark.operators.cache import MemoryCache, TableCache
 
 NOTHING = "No relevant segments were found for this query."
 
@@ -23,15 +28,17 @@ class Knowledge:
     idf: DataFrame
     dates: DataFrame
     vectors: DataFrame | None = None
+    #: (ord, name, role, political_alignment, current_positions, style): what overrides anything that is retrieved.
+    facts: DataFrame | None = None
 
 
 @dataclass
 class Models:
-    """embed(text) -> vector; score(query, lines) -> scores; write(query, context) -> report; judge(pairs) -> verdicts by pid."""
+    """embed(text) -> vector; score(query, lines) -> scores; write(query, context, facts) -> report; judge(pairs) -> verdicts by pid."""
 
     embed: Callable[[str], list[float]] | None = None
     score: Callable[[str, list[str]], list[float]] | None = None
-    write: Callable[[str, str], str] | None = None
+    write: Callable[[str, str, str], str] | None = None
     judge: Callable[[list[dict]], dict[int, str]] | None = None
 
 
@@ -43,6 +50,17 @@ class Answer:
     cache_hit: bool = False
     checked: int = 0
     unsupported: int = 0
+    #: "memory" or "table" where the answer was there before.
+    cache_source: str = ""
+    #: Segments that the answer was made from, after reranking.
+    segments_found: int = 0
+
+    def payload(self) -> str:
+        return json.dumps(asdict(self), default=str)
+
+    @classmethod
+    def of(cls, payload: str, source: str) -> Answer:
+        return replace(cls(**json.loads(payload)), cache_hit=True, cache_source=source)
 
 
 def key_of(df: DataFrame, query: str, version: str, speaker: str | None, mode: str | None) -> str:
@@ -50,13 +68,8 @@ def key_of(df: DataFrame, query: str, version: str, speaker: str | None, mode: s
     return row.first()["k"]
 
 
-def ask(kb: Knowledge, models: Models, query: str, as_of: Column, now_ms: int, cache: MemoryCache | None = None, speaker: str | None = None, mode: str | None = None, version: str = "v1", budget: int = 12) -> Answer:
-    """Answer a query. What reaches the driver is one answer: at most `budget` citations and the pairs of one report."""
-    if not query or not query.strip():
-        raise ValueError("a query is needed")
-    key = key_of(kb.entries, query, version, speaker, mode)
-    if cache is not None and (found := cache.get(key, now_ms)) is not None:
-        return Answer(**{**found.__dict__, "cache_hit": True})
+def retrieved(kb: Knowledge, models: Models, query: str, as_of: Column, speaker: str | None) -> tuple[str, DataFrame]:
+    """The search's label and its hits, as a table in memory."""
 
     def leg(who: str | None, k: int) -> tuple[str, DataFrame]:
         tiers = []
@@ -66,12 +79,45 @@ def ask(kb: Knowledge, models: Models, query: str, as_of: Column, now_ms: int, c
         return retrieval.first_tier(tiers)
 
     if speaker is None:
-        label, hits = leg(None, 30)
-    else:
-        label, own = leg(speaker, 20)
-        both = leg(None, 20)[1]
-        order = retrieval.interleaved(retrieval.ranked(own), retrieval.ranked(both))
-        hits = own.unionByName(both, allowMissingColumns=True).dropDuplicates(["id"]).join(order, "id").withColumn("ord", F.col("pos"))
+        return leg(None, 30)
+    label, own = leg(speaker, 20)
+    both = leg(None, 20)[1]
+    order = retrieval.interleaved(retrieval.ranked(own), retrieval.ranked(both))
+    hits = own.unionByName(both, allowMissingColumns=True).dropDuplicates(["id"]).join(order, "id").withColumn("ord", F.col("pos"))
+    return label, retrieval.in_memory(hits)
+
+
+def validated(answer: Answer, cites: DataFrame, judge: Callable[[list[dict]], dict[int, str]]) -> Answer:
+    """The answer without the citations that the judge refuses, and with the verdicts of the others."""
+    spark = cites.sparkSession
+    reports = spark.createDataFrame([(0, answer.report)], "report_id long, report string")
+    quotes = cites.select(F.lit(0).cast("long").alias("report_id"), F.col("n").cast("int").alias("n"), "quote")
+    paired = retrieval.in_memory(citations.pairs(citations.claims(reports), quotes))
+    given = judge([r.asDict() for r in paired.orderBy("pid").collect()])
+    said = spark.createDataFrame([(0, int(k), v) for k, v in given.items()], "report_id long, pid int, verdict string")
+    per = retrieval.in_memory(citations.citation_verdicts(paired, said))
+    clean = citations.cleaned(reports, per).first()
+    verdicts = {r["n"]: r["verdict"] for r in per.collect()}
+    rows = [r | {"verdict": verdicts.get(r["n"], "UNCHECKED")} for r in answer.citations]
+    return replace(answer, report=clean["report"], citations=rows, checked=clean["checked"], unsupported=clean["unsupported"])
+
+
+def ask(kb: Knowledge, models: Models, query: str, as_of: Column, now_ms: int, cache: MemoryCache | None = None, speaker: str | None = None, mode: str | None = None, version: str = "v1", budget: int = 12, table: TableCache | None = None) -> Answer:
+    """Answer a query. What reaches the driver is one answer: at most 31 hits, `budget` citations and the pairs of one report.
+
+    The memory is looked up first, then the table; what is found there goes to memory. New answers go to both.
+    """
+    if not query or not query.strip():
+        raise ValueError("a query is needed")
+    key = key_of(kb.entries, query, version, speaker, mode)
+    if cache is not None and (found := cache.get(key, now_ms)) is not None:
+        return replace(found, cache_hit=True, cache_source="memory")
+    if table is not None and (payload := table.get(key, now_ms)) is not None:
+        answer = Answer.of(payload, "table")
+        if cache is not None:
+            cache.put(key, replace(answer, cache_hit=False, cache_source=""), now_ms)
+        return answer
+    label, hits = retrieved(kb, models, query, as_of, speaker)
     scores = None
     if models.score is not None:
         lines = retrieval.rerank_lines(retrieval.top(hits, 30)).orderBy("i").collect()
@@ -79,24 +125,18 @@ def ask(kb: Knowledge, models: Models, query: str, as_of: Column, now_ms: int, c
         if len(given) == len(lines) and lines:
             kind = dict(hits.dtypes)["id"]
             scores = kb.entries.sparkSession.createDataFrame([(r["id"], float(x)) for r, x in zip(lines, given, strict=True)], f"id {kind}, score double")
-    hits = retrieval.rerank(hits, scores, budget)
-    cites = retrieval.citations(hits, kb.dates)
+    hits = retrieval.in_memory(retrieval.rerank(hits, scores, budget))
+    cites = retrieval.in_memory(retrieval.citations(hits, kb.dates))
     rows = [r.asDict(recursive=True) for r in cites.orderBy("n").collect()]
     if not rows:
         return Answer(NOTHING, search_mode=label)
-    report = models.write(query, retrieval.context(cites, hits).first()["context"]) if models.write else ""
-    answer = Answer(report, rows, label)
+    facts = (retrieval.facts_text(kb.facts).first()["facts"] or "") if kb.facts is not None else ""
+    report = models.write(query, retrieval.context(cites, hits).first()["context"], facts) if models.write else ""
+    answer = Answer(report, rows, label, segments_found=len(rows))
     if models.judge is not None and report:
-        spark = kb.entries.sparkSession
-        reports = spark.createDataFrame([(0, report)], "report_id long, report string")
-        quotes = cites.select(F.lit(0).cast("long").alias("report_id"), F.col("n").cast("int").alias("n"), "quote")
-        paired = citations.pairs(citations.claims(reports), quotes)
-        given = models.judge([r.asDict() for r in paired.orderBy("pid").collect()])
-        said = spark.createDataFrame([(0, int(k), v) for k, v in given.items()], "report_id long, pid int, verdict string")
-        per = citations.citation_verdicts(paired, said)
-        clean = citations.cleaned(reports, per).first()
-        verdicts = {r["n"]: r["verdict"] for r in per.collect()}
-        answer = Answer(clean["report"], [r | {"verdict": verdicts.get(r["n"], "UNCHECKED")} for r in rows], label, False, clean["checked"], clean["unsupported"])
+        answer = validated(answer, cites, models.judge)
     if cache is not None:
         cache.put(key, answer, now_ms)
+    if table is not None:
+        table.put(key, answer.payload(), now_ms)
     return answer

@@ -5,8 +5,6 @@ Searches, lists and reports end in top-k limits, which are what they are for; ev
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,22 +12,9 @@ from tidemark.functions import text as T
 from tidemark.functions import vectors as V
 from tidemark.operators import cache, chapters, chunking, citations, knowledge, quality, retrieval
 from tidemark.plans import adapters as A
+from tidemark.plans.registry import query
 from tidemark.sources import readers
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def sql_tags(column: str, dictionary: dict[str, list[str]]) -> str:
     each = [f"CASE WHEN {' OR '.join(f'''contains(lower({column}), '{w}')''' for w in words)} THEN '{key}' END" for key, words in dictionary.items()]
     return f"list_filter([{', '.join(each)}], lambda x: x IS NOT NULL)"
@@ -44,8 +29,8 @@ seg AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY turn) AS k,
   CAST(coalesce(sum(dur) OVER (PARTITION BY video_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS st FROM s)"""
 
 
-def sql_chunks(span: int) -> str:
-    return f"""{SEGMENTS},
+def sql_chunks(span: int, segments: str = SEGMENTS) -> str:
+    return f"""{segments},
 c AS (SELECT video_id, k, st, st + dur AS en, st AS anchor, 0 AS chunk, dur >= {span} AS closes FROM seg WHERE k = 1
   UNION ALL SELECT n.video_id, n.k, n.st, n.st + n.dur, CASE WHEN c.closes THEN n.st ELSE c.anchor END, c.chunk + CAST(c.closes AS INTEGER),
     n.st + n.dur - CASE WHEN c.closes THEN n.st ELSE c.anchor END >= {span}
@@ -420,13 +405,14 @@ def rerank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.rerank_lines(hits).withColumn("i", F.col("i").cast("long"))
 
 
-REPORTS = """rp AS (SELECT conv_id * 100 + turn AS report_id, text || ' First [' || (turn + 1) || ']. Then [' || (turn + 2) || '] and [' || (turn + 1) || '] end! Last [' || (turn + 2) || ', ' || (turn + 1) || '] one.' AS report, turn FROM conversations WHERE role = 'assistant'),
+REPORTS = """rp AS (SELECT conv_id * 100 + turn AS report_id, text || ' First [' || (turn + 1) || ']. Then [' || (turn + 2) || '] and [' || (turn + 1) || '] end! Last [' || (turn + 2) || ', ' || (turn + 1) || '] one.'
+  || CASE WHEN conv_id % 10 = 0 THEN (SELECT string_agg(' Claim ' || i || ' [' || (turn + 1 + i % 2) || '].', '' ORDER BY i) FROM range(50) AS r(i)) ELSE '' END AS report, turn FROM conversations WHERE role = 'assistant'),
 ln AS (SELECT report_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM (SELECT report_id, regexp_split_to_array(report, '\\n+') AS l FROM rp)),
 sn AS (SELECT report_id, i, unnest(range(len(l))) AS j, trim(unnest(l)) AS claim FROM (SELECT report_id, i, string_split(regexp_replace(line, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS l FROM ln)),
 cl AS (SELECT report_id, row_number() OVER (PARTITION BY report_id ORDER BY i, j) - 1 AS claim_no, claim, list_transform(regexp_extract_all(claim, '\\[(\\d+)\\]', 1), lambda x: CAST(x AS INTEGER)) AS m FROM sn WHERE regexp_matches(claim, '\\[\\d+\\]')),
 mk AS (SELECT report_id, claim_no, claim, n, min(k) AS k FROM (SELECT report_id, claim_no, claim, unnest(m) AS n, unnest(range(len(m))) AS k FROM cl) GROUP BY ALL),
 pr AS (SELECT report_id, claim_no, claim, n, row_number() OVER (PARTITION BY report_id ORDER BY claim_no, k) - 1 AS pid FROM (SELECT report_id, claim_no, claim, n, min(k) AS k FROM mk GROUP BY 1, 2, 3, 4) QUALIFY pid < 40),
-vd AS (SELECT *, (report_id + pid * 3 + n) % 4 AS v FROM pr),
+vd AS (SELECT *, (report_id // 100 + CASE WHEN report_id % 3 = 0 THEN pid ELSE 0 END + n) % 4 AS v FROM pr),
 pc AS (SELECT report_id, n, count(*) FILTER (v = 0) AS yes, count(*) FILTER (v = 1) AS partial, count(*) FILTER (v = 2) AS no, min(pid) AS first_pid FROM vd GROUP BY 1, 2),
 vc AS (SELECT *, CASE WHEN no > 0 AND yes = 0 THEN 'NO' WHEN partial > 0 AND yes = 0 THEN 'PARTIAL' ELSE 'YES' END AS verdict FROM pc)"""
 

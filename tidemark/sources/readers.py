@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import rss_date
@@ -14,10 +14,26 @@ from tidemark.sources import schemas
 
 
 def captions(spark: SparkSession, folder: str, suffix: str = ".en.json3") -> DataFrame:
-    """(video_id, events) of every caption file; the id is the file's name, and files that cannot be read are left out."""
+    """(video_id, events) of every caption file; the id is the file's name. Files that cannot be read are left out here and
+    listed by bad_captions."""
+    return all_captions(spark, folder, suffix).where("_corrupt_record is null and events is not null").drop("_corrupt_record")
+
+
+def bad_captions(spark: SparkSession, folder: str, suffix: str = ".en.json3") -> DataFrame:
+    """(video_id, reason) of the caption files that captions leaves out, for a log."""
+    rows = all_captions(spark, folder, suffix).where("_corrupt_record is not null or events is null")
+    return rows.select("video_id", F.when(F.col("_corrupt_record").isNotNull(), "not readable as JSON").otherwise("no events").alias("reason"))
+
+
+def all_captions(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     rows = spark.read.schema(schemas.EVENTS).option("multiLine", True).option("pathGlobFilter", f"*{suffix}").json(folder)
-    name = F.replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), F.lit(suffix), F.lit(""))
-    return rows.select(name.alias("video_id"), "events", "_corrupt_record").where("_corrupt_record is null and events is not null").drop("_corrupt_record")
+    return rows.select(stem(suffix).alias("video_id"), "events", "_corrupt_record")
+
+
+def stem(suffix: str) -> Column:
+    """The name of a row's file without its suffix. Spark gives names as in a URL."""
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return F.when(name.endswith(suffix), F.substring(name, F.lit(1), F.length(name) - len(suffix))).otherwise(name)
 
 
 def json_folder(spark: SparkSession, folder: str, schema: str, pattern: str = "*.json") -> DataFrame:
@@ -40,9 +56,12 @@ def transcripts(spark: SparkSession, folder: str) -> DataFrame:
     return json_folder(spark, folder, schemas.TRANSCRIPT)
 
 
-def entry_batches(spark: SparkSession, folder: str) -> DataFrame:
-    """Entries of files named entries_*.json, in the order of the files' names and of rows within; ord holds that order."""
-    rows = spark.read.schema(schemas.ENTRY).option("multiLine", True).option("pathGlobFilter", "entries_*.json").json(folder)
+def entry_batches(spark: SparkSession, folder: str, pattern: str = "entries_*.json", lines: bool = False) -> DataFrame:
+    """Entries of files named entries_*.json, in the order of the files' names and of rows within; ord holds that order.
+
+    A file is an array of entries, or with `lines`, as sinks.batches writes them, one entry a line.
+    """
+    rows = spark.read.schema(schemas.ENTRY).option("multiLine", not lines).option("pathGlobFilter", pattern).json(folder)
     return rows.select("*", F.struct(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("k")).alias("ord"))
 
 
@@ -50,7 +69,7 @@ def json_map(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """(key, value) of a JSON object; no row if the file is missing."""
     if not exists(spark, path):
         return spark.createDataFrame([], f"key string, value {kind[kind.index(',') + 1 : -1]}")
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", kind)).alias("key", "value"))
 
 
@@ -80,6 +99,12 @@ def chapters(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.CHAPTERS).option("multiLine", True).json(path)
 
 
+def chapter_lookup(spark: SparkSession, path: str) -> DataFrame:
+    """Chapters by id with what is known of their episode; no row if the file is missing."""
+    rows = json_map(spark, path, schemas.LOOKUP).select(F.col("key").alias("id"), "value.*")
+    return rows.select("id", "topic", F.col("episodeTitle").alias("episode_title"), F.col("episodeDate").cast("date").alias("episode_date"), F.col("audioUrl").alias("audio_url"), F.col("startTime").alias("start_time"), F.col("startSec").alias("start_sec"))
+
+
 def freshness(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.schema(schemas.FRESHNESS).option("multiLine", True).json(path) if exists(spark, path) else None
 
@@ -87,14 +112,18 @@ def freshness(spark: SparkSession, path: str) -> DataFrame | None:
 def profiles(spark: SparkSession, folder: str, keys: list[str] | None = None) -> DataFrame:
     """Profiles by file name; keys without a file are left out."""
     rows = spark.read.schema(schemas.PROFILE).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
-    rows = rows.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("key"), "*")
+    rows = rows.select(stem(".json").alias("key"), "*")
     return rows if keys is None else rows.where(F.col("key").isin(keys))
 
 
 def rss_items(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
-    """(title, date, description, audio_url, duration) of a feed's items that have a date, from `since` on."""
+    """(title, date, description, audio_url, duration, place) of a feed's items that have a date, from `since` on.
+
+    place is the item's: its file, where its part of the file begins, and a number that grows within it.
+    """
     rows = spark.read.format("xml").option("rowTag", "item").schema(schemas.RSS).load(path)
-    rows = rows.select("title", rss_date("pubDate").alias("date"), "description", F.col("enclosure._url").alias("audio_url"), F.col("itunes:duration").alias("duration")).where("date is not null")
+    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"))
+    rows = rows.select("title", rss_date("pubDate").alias("date"), "description", F.col("enclosure._url").alias("audio_url"), F.col("itunes:duration").alias("duration"), place.alias("place")).where("date is not null")
     return rows if since is None else rows.where(F.col("date") >= F.lit(since).cast("date"))
 
 

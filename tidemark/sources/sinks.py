@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,8 +28,42 @@ def batches(entries: DataFrame, path: str, rows: int = 500) -> None:
 
 
 def json_map(df: DataFrame, key: str, value: str, path: str) -> None:
-    """Small tables as one JSON object: one row, so for dictionaries only."""
-    df.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value))))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """A table as one file with one JSON object, a line for each key in order; it is written as it is sorted, line by line."""
+    one = F.regexp_extract(F.to_json(F.create_map(F.col(key).cast("string"), F.col(value))), r"(?s)^\{(.*)\}$", 1)
+    rows = df.where(F.col(key).isNotNull()).select(F.lit(1).alias("part"), F.col(key).cast("string").alias("key"), one.alias("value"))
+    first = rows.agg(F.min("key").alias("key")).first()["key"]
+    rows = rows.withColumn("value", F.when(F.col("key") == F.lit(first), F.col("value")).otherwise(F.concat(F.lit(","), "value")))
+    ends = df.sparkSession.createDataFrame([(0, None, "{"), (2, None, "}")], "part int, key string, value string")
+    rows.union(ends).repartition(1).sortWithinPartitions("part", "key").select("value").write.mode("overwrite").text(path)
+
+
+def named_files(df: DataFrame, name: str, value: str, path: str, suffix: str) -> None:
+    """One file for each row, named by its key: what programs expect that find a thing by its file's name.
+
+    Spark writes the contents; the driver only renames the files, of which there are as many as names.
+    """
+    spark = df.sparkSession
+    df.select(F.col(name).cast("string").alias("__name"), F.col(value).alias("value")).repartition("__name").write.mode("overwrite").partitionBy("__name").text(path)
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(root):
+        if folder.isDirectory() and "=" in (own := folder.getPath().getName()):
+            plain = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(own.split("=", 1)[1])
+            for part in fs.listStatus(folder.getPath()):
+                if part.getPath().getName().startswith("part-"):
+                    fs.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(root, f"{plain}{suffix}"))
+            fs.delete(folder.getPath(), True)
+
+
+def binary_file(spark: SparkSession, content: bytes, path: str) -> None:
+    """A small file of bytes, in whatever store the path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(content)
+    finally:
+        out.close()
 
 
 def vectors(entries: DataFrame, embed: Callable[[list[str]], list[list[float]]], path: str, model: str, chars: int = 2000, batch: int = 100, tries: int = 3) -> None:

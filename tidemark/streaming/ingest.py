@@ -8,12 +8,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators import chunking
 from tidemark.sources import schemas
+from tidemark.sources.readers import stem
 
 
 def captions(spark: SparkSession, folder: str, suffix: str = ".en.json3") -> DataFrame:
     rows = spark.readStream.schema(schemas.EVENTS).option("multiLine", True).option("pathGlobFilter", f"*{suffix}").json(folder)
-    name = F.replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), F.lit(suffix), F.lit(""))
-    return rows.where("_corrupt_record is null and events is not null").select(name.alias("video_id"), "events")
+    return rows.where("_corrupt_record is null and events is not null").select(stem(suffix).alias("video_id"), "events")
 
 
 def both_grains(events: DataFrame, topics: dict[str, list[str]], speakers: dict[str, list[str]]) -> DataFrame:
