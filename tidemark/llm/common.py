@@ -20,7 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Most rows that a lookup table may have to be broadcast; larger ones are joined by salted keys.
 BROADCAST_ROWS = 100_000
 #: Rows of a few numbers that go to one file at least, where a table's size is known.
-ROWS_PER_FILE = 500_000
+ROWS_PER_FILE = 50_000
 #: Bytes of an Arrow batch on its way to Python: what a worker holds at once, beside one row that may be longer.
 BATCH_BYTES = 8 << 20
 
@@ -73,13 +73,13 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 def written(df: DataFrame, name: str, rows: int | None = None, keep: bool = False) -> DataFrame:
     """df as a table written to the shared folder and read again: it cuts lineage, and a lost executor loses nothing of it.
 
-    `rows` is about how many rows of a few numbers df has at most: a small table is then written by few tasks, three for
-    each core, since every file costs some processes and jobs that read it.
+    `rows` is about how many rows of a few numbers df has at most: a small table is then written by few tasks, since every
+    file costs time, memory and, in some stores, a process. Where rows are large or work is heavy, it is a multiple.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     if rows is not None:
-        df = df.coalesce(3 * spark.sparkContext.defaultParallelism + rows // ROWS_PER_FILE)
+        df = df.coalesce(1 + rows // ROWS_PER_FILE)
     going = _scratches.open[: -1 if keep else None]
     if going:
         going[-1].append(path)
@@ -162,8 +162,11 @@ NARROW_ROWS = 500_000
 
 
 def narrow(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """A written table of a few numbers a row, marked for broadcast if it was counted to be small; else it is shuffled."""
-    if rows is None or rows > NARROW_ROWS:
+    """A table of a few numbers a row, marked for broadcast if it has few rows; else it is shuffled.
+
+    `rows` bounds their number where a count is known that does; without it a written table is counted.
+    """
+    if rows is None:
         rows = df.limit(NARROW_ROWS + 1).count()
     return F.broadcast(df) if rows <= NARROW_ROWS else df
 

@@ -417,18 +417,19 @@ def compared(pairs: DataFrame, rows: DataFrame, read: DataFrame, leads: DataFram
     """
 
     def of(pairs: DataFrame) -> DataFrame:
-        needed = written(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), f"{name}-needed", classes)
-        return written(leads.join(narrow(needed, classes), "class").select("class", "n", F.col("lead_key").alias("key")), f"{name}-wanted", classes)
+        needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+        return leads.join(narrow(needed, classes), "class").select("class", "n", F.col("lead_key").alias("key"))
 
     with scratch(pairs.sparkSession):
-        marks = written(read.where("slice is null").select("key", "mark").join(narrow(of(pairs), classes), "key").select("class", "n", "mark"), f"{name}-marks")
+        marks = written(read.where("slice is null").select("key", "mark").join(narrow(of(pairs), classes), "key").select("class", "n", "mark"), f"{name}-marks", 8 * classes)
         if marks.count() > marks.select("class").distinct().count():  # rows alike in id and text
             marks = written(marks.dropDuplicates(["class"]), f"{name}-marks")  # written, so that the joins' hot keys can be split
         one, two = (marks.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("mark").alias(f"mark_{x}")) for x in "ab")
         bounds = in_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "mark_a", "mark_b"), bounder(num), "a long, b long, hi long")
-        bounds = written(bounds, f"{name}-bounds", pairs.count())
+        count = pairs.count()
+        bounds = written(bounds, f"{name}-bounds", 8 * count)
         open_pairs = bounds.where("hi is null").select("a", "b")
-        wanted = of(open_pairs)
+        wanted = written(of(open_pairs), f"{name}-wanted", classes)
         sets = in_arrow(rows.select("key", "text"), set_reader(row_filter(wanted)), "key long, class long, set binary")
         sets = written(sets.join(narrow(wanted.select("key"), classes), "key", "left_semi").drop("key"), f"{name}-sets")
         if sets.count() > sets.select("class").distinct().count():  # rows alike in id and text
@@ -438,7 +439,7 @@ def compared(pairs: DataFrame, rows: DataFrame, read: DataFrame, leads: DataFram
         full = full.select("a", "b", F.col("shared").alias("lo"), F.col("shared").alias("hi"), F.lit(True).alias("full"), "linked", "a_n", "n", "lacks", "extra")
         none, zero = F.lit(None).cast("binary"), F.lit(0).cast("long")
         ruled_out = bounds.where("hi is not null").select("a", "b", zero.alias("lo"), "hi", F.lit(False).alias("full"), F.lit(False).alias("linked"), zero.alias("a_n"), zero.alias("n"), none.alias("lacks"), none.alias("extra"))
-        return written(ruled_out.union(full), f"{name}-overlaps", keep=True)
+        return written(ruled_out.union(full), f"{name}-overlaps", 8 * count, keep=True)
 
 
 def placed(first: DataFrame, comp: DataFrame, count: int, classes: int) -> DataFrame:
@@ -457,7 +458,7 @@ def from_pivots(first: DataFrame, pairs: DataFrame, shares: int, count: int) ->
     pairs = pairs.where("full").withColumn("outside", F.col("b_component") != F.col("a_component"))
     cells = lambda of: F.greatest(F.ceil(F.count_if(of) / FAMILY), F.ceil(F.sum(F.when(of, F.col("bytes"))) / FAMILY_BYTES), F.lit(0)).cast("long")
     mixed = pairs.groupBy("a").agg(F.count_if("outside").alias("out"), F.count("*").alias("size"), cells(F.col("outside")).alias("out_shares"), cells(~F.col("outside")).alias("home_shares")).where("out > 0 and size > 1").drop("out", "size")
-    families = written(pairs.join(mixed, "a").select("a", "b", F.col("b_component").alias("component"), "a_component", "outside", "out_shares", "home_shares"), "families", count)
+    families = pairs.join(narrow(mixed, count), "a").select("a", "b", F.col("b_component").alias("component"), "a_component", "outside", "out_shares", "home_shares")
     wide = first.where("full").select("a", "b", "a_n", "n", "lacks", "extra").join(families, ["a", "b"])
     wide = dealt(wide, F.col("outside"), F.col("out_shares"), F.col("home_shares"), F.col("b")).drop("out_shares", "home_shares", "outside")
     wide = wide.select("a", "cell", *[c for c in wide.columns if c not in ("a", "cell")])
@@ -470,16 +471,16 @@ def dealt_lists(left: DataFrame) -> DataFrame:
     counts = left.groupBy("list", "component").agg(F.count("*").alias("size"))
     homes = counts.groupBy("list").agg(F.max(F.struct("size", "component")).alias("most"), F.sum("size").alias("all")).where("all > most.size")
     share = lambda n: F.ceil(n / CELL).cast("long")
-    homes = written(homes.select(F.col("list").alias("of_list"), F.col("most.component").alias("home"), share(F.col("all") - F.col("most.size")).alias("out_shares"), share(F.col("most.size")).alias("home_shares")), "long-list-homes")
-    found = left.join(narrow(homes), left["list"] == homes["of_list"])
+    homes = homes.select(F.col("list").alias("of_list"), F.col("most.component").alias("home"), share(F.col("all") - F.col("most.size")).alias("out_shares"), share(F.col("most.size")).alias("home_shares"))
+    found = left.join(narrow(homes, left.count() // CELL), left["list"] == homes["of_list"])
     return dealt(found, F.col("component") != F.col("home"), F.col("out_shares"), F.col("home_shares"), F.col("class")).drop("of_list", "home", "out_shares", "home_shares")
 
 
-def joined(comp: DataFrame, links: DataFrame, rows: int) -> DataFrame:
+def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     """Components with more links."""
     if links.isEmpty():
         return comp
-    return components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links), rows)
+    return components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
 
 
 def similarity_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -512,19 +513,19 @@ def similarity_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     pairs = written(pairs.distinct(), "pairs", 4 * classes)
     count = pairs.count()
     first = compared(pairs, rows, read, leads, classes, NEAR, "pivot")
-    comp = components(first.where("linked").select("a", "b"), count)
+    comp = components(first.where("linked").select("a", "b"))
     near = placed(first, comp, count, classes)
     found = written(from_pivots(first, near, shares, count), "family-links", count)
     if not found.isEmpty():
-        comp = joined(comp, found, classes)
+        comp = joined(comp, found)
         near = placed(first, comp, count, classes)
     # a list of two has no pair but that of its pivot
     of = near.select(F.col("a").alias("pivot"), F.col("b").alias("class"), "lo", "hi", "full", F.col("b_component").alias("component"))
     # every set that is its own pivot, those too that stand alone in a range of sizes and were compared with none there
-    pivots = written(lists.where("members > 2 and pivot = class").select("pivot", "class").distinct(), "pivots", classes)
+    pivots = lists.where("members > 2 and pivot = class").select("pivot", "class").distinct()
     pivots = pivots.join(narrow(comp, classes), pivots["class"] == comp["node"], "left").select("pivot", "class", F.coalesce("component", "class").alias("component"))
     of = written(of.unionByName(pivots, allowMissingColumns=True), "compared", count + classes)
-    left = lists.where("members > 2").join(narrow(of), ["pivot", "class"])
+    left = lists.where("members > 2").join(narrow(of, count + classes), ["pivot", "class"])
     own = F.col("pivot") == F.col("class")
     lo, hi = (F.when(own, F.col("n")).otherwise(F.col(x)).alias(x) for x in ("lo", "hi"))
     left = left.select("list", "class", "n", "place", "component", "pivot", lo, hi, F.when(own, True).otherwise(F.col("full")).alias("full"), "members")
@@ -533,9 +534,9 @@ def similarity_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     left = left.select("list", "cell", *[c for c in left.columns if c not in ("list", "cell")])
     left = left.repartition(shares, hash_bucket(1 << 30, "list", "cell")).sortWithinPartitions("list", "cell")
     more = written(in_arrow(left, crossing_pairs, "a long, b long").distinct(), "crossing", count)
-    if n := more.count():
+    if more.count():
         second = compared(more, rows, read, leads, classes, NUM, "crossing")
-        comp = joined(comp, second.where("linked").select("a", "b"), classes + n)
+        comp = joined(comp, second.where("linked").select("a", "b"))
     return sig, leads.join(comp, leads["class"] == comp["node"], "left").select("class", "lead_id", F.coalesce("component", "class").alias("component")), classes
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +51,8 @@ def rated(docs: DataFrame, weights: tuple[int, ...], share: float, most: float,
     """docs with the columns of the mix under names that docs does not have, and those names."""
     new = {x: free_name(f"__{x}", docs) for x in ("size", "source_size", "target", "rate", "draw", "copies")}
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    light = written(docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), words.alias("size")), "mix-sizes")
+    # two aggregations over what one pass over the texts has counted; a lost part of it is counted again
+    light = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), words.alias("size")).persist(StorageLevel.MEMORY_AND_DISK)
     table = targets(light.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     table = written(table.withColumn("rate", rate), "mix-rates", 0)
@@ -61,6 +63,7 @@ def rated(docs: DataFrame, weights: tuple[int, ...], share: float, most: float,
     best = sums.join(table.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     off = F.transform("sums", lambda x, k: F.struct(F.abs(F.floor("rate") * F.col("source_size") + x - F.col("target")).alias("off"), (k + F.lit(seed)).alias("draw")))
     best = written(best.select("source", *[F.col(x).alias(new[x]) for x in ("source_size", "target", "rate")], F.array_min(off)["draw"].alias(new["draw"])), "mix-draws", 0)
+    light.unpersist()
     out = lookup(docs.withColumn(new["size"], words), best, "source", F.xxhash64("doc_id", new["size"]), how="left")
     rate = F.col(new["rate"])
     more = draw(F.col(new["draw"]), F.col("doc_id"), F.col(new["size"])) < rate - F.floor(rate)

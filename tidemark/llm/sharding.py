@@ -88,7 +88,7 @@ def shard(docs: DataFrame, shards: int = 24, vnodes: int = 64, bits: int = 14, l
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
     point = F.xxhash64("doc_id", "size", "text_crc32")
-    rows = written(rows.withColumn("point", point).withColumn("cell", F.shiftrightunsigned("point", 64 - bits).cast("int")), "ring-rows")
+    rows = written(rows.withColumn("point", point).withColumn("cell", F.shiftrightunsigned("point", 64 - bits).cast("int")), "ring-rows", docs.count())
     counts = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.sum("copies").alias("n")).collect()}
     plan = spark.createDataFrame(lay_out(counts, shards, vnodes, bits, load_factor), "p_cell int, lo long, hi long, shard int, slot_0 long")
     order = Window.partitionBy("cell").orderBy("point", "doc_id", "size", "text_crc32")

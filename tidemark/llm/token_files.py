@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -97,6 +98,8 @@ class WordIds:
         self.tok.no_padding()
         added = self.tok.get_added_tokens_decoder()
         self.added = sorted({FOLD[np.frombuffer(t.content.encode(), np.uint8)].tobytes() for t in added.values()})
+        # what they begin with before their first letter: texts without it need no closer look
+        self.heads = sorted({re.match(rb"[^a-z]*", t)[0] for t in self.added})
         self.by_words = by_words(path)
         size = max(self.tok.get_vocab_size(), max(added, default=0) + 1)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
@@ -176,6 +179,9 @@ class WordIds:
         return np.array(self.tok.encode(data.tobytes().decode(), add_special_tokens=False).ids, self.dtype)
 
     def holds_added(self, data: np.ndarray) -> bool:
+        raw = data.tobytes()
+        if not any(h in raw for h in self.heads):
+            return False
         low = FOLD[data].tobytes()
         return any(t in low for t in self.added)
 
