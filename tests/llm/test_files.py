@@ -46,7 +46,7 @@ def test_words_equal_whole_texts(monkeypatch):
     w = K.WordIds(PATH)
     rnd = random.Random(3)
     odd = ["<|ENDOFTEXT|>", "x <|EndOfText|> y", "a<|STARTOFTEXT|>b", "one<|startoftext|>two <|end oftext|> <|endoftext|", "it's they'll x.y, ok. <|endoftext|> A.B.", "É́ İstanbul ΣΑΣ ΟΔΟΣ. ﬁne ½ ² 語言 a b c", "áb ́x", "# #x x# 12,5. don't", "ǅ Ɖ ß ẞ.", ""]
-    texts = odd + [data.prose(rnd, 50) for _ in range(20)] + ["".join(rnd.choice("ab.,' \n\tÉé1#语") for _ in range(200)) for _ in range(200)]
+    texts = odd + [data.prose(rnd, 50) for _ in range(20)] + ["".join(rnd.choice("ab.,' \n\tÉé1#语") for _ in range(200)) for _ in range(200)] + ["".join(rnd.choice("astlv'$%.!( \n×÷éŁ\u0301…\u00a0ñ9-_") for _ in range(120)) for _ in range(1500)]
     want = [w.tok.encode(t, add_special_tokens=False).ids for t in texts]
     assert [x.tolist() for x in w.encode(pa.array(texts))] == want
     monkeypatch.setattr(K, "STEP_BYTES", 60)

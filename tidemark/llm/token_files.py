@@ -40,13 +40,27 @@ def unicode_word(raw: bytes) -> bool:
     return text.isalpha() and text == text.lower() and max(text) < "\u0250"
 
 
+#: ASCII marks but for the apostrophe, which may begin a piece together with letters.
+MARK = np.zeros(256, bool)
+MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+MARK[39] = False
+
+
+def letter_ends(data: np.ndarray) -> np.ndarray:
+    """Where a letter's last byte is known to be: ASCII, and the letters of two bytes from U+00C0 to U+017F."""
+    out = PLAIN[data]
+    tail = np.flatnonzero((data[1:] & 0xC0 == 0x80) & (data[:-1] >= 0xC3) & (data[:-1] <= 0xC5)) + 1
+    sign = (data[tail - 1] == 0xC3) & ((data[tail] == 0x97) | (data[tail] == 0xB7))  # times and divided by
+    out[tail[~sign]] = True
+    return out
+
+
 def word_spans(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the words in data, none across a cut; a point or comma between a letter and white space is one."""
+    """Starts and lengths of the words in data, none across a cut; letters and marks next to each other are words apart."""
     inside = ~SPACE[data]
     inner = cuts[(cuts > 0) & (cuts < len(data))]
-    stop = np.flatnonzero((data == 46) | (data == 44))
-    stop = stop[(stop > 0) & (stop + 1 < len(data))]
-    stop = stop[SPACE[data[stop + 1]] & PLAIN[data[stop - 1]]]
+    mark, letter = MARK[data], PLAIN[data]
+    stop = np.flatnonzero((mark[1:] & letter_ends(data)[:-1]) | (letter[1:] & mark[:-1])) + 1
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
     opens[inner] = inside[inner]
@@ -60,7 +74,7 @@ def word_spans(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 #: The parts of a tokenizer's file under which a text's ids are those of its words in a row. They ignore
-#: the case of A-Z, drop white space, never join a letter with a point or comma, and mark the last token of each piece.
+#: the case of A-Z, drop white space, never join a letter with a mark but the apostrophe, and mark each piece's last token.
 BY_WORDS = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
     "pre_tokenizer": {
