@@ -158,7 +158,9 @@ def test_lists_dealt_over_shares_and_cells_give_the_same(spark, monkeypatch):
     """With small limits every list is dealt over shares by its level, and over cells, and every family too."""
     monkeypatch.setattr(J, "LIST_ENTRIES", 4)
     monkeypatch.setattr(J, "CELL", 8)
-    monkeypatch.setattr(J, "FAMILY", 8)
+    monkeypatch.setattr(J, "LEAST_SHARE", 6)
+    monkeypatch.setattr(J, "SHARES", 4)
+    monkeypatch.setattr(J, "MOST_SHARE", 9)
     rnd = random.Random(9)
     base = [f"w{i}" for i in range(90)]
     rows = []
@@ -173,11 +175,11 @@ def test_lists_dealt_over_shares_and_cells_give_the_same(spark, monkeypatch):
 
 
 def test_one_list_of_many_sets(spark, monkeypatch):
-    """5,000 texts hold one passage each, and its shingles stand first in the order, so that all meet in one list. The
+    """3,000 texts hold one passage each, and its shingles stand first in the order, so that all meet in one list. The
     passage is too small a part to link them; every hundredth has a near copy, which by construction is its only link."""
     monkeypatch.setattr(J, "leveller", lambda usual: reversed_levels)
     passage = " ".join(f"p{i}" for i in range(8))
-    n = 5_000
+    n = 3_000
     texts = [f"{passage} " + " ".join(f"t{i}x{k}" for k in range(12)) for i in range(n)]
     rows = [(i, t) for i, t in enumerate(texts)] + [(n + i, texts[i] + " end") for i in range(0, n, 100)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)

@@ -38,10 +38,12 @@ TASK_ENTRIES, LIST_ENTRIES = 600_000, 100_000
 BLOCK = 64
 #: Members of a list that one task compares with each other; longer lists are dealt over cells.
 CELL = 500
+#: Rows of a share of a long list or a large family: the least, over SHARES shares at most, and from then on the most.
+LEAST_SHARE, SHARES, MOST_SHARE = 250, 40, 10_000
 #: Sets are compared with a pivot in full from this many hundredths on, since they may be similar to its other sets.
 NEAR = 50
-#: Sets of a family that one task answers from their pivot, and bytes of their differences from it.
-FAMILY, FAMILY_BYTES = 10_000, 16 << 20
+#: Bytes of their differences from the pivot that the sets of a share of a family have.
+SHARE_BYTES = 16 << 20
 #: The mark that bounds a pair's overlap before sets are fetched has about so many bits for each element.
 MARK_SHARE = 4
 #: Bits of the filter on the rows whose sets are fetched.
@@ -269,6 +271,11 @@ def groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tupl
         yield key, held
 
 
+def shares_for(rows: Column) -> Column:
+    """Over how many shares so many rows are dealt: evenly over a few tasks first, as every row is copied to the others' shares."""
+    return F.greatest(F.least(F.ceil(rows / LEAST_SHARE), F.lit(SHARES)), F.ceil(rows / MOST_SHARE)).cast("long")
+
+
 def dealt(df: DataFrame, outside: Column, out_shares: Column, home_shares: Column, spread: Column) -> DataFrame:
     """df with `cell` and `side`, its rows repeated so that any two of which one is outside meet in one cell, on two sides or in a cell of one side.
 
@@ -456,7 +463,7 @@ def from_pivots(first: DataFrame, pairs: DataFrame, shares: int, count: int) ->
     A large family is dealt over cells, so that every set outside meets every other of the family in one of them.
     """
     pairs = pairs.where("full").withColumn("outside", F.col("b_component") != F.col("a_component"))
-    cells = lambda of: F.greatest(F.ceil(F.count_if(of) / FAMILY), F.ceil(F.sum(F.when(of, F.col("bytes"))) / FAMILY_BYTES), F.lit(0)).cast("long")
+    cells = lambda of: F.greatest(shares_for(F.count_if(of)), F.ceil(F.sum(F.when(of, F.col("bytes"))) / SHARE_BYTES).cast("long"), F.lit(0))
     mixed = pairs.groupBy("a").agg(F.count_if("outside").alias("out"), F.count("*").alias("size"), cells(F.col("outside")).alias("out_shares"), cells(~F.col("outside")).alias("home_shares")).where("out > 0 and size > 1").drop("out", "size")
     families = pairs.join(narrow(mixed, count), "a").select("a", "b", F.col("b_component").alias("component"), "a_component", "outside", "out_shares", "home_shares")
     wide = first.where("full").select("a", "b", "a_n", "n", "lacks", "extra").join(families, ["a", "b"])
@@ -470,8 +477,7 @@ def dealt_lists(left: DataFrame) -> DataFrame:
     each other. Lists of one component go."""
     counts = left.groupBy("list", "component").agg(F.count("*").alias("size"))
     homes = counts.groupBy("list").agg(F.max(F.struct("size", "component")).alias("most"), F.sum("size").alias("all")).where("all > most.size")
-    share = lambda n: F.ceil(n / CELL).cast("long")
-    homes = homes.select(F.col("list").alias("of_list"), F.col("most.component").alias("home"), share(F.col("all") - F.col("most.size")).alias("out_shares"), share(F.col("most.size")).alias("home_shares"))
+    homes = homes.select(F.col("list").alias("of_list"), F.col("most.component").alias("home"), shares_for(F.col("all") - F.col("most.size")).alias("out_shares"), shares_for(F.col("most.size")).alias("home_shares"))
     found = left.join(narrow(homes, left.count() // CELL), left["list"] == homes["of_list"])
     return dealt(found, F.col("component") != F.col("home"), F.col("out_shares"), F.col("home_shares"), F.col("class")).drop("of_list", "home", "out_shares", "home_shares")
 

@@ -73,14 +73,14 @@ def swapped_replies(convs: DataFrame, by: str = "conv_id", role: str = "assistan
 
     Turns after the last reply are cut off and appear on neither side. Neighbours are the ids 2k and 2k + 1. The rejected conversation ends with the neighbour's last reply; without a
     neighbour, or one that never replies, it ends before the reply. Conversations without a reply, or without an id, have
-    an equal rejected version. One row for each conversation.
+    an equal rejected version. One row for each conversation; columns other than `by` and turns are ignored.
     """
     last = F.array_max(F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == role, i + 1)), lambda i: i.isNotNull()))
-    convs = convs.withColumn("last", last)
-    other = convs.where(F.col(by).isNotNull() & F.col("last").isNotNull()).select(F.col(by).bitwiseXOR(F.lit(1)).alias("__for"), F.get("turns", F.col("last") - 1).alias("reply"))
-    df = convs.join(other, F.col(by) == F.col("__for"), "left").drop("__for")
-    cut = F.slice("turns", 1, F.col("last") - 1)
-    swapped = F.when(F.col("reply").isNull(), cut).otherwise(F.concat(cut, F.array("reply")))
-    rejected = F.when(F.col("last").isNull() | F.col(by).isNull(), F.col("turns")).otherwise(swapped)
-    chosen = F.when(F.col("last").isNull(), F.col("turns")).otherwise(F.slice("turns", 1, F.col("last")))
-    return df.select(by, chosen.alias("chosen"), rejected.alias("rejected"))
+    rows = convs.select(F.col(by).alias("__by"), "turns").withColumn("__last", last)
+    other = rows.where(F.col("__by").isNotNull() & F.col("__last").isNotNull()).select(F.col("__by").bitwiseXOR(F.lit(1)).alias("__for"), F.get("turns", F.col("__last") - 1).alias("__reply"))
+    df = rows.join(other, F.col("__by") == F.col("__for"), "left")
+    cut = F.slice("turns", 1, F.col("__last") - 1)
+    swapped = F.when(F.col("__reply").isNull(), cut).otherwise(F.concat(cut, F.array("__reply")))
+    rejected = F.when(F.col("__last").isNull() | F.col("__by").isNull(), F.col("turns")).otherwise(swapped)
+    chosen = F.when(F.col("__last").isNull(), F.col("turns")).otherwise(F.slice("turns", 1, F.col("__last")))
+    return df.select(F.col("__by").alias(by), chosen.alias("chosen"), rejected.alias("rejected"))

@@ -50,10 +50,9 @@ def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with what is left of its text as length and checksum."""
+    """Every document with what is left of its text as length and digest."""
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
-    clean = F.encode("clean_text", "utf-8")
-    return out.select("doc_id", "n_lines", "removed_chunks", "removed_lines", F.octet_length(clean).cast("long").alias("clean_bytes"), F.crc32(clean).alias("clean_crc32"))
+    return out.select("doc_id", "n_lines", "removed_chunks", "removed_lines", F.octet_length("clean_text").cast("long").alias("clean_bytes"), F.md5("clean_text").alias("clean_md5"))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +133,24 @@ FROM d
 """
 
 
+OP6_SQL = r"""
+WITH l AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+p AS (SELECT doc_id, i, ls[i] AS a, ls[i + 1] AS b FROM (SELECT doc_id, ls, unnest(range(1, len(ls))) AS i FROM l)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, i) AS k FROM p),
+g AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest([i, i + 1]) AS j FROM r WHERE k > 1)),
+d AS (
+  SELECT doc_id, list(j) AS dead, count(*) AS removed, count(*) FILTER (before IS NULL OR before < j - 1) AS blocks
+  FROM (SELECT *, lag(j) OVER (PARTITION BY doc_id ORDER BY j) AS before FROM g) GROUP BY doc_id),
+c AS (
+  SELECT doc_id, len(ls) AS n_lines, coalesce(blocks, 0) AS blocks, coalesce(removed, 0) AS removed,
+         CASE WHEN removed IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda x, k: NOT list_contains(dead, k)), chr(10)) END AS clean
+  FROM l LEFT JOIN d USING (doc_id))
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(blocks AS BIGINT) AS removed_chunks, CAST(removed AS BIGINT) AS removed_lines,
+       CAST(octet_length(encode(clean)) AS BIGINT) AS clean_bytes, md5(clean) AS clean_md5
+FROM c
+"""
+
+
 OP8_SQL = r"""
 WITH t AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k,
@@ -165,5 +182,23 @@ FROM o GROUP BY conv_id
 """
 
 
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 75 * (na.n + nb.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS other FROM n UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other),
+c AS (SELECT node, min(other) AS component_id FROM r GROUP BY node)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.node = w.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_warc_index": OP5_SQL, "op8_preference_pairs": OP8_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_warc_index": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_preference_pairs": OP8_SQL, "op10_ngram_jaccard_join": OP10_SQL}
