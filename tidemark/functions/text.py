@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -235,25 +236,26 @@ def model_json(reply: Text, schema: str) -> Column:
     return F.from_json(F.when(plain.startswith("{"), plain).otherwise(inner), schema)
 
 
+# The rewrites of Markdown, in the order that they are made in.
+MARKDOWN = (
+    (r"(?m)^### (.*$)", "<h3>$1</h3>"),
+    (r"(?m)^## (.*$)", "<h2>$1</h2>"),
+    (r"(?m)^# (.*$)", "<h1>$1</h1>"),
+    (r"\*\*(.*?)\*\*", "<strong>$1</strong>"),
+    (r"\*([^*\n]+)\*", "<em>$1</em>"),
+    (r"(?m)^- (.*$)", "<li>$1</li>"),
+    (r"((?:<li>.*</li>\n?)+)", "<ul>$1</ul>"),
+    (r"(?m)^---$", "<hr />"),
+    (r"\[([^\]]+)\]\((https?://[^)]+)\)", '<a href="$2" target="_blank" rel="noopener noreferrer">$1</a>'),
+    (r"(https://youtube\.com/watch\?[^\s<]+)", '<a href="$1" target="_blank" rel="noopener noreferrer">youtube</a>'),
+    (r"`([^`]+)`", "<code>$1</code>"),
+    (r"\n\n", "</p><p>"),
+)
+
+
 def markdown_html(c: Text) -> Column:
-    """Markdown as HTML by ordered rewrites."""
-    t = col(c)
-    for pattern, by in (
-        (r"(?m)^### (.*$)", "<h3>$1</h3>"),
-        (r"(?m)^## (.*$)", "<h2>$1</h2>"),
-        (r"(?m)^# (.*$)", "<h1>$1</h1>"),
-        (r"\*\*(.*?)\*\*", "<strong>$1</strong>"),
-        (r"\*([^*\n]+)\*", "<em>$1</em>"),
-        (r"(?m)^- (.*$)", "<li>$1</li>"),
-        (r"((?:<li>.*</li>\n?)+)", "<ul>$1</ul>"),
-        (r"(?m)^---$", "<hr />"),
-        (r"\[([^\]]+)\]\((https?://[^)]+)\)", '<a href="$2" target="_blank" rel="noopener noreferrer">$1</a>'),
-        (r"(https://youtube\.com/watch\?[^\s<]+)", '<a href="$1" target="_blank" rel="noopener noreferrer">youtube</a>'),
-        (r"`([^`]+)`", "<code>$1</code>"),
-        (r"\n\n", "</p><p>"),
-    ):
-        t = F.regexp_replace(t, pattern, by)
-    return t
+    """Markdown as HTML."""
+    return reduce(lambda t, rule: F.regexp_replace(t, *rule), MARKDOWN, col(c))
 
 
 def match_percent(relevance: Text) -> Column:
