@@ -162,7 +162,8 @@ class WordIds:
         hashes = scrambled(parts[0] * PLACES[0] + parts[1] * PLACES[1] + parts[2] * PLACES[2] + lengths.astype(np.uint64))
         for i in np.flatnonzero(lengths > 24).tolist():
             hashes[i] = int.from_bytes(hashlib.blake2b(low[starts[i] : starts[i] + lengths[i]].tobytes(), digest_size=8).digest(), "little")
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        which = pa.array(hashes).dictionary_encode().indices.to_numpy()  # numbered as they come
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(which), prepend=-1))
         lead = first[which]
         same = not any((x != x[lead]).any() for x in (*parts, lengths))
         if not same or any(low[starts[i] : starts[i] + lengths[i]].tobytes() != low[starts[lead[i]] : starts[lead[i]] + lengths[i]].tobytes() for i in np.flatnonzero(lengths > 24)):
