@@ -108,11 +108,12 @@ def contained_titles(catalogue: DataFrame, feed: DataFrame) -> DataFrame:
     least = F.greatest(F.lit(3), (F.floor(F.size("words") * 0.4) + 1).cast("int"))
     # the longest words first: any `least` of the words hold one of these
     order = F.transform(F.array_sort(F.transform("words", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
-    probes = words.select("item_ord", "words", F.explode(F.slice(order, 1, F.size("words") - least + 1)).alias("probe")).withColumn("gram", F.substring("probe", 1, GRAM))
+    probes = words.select("item_ord", F.explode(F.slice(order, 1, F.size("words") - least + 1)).alias("probe"))
+    probes = probes.select("item_ord", F.substring("probe", 1, GRAM).alias("gram")).distinct()
     low = catalogue.select("video_id", F.lower("title").alias("low")).where(F.length("low") >= GRAM)
     at = F.sequence(F.lit(1), F.length("low") - GRAM + 1)
-    grams = low.select("video_id", "low", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring("low", i, GRAM)))).alias("gram"))
-    pairs = grams.join(probes, "gram").where(F.contains("low", "probe")).select("video_id", "item_ord").distinct()
+    grams = low.select("video_id", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring("low", i, GRAM)))).alias("gram"))
+    pairs = grams.join(probes, "gram").select("video_id", "item_ord").distinct()
     both = pairs.join(low, "video_id").join(words, "item_ord")
     hit = F.size(F.filter("words", lambda w: F.contains(F.col("low"), w)))
     return both.withColumn("hits", hit).where((F.col("hits") >= 3) & (F.col("hits") / F.size("words") > 0.4)).groupBy("video_id").agg(F.min("item_ord").alias("item_ord"))

@@ -257,12 +257,12 @@ def pilot_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: length(t) > 4)) AS ws FROM benchmark),
-c AS (SELECT conv_id * 100 + turn AS video_id, lower(text) AS low FROM conversations),
+c AS (SELECT doc_id AS video_id, lower(text) AS low FROM documents),
 h AS (SELECT video_id, item_id, len(list_filter(ws, lambda t: contains(low, t))) AS hits, len(ws) AS n FROM c, w)
 SELECT video_id, min(item_id) AS item_ord FROM h WHERE hits >= 3 AND hits / n > 0.4 GROUP BY 1"""
 )
 def title_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titles = A.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("video_id"), F.col("text").alias("title"))
+    titles = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id"), F.col("text").alias("title"))
     return knowledge.contained_titles(titles, A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item_ord"), F.col("text").alias("title")))
 
 
