@@ -111,12 +111,14 @@ def contained_titles(catalogue: DataFrame, feed: DataFrame) -> DataFrame:
     probes = words.select("item_ord", F.explode(F.slice(order, 1, F.size("words") - least + 1)).alias("probe"))
     probes = probes.select("item_ord", F.substring("probe", 1, GRAM).alias("gram")).distinct()
     low = catalogue.select("video_id", F.lower("title").alias("low")).where(F.length("low") >= GRAM)
-    at = F.sequence(F.lit(1), F.length("low") - GRAM + 1)
-    grams = low.select("video_id", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring("low", i, GRAM)))).alias("gram"))
+    # from an array of characters, as a substring of a text is looked for from the text's beginning
+    spelt = low.select("video_id", F.split("low", "").alias("chars"))
+    at = F.sequence(F.lit(1), F.size("chars") - GRAM + 1)
+    grams = spelt.select("video_id", F.explode(F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice("chars", i, GRAM), "")))).alias("gram"))
     pairs = grams.join(probes, "gram").select("video_id", "item_ord").distinct()
     both = pairs.join(low, "video_id").join(words, "item_ord")
     hit = F.size(F.filter("words", lambda w: F.contains(F.col("low"), w)))
-    return both.withColumn("hits", hit).where((F.col("hits") >= 3) & (F.col("hits") / F.size("words") > 0.4)).groupBy("video_id").agg(F.min("item_ord").alias("item_ord"))
+    return once(both, hits=hit).where((F.col("hits") >= 3) & (F.col("hits") / F.size("words") > 0.4)).groupBy("video_id").agg(F.min("item_ord").alias("item_ord"))
 
 
 def match_summary(catalogue: DataFrame, matches: DataFrame) -> DataFrame:
