@@ -37,7 +37,12 @@ def packed(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[np
     buffer = np.zeros(len(data) + 32, np.uint8)
     buffer[: len(data)] = data
     window = np.ndarray((len(data) + 24,), "<u8", buffer, strides=(1,))
-    return [window[np.minimum(starts + at, len(data))] & KEEP[np.clip(lengths - at, 0, 8)] for at in (0, 8, 16)]
+    out = [window[starts] & KEEP[np.minimum(lengths, 8)]]
+    for at in (8, 16):  # few words are so long
+        more = np.flatnonzero(lengths > at)
+        out.append(np.zeros(len(starts), np.uint64))
+        out[-1][more] = window[starts[more] + at] & KEEP[np.minimum(lengths[more] - at, 8)]
+    return out
 
 
 def word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

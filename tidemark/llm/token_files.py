@@ -165,7 +165,10 @@ class WordIds:
         which = pa.array(hashes).dictionary_encode().indices.to_numpy()  # numbered as they come
         first = np.flatnonzero(np.diff(np.maximum.accumulate(which), prepend=-1))
         lead = first[which]
-        same = not any((x != x[lead]).any() for x in (*parts, lengths))
+        same = (lengths == lengths[lead]).all() and (parts[0] == parts[0][lead]).all()
+        for k in (1, 2):  # as long as each other, so that short words need no closer look
+            more = np.flatnonzero(lengths > 8 * k)
+            same = same and (parts[k][more] == parts[k][lead[more]]).all()
         if not same or any(low[starts[i] : starts[i] + lengths[i]].tobytes() != low[starts[lead[i]] : starts[lead[i]] + lengths[i]].tobytes() for i in np.flatnonzero(lengths > 24)):
             first = which = np.arange(len(starts))  # two words of one hash: look every word up
         del parts, hashes, lead
