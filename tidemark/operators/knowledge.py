@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.text import cut, jaccard, strings, tokens_idf, tokens_title
+from tidemark.functions.text import cut, strings, tokens_idf, tokens_title
 from tidemark.operators.joins import once, with_lookup
 
 #: Tokens that put themselves last when titles are matched, and characters by which contained words are looked for.
@@ -92,7 +92,9 @@ def best_title_matches(catalogue: DataFrame, feed: DataFrame, least: float = 0.2
     sizes = (F.col("n_video_id") >= least * F.col("n_item_ord") - 1e-9) & (F.col("n_item_ord") >= least * F.col("n_video_id") - 1e-9)
     pairs = left.join(right, "token").where(sizes).select("video_id", "item_ord").distinct()
     both = with_lookup(pairs.join(a, "video_id"), b.select("item_ord", F.col("tokens").alias("others")), "item_ord", "inner")
-    scored = once(both, score=jaccard(F.col("tokens"), F.col("others"))).where(F.col("score") >= least)
+    shared = once(both, shared=F.size(F.array_intersect("tokens", "others")))
+    union = F.size("tokens") + F.size("others") - F.col("shared")
+    scored = shared.select("video_id", "item_ord", (F.col("shared") / union).alias("score")).where(F.col("score") >= least)
     best = scored.groupBy("video_id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "item_ord")).alias("b"))
     best = best.select("video_id", F.col("b.item_ord").alias("item_ord"), (-F.col("b.minus")).alias("score"))
     return with_lookup(best, b.select("item_ord", "date"), "item_ord")
