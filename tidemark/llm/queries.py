@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, exact_dedup, jaccard_join, language_id, line_dedup, mixing, preference, sharding, token_files, warc
+from tidemark.llm import alignment, decontamination, exact_dedup, host_reputation, importance, jaccard_join, language_id, line_dedup, mixing, preference, sharding, token_files, warc
 from tidemark.llm.common import new_path
 
 
@@ -77,8 +77,25 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its verdict; a label whose doc_id is a page's id is that page's outcome."""
+    rules = spark.createDataFrame(host_reputation.RULES, "host string, path string, verdict string")
+    out = host_reputation.judge(table(spark, sf_dir, "pages"), host_reputation.outcomes_of(table(spark, sf_dir, "labels")), rules)
+    return out.withColumns({c: F.round(c, 6) for c in ("bad_rate", "bad_bound")})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_exact_dedup, op4_mix_sources, op5_warc_index, op6_line_dedup, op7_token_files, op8_preference_pairs, op9_shard_ring, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_exact_dedup, op4_mix_sources, op5_warc_index, op6_line_dedup, op7_token_files, op8_preference_pairs, op9_shard_ring, op10_ngram_jaccard_join, op11_importance_resample, op12_token_alignment, op13_host_reputation)}
 
 
 OP3_SQL = r"""
@@ -200,5 +217,61 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.node = w.doc_id
 """
 
 
+OP13_SQL = r"""
+WITH p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+o AS (
+  SELECT doc_id AS page_id, count(*) AS n, sum(CASE WHEN coalesce(quality = 0, false) OR coalesce(toxic = 1, false) THEN 1 ELSE 0 END) AS bad
+  FROM labels WHERE (quality IS NOT NULL OR toxic IS NOT NULL) AND doc_id IS NOT NULL GROUP BY doc_id),
+h AS (
+  SELECT host, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad,
+         regexp_replace(regexp_replace(host, '^[^@]*@|:[0-9]*$', '', 'g'), '\.$', '') AS name
+  FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+s1 AS (
+  SELECT *, CASE WHEN regexp_matches(string_split(name, '.')[-1], '^[0-9]*$') THEN name
+                 WHEN length(string_split(name, '.')[-1]) = 2 AND string_split(name, '.')[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN string_split(name, '.')[-2] || '.' || string_split(name, '.')[-1]
+                 ELSE string_split(name, '.')[-1] END AS suffix
+  FROM h),
+hosts AS (
+  SELECT *, CASE WHEN length(name) <= length(suffix) THEN name
+                 ELSE regexp_extract(left(name, length(name) - length(suffix) - 1), '([^.]*)$', 1) || '.' || suffix END AS domain
+  FROM s1),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad, sum(n * n) AS nn, sum(bad * bad / n) AS kk, count(*) AS hosts FROM hosts WHERE n > 0 GROUP BY domain, suffix),
+s AS (
+  SELECT suffix, sum(n) AS n, sum(bad) AS bad, sum(n * n) AS nn, sum(bad * bad / n) AS kk, count(*) AS domains,
+         sum(nn / n) AS host_nn, sum(kk) AS host_kk, sum(hosts) AS hosts
+  FROM d GROUP BY suffix),
+t AS (
+  SELECT coalesce(sum(n), 0) AS n, coalesce(sum(bad), 0) AS bad, sum(n * n) AS nn, sum(bad * bad / n) AS kk, count(*)::DOUBLE AS suffixes,
+         sum(nn / n) AS domain_nn, sum(kk) AS domain_kk, sum(domains)::DOUBLE AS domains, sum(host_nn) AS host_nn, sum(host_kk) AS host_kk, sum(hosts)::DOUBLE AS hosts
+  FROM s),
+levels AS (
+  SELECT 'host' AS level, host_kk - domain_kk AS b, bad - host_kk AS w, n, host_nn AS nn, hosts AS g, domains AS up FROM t
+  UNION ALL SELECT 'domain', domain_kk - kk, bad - domain_kk, n, domain_nn, domains, suffixes FROM t
+  UNION ALL SELECT 'suffix', kk - bad * bad / nullif(n, 0), bad - kk, n, nn / nullif(n, 0), suffixes, 1.0 FROM t),
+parts AS (SELECT *, b / nullif(g - up, 0) AS spread, w / nullif(n - g, 0) AS noise, (n - nn) / nullif(g - up, 0) AS each FROM levels),
+w AS (
+  SELECT level, CASE WHEN n > 0 AND g > up AND n > g AND spread + (each - 1) * noise > 0
+                     THEN CASE WHEN spread > noise THEN least(greatest((spread + (each - 1) * noise) / (spread - noise) - 1, 1.0), 1000.0) ELSE 1000.0 END
+                     ELSE 10.0 END AS c
+  FROM parts),
+c AS (SELECT max(c) FILTER (level = 'host') AS ch, max(c) FILTER (level = 'domain') AS cd, max(c) FILTER (level = 'suffix') AS cs FROM w),
+rs AS (SELECT suffix, (sum(hosts.bad) + any_value(cs) * (any_value(t.bad) + 1) / (any_value(t.n) + 2)) / (sum(hosts.n) + any_value(cs)) AS m FROM hosts, t, c GROUP BY suffix),
+rd AS (SELECT domain, (sum(bad) + any_value(cd) * any_value(m)) / (sum(n) + any_value(cd)) AS m FROM hosts JOIN rs USING (suffix), c GROUP BY domain),
+rh AS (SELECT host, n, bad, bad + ch * m AS a, n - bad + ch * (1 - m) AS b FROM hosts JOIN rd USING (domain), c),
+r(host, path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+fit AS (
+  SELECT u.host, u.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM p) u JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
+  GROUP BY u.host, u.path),
+j AS (SELECT p.*, fit.rule, fit.verdict, rh.n, rh.bad, a / (a + b) AS mean, a + b AS size FROM p JOIN rh USING (host) LEFT JOIN fit ON fit.host = p.host AND fit.path = p.path)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (size + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+       CAST(n AS BIGINT) AS labelled, CAST(bad AS BIGINT) AS bad, round(mean, 6) AS bad_rate, round(mean - 1.645 * sqrt(mean * (1 - mean) / (size + 1)), 6) AS bad_bound
+FROM j
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_warc_index": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_preference_pairs": OP8_SQL, "op10_ngram_jaccard_join": OP10_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_warc_index": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_preference_pairs": OP8_SQL, "op10_ngram_jaccard_join": OP10_SQL, "op13_host_reputation": OP13_SQL}
