@@ -72,6 +72,18 @@ def test_tokenizers_that_do_not_work_by_words(tmp_path):
     assert K.WordIds(PATH).by_words
 
 
+def test_letters_beside_marks_are_encoded_as_in_whole_texts():
+    """Every letter from U+00C0 to U+017F before and after every ASCII mark, alone and within words."""
+    w = K.WordIds(PATH)
+    letters = [c for c in map(chr, range(0xC0, 0x180)) if c.isalpha()]
+    marks = [c for c in map(chr, range(33, 127)) if not c.isalnum()]
+    texts = [t for a in letters for m in marks for t in (f"{a}{m}", f"{m}{a}", f"x{a}{m} y{m}{a}z")]
+    texts += ["HABERİ, yeni", "(Prof. İ. Aksoy)", "İ.", "İ" * 30 + "!", "ı.İ-i̇,I"]
+    assert w.by_words
+    for text, ids in zip(texts, w.encode(pa.array(texts)), strict=True):
+        assert ids.tolist() == w.tok.encode(text, add_special_tokens=False).ids, text
+
+
 def captures():
     rnd = random.Random(8)
     big = data.prose(rnd, 40)

@@ -46,21 +46,31 @@ MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 MARK[39] = False
 
 
-def letter_ends(data: np.ndarray) -> np.ndarray:
-    """Where a letter's last byte is known to be: ASCII, and the letters of two bytes from U+00C0 to U+017F."""
+#: Lead bytes of the letters of two bytes that may be known to be letters, U+00C0 to U+017F.
+LEADS = range(0xC3, 0xC6)
+
+
+def plain_letters(normal) -> np.ndarray:
+    """For each lead byte and second byte: does the tokenizer's normaliser make letters alone of that letter? Some become a
+    letter and a combining mark, which a mark behind it would join."""
+    codes = [bytes([lead, 0x80 + k]).decode() for lead in LEADS for k in range(64)]
+    return np.array([c.isalpha() and normal.normalize_str(c).isalpha() for c in codes]).reshape(len(LEADS), 64)
+
+
+def letter_ends(data: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Where a letter's last byte is known to be: ASCII, and the letters of two bytes that `letters` has."""
     out = PLAIN[data]
-    tail = np.flatnonzero((data[1:] & 0xC0 == 0x80) & (data[:-1] >= 0xC3) & (data[:-1] <= 0xC5)) + 1
-    sign = (data[tail - 1] == 0xC3) & ((data[tail] == 0x97) | (data[tail] == 0xB7))  # times and divided by
-    out[tail[~sign]] = True
+    tail = np.flatnonzero((data[1:] & 0xC0 == 0x80) & (data[:-1] >= LEADS[0]) & (data[:-1] <= LEADS[-1])) + 1
+    out[tail] = letters[data[tail - 1] - LEADS[0], data[tail] & 63]
     return out
 
 
-def word_spans(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, cuts: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the words in data, none across a cut; letters and marks next to each other are words apart."""
     inside = ~SPACE[data]
     inner = cuts[(cuts > 0) & (cuts < len(data))]
     mark, letter = MARK[data], PLAIN[data]
-    stop = np.flatnonzero((mark[1:] & letter_ends(data)[:-1]) | (letter[1:] & mark[:-1])) + 1
+    stop = np.flatnonzero((mark[1:] & letter_ends(data, letters)[:-1]) | (letter[1:] & mark[:-1])) + 1
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
     opens[inner] = inside[inner]
@@ -121,6 +131,7 @@ class WordIds:
         self.old: dict[bytes, bytes] = {}
         if not self.by_words:
             return
+        self.letters = plain_letters(self.tok.normalizer)
         # for lower-case words of letters its normaliser and patterns change nothing
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
@@ -155,7 +166,7 @@ class WordIds:
         hash. Each different word is looked up once.
         """
         low = FOLD[data]
-        starts, lengths = word_spans(data, cuts)
+        starts, lengths = word_spans(data, cuts, self.letters)
         if not len(starts):
             return np.empty(0, self.dtype), np.zeros(len(cuts), np.int64)
         parts = packed(low, starts, lengths)
