@@ -8,17 +8,65 @@ from collections import Counter, defaultdict
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def line_chunks(lines):
+    """(first, last) of each chunk of lines, from 0: from one cut line to the next."""
+    rolls = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+    n = len(lines)
+    cuts = [0, *[i for i in range(1, n - 1) if (rolls[i] * 1_000_003 + rolls[i + 1]) % 4294967291 % 8], n - 1] if n > 1 else []
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
 def lines_left(docs):
-    """(doc_id, text) in order to what is left of each text: every run of two lines that stood before goes."""
-    seen, out = set(), {}
-    for doc, text in docs:
-        lines, gone = text.split("\n"), set()
-        for i in range(len(lines) - 1):
-            pair = (lines[i], lines[i + 1])
-            if pair in seen:
-                gone |= {i, i + 1}
-            seen.add(pair)
-        out[doc] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    """(doc_id, text) in order to what is left of each text once the runs of chunks that stood before are gone."""
+    solid = lambda x: re.search(r"[^\x20\x09-\x0D]", "".join(x))
+    lines = [t.split("\n") for _, t in docs]
+    cut = [line_chunks(x) for x in lines]
+    places = defaultdict(list)
+    for d, own in enumerate(lines):
+        for f, e in cut[d]:
+            if solid(own[f : e + 1]):
+                places[tuple(own[f : e + 1])].append((d, f))
+    out = {}
+    for d, own in enumerate(lines):
+        found = [(f, e, *places[tuple(own[f : e + 1])][0]) for f, e in cut[d] if len(places.get(tuple(own[f : e + 1]), [])) > 1]
+        groups = []
+        for x in found:
+            last = groups[-1][-1] if groups else None
+            if last and last[1] == x[0] and last[2] == x[2] and last[3] - last[0] == x[3] - x[0]:
+                groups[-1].append(x)
+            else:
+                groups.append([x])
+        there = {(f, e) for f, e, _, _ in found}
+        spans = []
+        for g in groups:
+            f, e, k, kf = g[0][0], g[-1][1], g[0][2], g[0][3]
+            begin, end, shift, kept = f, e, kf - f, (k, kf) == (d, f)
+            before = next((c for c in cut[d] if c[1] == f), None)
+            after = next((c for c in cut[d] if c[0] == e), None)
+            k_before = next((c for c in cut[k] if c[1] == f + shift), None)
+            k_after = next((c for c in cut[k] if c[0] == e + shift), None)
+            if not kept and before and before not in there and k_before:
+                while begin > before[0] and begin + shift > k_before[0] and own[begin - 1] == lines[k][begin - 1 + shift]:
+                    begin -= 1
+            if not kept and after and after not in there and k_after:
+                while end < after[1] and end + shift < k_after[1] and own[end + 1] == lines[k][end + 1 + shift]:
+                    end += 1
+            spans.append((begin, end, f, e, kept))
+        spans.sort(key=lambda x: x[:2])
+        dead, stay = set(), set()
+        for i, (begin, end, f, e, kept) in enumerate(spans):
+            size = own_lines = end - begin + 1
+            if i and spans[i - 1][1] - spans[i - 1][0] + 1 >= size:
+                own_lines -= max(spans[i - 1][1] - begin + 1, 0)
+            if i + 1 < len(spans) and spans[i + 1][1] - spans[i + 1][0] + 1 > size:
+                own_lines -= max(end - spans[i + 1][0] + 1, 0)
+            if kept or own_lines == 1:
+                stay |= set(range(f, e + 1))
+            elif own_lines >= 2:
+                dead |= set(range(begin, end + 1))
+        dead -= stay
+        dead = {i for i in dead if i - 1 in dead or i + 1 in dead}
+        out[docs[d][0]] = "\n".join(x for i, x in enumerate(own) if i not in dead)
     return out
 
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute, data
@@ -96,6 +97,75 @@ def test_recall_of_reparameterised_questions(spark):
     assert not {d for d, i in hits if d < 60 and items[i].split()[0] != items[d].split()[0] and not set(good[d].split()) & set(items[i].split())}
 
 
+FIRST = "Nadia Oskar Piet Quinn Rosa Sven Theo Uma Viola Wanda Xaver Yusuf Zora Bruno Carla Dario".split()
+LAST = "Almond Birch Cedar Dogwood Elder Fir Ginkgo Hazel Ivy Juniper".split()
+
+
+def renamed(rnd, question, names, numbers, spell):
+    """A question with names of one to three words and other numbers, one to one; numbers below a hundred in words at times."""
+    new, used = {}, set()
+    for n in names:
+        while (x := " ".join([rnd.choice(FIRST), *rnd.sample(LAST, rnd.randint(0, 2))])) in used:
+            pass
+        new[n] = x
+        used.add(x)
+    for n in numbers:
+        while (x := rnd.choice(C.CARDINALS[2:20]) if spell else str(rnd.randint(2, 999))) in used:
+            pass
+        new[n] = x
+        used.add(x)
+    return re.sub(r"\b(" + "|".join(map(re.escape, new)) + r")\b", lambda m: new[m[0]], question)
+
+
+def questions(rnd, n):
+    nouns, verbs = "apples coins books stamps marbles tickets".split(), "buys sells finds loses counts borrows".split()
+    for _ in range(n):
+        a, b = rnd.sample(("Tom", "Anna", "Eva", "Max"), 2)
+        x, y = rnd.sample(range(2, 99), 2)
+        thing, verb = rnd.choice(nouns), rnd.choice(verbs)
+        q = rnd.choice((
+            f"{a} {verb} {x} {thing} on market day and {b} {verb} {y} more. How many {thing} does {a} have when {b} returns {x} of them?",
+            f"On a trip {a} {verb} {x} {thing} for {y} dollars. Then {b} asks {a} to share. {a} keeps {y} and gives the rest to {b}.",
+            f"{a} and {b} share {x} {thing}. {a} {verb} {y} while {b} takes none. What part of the {x} {thing} is left?",
+        ))
+        yield q, [a, b], [str(x), str(y)]
+
+
+@pytest.mark.parametrize("kind", ["names", "numbers", "lower", "upper"])
+def test_recall_of_copies_with_long_names_number_words_and_other_case(spark, kind):
+    rnd = random.Random(21)
+    items, docs = [], []
+    for q, names, numbers in questions(rnd, 60):
+        items.append(q)
+        copy = renamed(rnd, q, names, numbers, spell=kind == "numbers")
+        copy = copy.lower() if kind == "lower" else copy.upper() if kind == "upper" else copy
+        docs.append(f"{data.prose(rnd, 30)}. {copy} {data.prose(rnd, 30)}.")
+    rows = C.contaminated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), BENCH)).collect()
+    recall = sum((i, i) in {(r["doc_id"], r["item_id"]) for r in rows} for i in range(60)) / 60
+    print(kind, recall)
+    assert recall >= 0.9
+
+
+def test_names_of_any_length_are_one_slot(spark):
+    item = "Then Tom gives Anna 5 apples and Anna thanks Tom"
+    texts = [
+        "Then Eva Stone gives Ida Marie 7 apples and Ida Marie thanks Eva Stone",
+        "Then Eva gives Ida seven apples and Ida thanks Eva",
+        "then eva gives ida 7 apples and ida thanks eva",
+        "THEN EVA GIVES IDA SEVEN APPLES AND IDA THANKS EVA",
+        "Then Eva Stone gives Ida Marie 7 apples and Eva Stone thanks Ida Marie",
+        "Then Eva gives Ida 7 apples and Ida eats them all at home",
+        "then somebody gave apples to her friends and nobody thanks tom",
+    ]
+    assert found(spark, texts, [item]) == {0, 1, 2, 3}
+
+
+def test_clean_prose_in_lower_case_stays(spark):
+    rnd = random.Random(5)
+    items = [q for q, _, _ in questions(rnd, 40)]
+    assert found(spark, [data.prose(rnd, 400) for _ in range(20)] + ["she has apples and he has books and when they meet they share them all with others " * 5], items) == set()
+
+
 def test_short_items_and_nothing(spark):
     assert found(spark, ["the capital of france is paris", "what is paris"], ["capital of france", "is", None, ""]) == {0}
     d, b = data.docs(spark), spark.createDataFrame([], BENCH)
@@ -147,18 +217,55 @@ def test_line_dedup(spark):
     assert N.line_dedup(data.nothing(spark)).count() == 0
 
 
-def test_short_passages_of_lines_are_found_wherever_they_begin(spark):
-    rows = []
-    for n in (2, 3, 4, 6):
-        for k in range(4):
+def cleaned(spark, texts):
+    rows = N.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [r["clean_text"] for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def test_line_dedup_of_odd_lines_against_brute_force(spark):
+    """Few different lines in many orders: chunks and runs that overlap, in one text and across texts."""
+    rnd = random.Random(11)
+    for kinds, longest in ((3, 6), (6, 12), (25, 40)):
+        texts = ["\n".join(rnd.choice(("", " ", *(f"line {k}" for k in range(kinds)))) for _ in range(rnd.randint(0, longest))) for _ in range(60)]
+        texts += [texts[-1], texts[-2] + "\n" + texts[-3], "\n\n\n\n", "a\n\n\nb", "c\n\n\nd"]
+        want = brute.lines_left(list(enumerate(texts)))
+        assert cleaned(spark, texts) == [want[i] for i in range(len(texts))]
+
+
+def test_what_stands_nowhere_else_stays(spark):
+    assert cleaned(spark, ["a\na\na", "p\nq", "q\nr", "p\nq\nr", "one\n\n\ntwo", "three\n\n\nfour"]) == ["a\na\na", "p\nq", "q\nr", "p\nq\nr", "one\n\n\ntwo", "three\n\n\nfour"]
+
+
+def test_recall_by_length_of_passage(spark):
+    """Passages of some lines in three texts each, with other lines around: the share of lines that go from the copies."""
+    rows, each = [], 100
+    sizes = (2, 3, 4, 6, 10)
+    for n in sizes:
+        for k in range(each):
             passage = [f"passage {n} {k} line {i}" for i in range(n)]
-            rows += [(len(rows) + c, "\n".join([f"own {n} {k} {c} {i}" for i in range(c)] + passage + [f"end {n} {k} {c}"])) for c in range(3)]
-    got = {r["doc_id"]: r for r in N.line_dedup(spark.createDataFrame([*rows, (999, "x\nx\nx")], "doc_id long, text string")).collect()}
-    for i, (doc, text) in enumerate(rows):
-        want = text.split("\n") if i % 3 == 0 else [x for x in text.split("\n") if not x.startswith("passage")]
-        assert got[doc]["clean_text"].split("\n") == want
-        assert got[doc]["removed_chunks"] == (i % 3 > 0) and got[doc]["removed_lines"] == got[doc]["n_lines"] - len(want)
-    assert got[999]["clean_text"] == "x"
+            rows += ["\n".join([f"own {n} {k} {c} {i}" for i in range(c + 1)] + passage + [f"end {n} {k} {c} {i}" for i in range(3 - c)]) for c in range(3)]
+    left = cleaned(spark, rows)
+    recall = {}
+    for x, n in enumerate(sizes):
+        gone = 0
+        for i in range(3 * each * x, 3 * each * (x + 1)):
+            was, now = rows[i].split("\n"), left[i].split("\n")
+            if i % 3 == 0:
+                assert was == now
+            assert [y for y in was if not y.startswith("passage")] == [y for y in now if not y.startswith("passage")]
+            gone += len(was) - len(now)
+        recall[n] = gone / (2 * each * n)
+    print(recall)
+    assert recall[2] >= 0.5 and recall[3] >= 0.85 and recall[4] >= 0.93 and min(recall[6], recall[10]) >= 0.97
+
+
+def test_runs_whose_bytes_differ_stay(spark, monkeypatch):
+    """With line hashes that tell no lines of one length apart."""
+    texts = ["aa\nbb", "ax\nbx", "aa\nbb"]
+    assert cleaned(spark, texts) == ["aa\nbb", "ax\nbx", ""]
+    real = F.xxhash64
+    monkeypatch.setattr(N.F, "xxhash64", lambda *c: real(F.length(c[0])) if len(c) == 1 and "slice" not in str(c[0]) else real(*c))
+    assert cleaned(spark, texts) == texts
 
 
 SPEECH = {"en": "the house and the garden with those old windows", "de": "das Haus und der Garten mit alten Fenstern", "fr": "la maison et le jardin avec des vieilles fenêtres"}

@@ -152,19 +152,49 @@ FROM d
 
 OP6_SQL = r"""
 WITH l AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-p AS (SELECT doc_id, i, ls[i] AS a, ls[i + 1] AS b FROM (SELECT doc_id, ls, unnest(range(1, len(ls))) AS i FROM l)),
-r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, i) AS k FROM p),
-g AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest([i, i + 1]) AS j FROM r WHERE k > 1)),
-d AS (
-  SELECT doc_id, list(j) AS dead, count(*) AS removed, count(*) FILTER (before IS NULL OR before < j - 1) AS blocks
-  FROM (SELECT *, lag(j) OVER (PARTITION BY doc_id ORDER BY j) AS before FROM g) GROUP BY doc_id),
+x AS (SELECT doc_id, i, len(ls) AS n, ('0x' || substr(md5(ls[i]), 1, 8))::BIGINT AS roll FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l)),
+m AS (SELECT doc_id, i, n, roll, lead(roll) OVER (PARTITION BY doc_id ORDER BY i) AS ahead FROM x),
+u AS (SELECT doc_id, i FROM m WHERE n > 1 AND (i = 1 OR i = n OR (roll * 1000003 + ahead) % 4294967291 % 8 <> 0)),
 c AS (
+  SELECT doc_id, i AS a, lead(i) OVER w AS z, coalesce(lag(i) OVER w, i) AS before, coalesce(lead(i, 2) OVER w, lead(i) OVER w) AS after
+  FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+t AS (SELECT c.*, array_to_string(ls[a:z], chr(10)) AS body FROM c JOIN l USING (doc_id) WHERE z IS NOT NULL),
+k AS (
+  SELECT *, first_value(doc_id) OVER w AS kd, first_value(a) OVER w AS ka, first_value(before) OVER w AS kb, first_value(after) OVER w AS kz, count(*) OVER (PARTITION BY body) AS places
+  FROM t WHERE regexp_matches(body, '[^\x20\x09-\x0D]') WINDOW w AS (PARTITION BY body ORDER BY doc_id, a)),
+f AS (
+  SELECT k.doc_id, a, z, kd, ka - a AS shift, kd = k.doc_id AND ka = a AS kept,
+         [l.ls[a - j] = o.ls[ka - j] FOR j IN range(1, least(a - before, ka - kb) + 1)] AS up,
+         [l.ls[z + j] = o.ls[ka + z - a + j] FOR j IN range(1, least(after - z, kz - (ka + z - a)) + 1)] AS down
+  FROM k JOIN l ON l.doc_id = k.doc_id JOIN l o ON o.doc_id = kd WHERE places > 1),
+g AS (
+  SELECT *, lag(z) OVER w = a AS beside, lead(a) OVER w = z AS beside_next,
+         CASE WHEN lag(z) OVER w = a AND lag(kd) OVER w = kd AND lag(shift) OVER w = shift THEN 0 ELSE 1 END AS opens
+  FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+h AS (
+  SELECT doc_id, a, z, kept, sum(opens) OVER (PARTITION BY doc_id ORDER BY a) AS run,
+         CASE WHEN kept OR coalesce(beside, false) THEN 0 WHEN list_contains(up, false) THEN list_position(up, false) - 1 ELSE len(up) END AS up,
+         CASE WHEN kept OR coalesce(beside_next, false) THEN 0 WHEN list_contains(down, false) THEN list_position(down, false) - 1 ELSE len(down) END AS down
+  FROM g),
+r AS (SELECT doc_id, min(a) AS a, max(z) AS z, min(a) - sum(up) AS p, max(z) + sum(down) AS q, any_value(kept) AS kept FROM h GROUP BY doc_id, run),
+s AS (
+  SELECT *, q - p + 1 AS size, lag(q) OVER w AS before_q, lag(q - p + 1) OVER w AS before_size, lead(p) OVER w AS next_p, lead(q - p + 1) OVER w AS next_size
+  FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY p, q)),
+v AS (
+  SELECT *, size - CASE WHEN before_size >= size THEN greatest(before_q - p + 1, 0) ELSE 0 END - CASE WHEN next_size > size THEN greatest(q - next_p + 1, 0) ELSE 0 END AS own
+  FROM s),
+y AS (
+  SELECT doc_id, unnest(range(CAST(p AS BIGINT), CAST(q AS BIGINT) + 1)) AS j FROM v WHERE NOT kept AND own >= 2
+  EXCEPT SELECT doc_id, unnest(range(CAST(a AS BIGINT), CAST(z AS BIGINT) + 1)) FROM v WHERE kept OR own = 1),
+e AS (SELECT *, lag(j) OVER w = j - 1 AS follows, lead(j) OVER w = j + 1 AS leads FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY j)),
+d AS (SELECT doc_id, list(j) AS dead, count(*) AS removed, count(*) FILTER (NOT coalesce(follows, false)) AS blocks FROM e WHERE coalesce(follows, false) OR coalesce(leads, false) GROUP BY doc_id),
+o AS (
   SELECT doc_id, len(ls) AS n_lines, coalesce(blocks, 0) AS blocks, coalesce(removed, 0) AS removed,
          CASE WHEN removed IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda x, k: NOT list_contains(dead, k)), chr(10)) END AS clean
   FROM l LEFT JOIN d USING (doc_id))
 SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(blocks AS BIGINT) AS removed_chunks, CAST(removed AS BIGINT) AS removed_lines,
        CAST(octet_length(encode(clean)) AS BIGINT) AS clean_bytes, md5(clean) AS clean_md5
-FROM c
+FROM o
 """
 
 
