@@ -47,7 +47,6 @@ def chunks(rows: DataFrame) -> DataFrame:
         {
             "hashes": F.transform("all", lambda x: F.xxhash64(x)),
             "rolls": F.transform("all", lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long")),
-            "solid": F.transform("all", lambda x: x.rlike(SOLID)),
         }
     )
     rows = rows.withColumn("cuts", cuts("rolls"))
@@ -57,10 +56,10 @@ def chunks(rows: DataFrame) -> DataFrame:
         before = F.when(k > 0, F.reverse(F.slice("hashes", F.greatest(start, F.lit(1)), first - start))).otherwise(none)
         after = F.when(end.isNotNull(), F.slice("hashes", last + 1, end - last)).otherwise(none)
         size = last - first + 1
-        return F.struct(first.alias("first"), last.alias("last"), F.xxhash64(F.slice("hashes", first, size)).alias("hash"), F.exists(F.slice("solid", first, size), lambda x: x).alias("solid"), before.alias("before"), after.alias("after"))
+        return F.struct(first.alias("first"), last.alias("last"), F.xxhash64(F.slice("hashes", first, size)).alias("hash"), F.exists(F.slice("all", first, size), lambda x: x.rlike(SOLID)).alias("solid"), before.alias("before"), after.alias("after"))
 
     inner = F.transform(F.slice("cuts", 1, F.greatest(F.size("cuts") - 1, F.lit(0))), chunk)
-    return rows.withColumn("chunks", F.filter(inner, lambda c: c["solid"])).drop("all", "hashes", "rolls", "solid", "cuts")
+    return rows.withColumn("chunks", F.filter(inner, lambda c: c["solid"])).drop("all", "hashes", "rolls", "cuts")
 
 
 def alike(a: str, b: str) -> Column:
@@ -117,7 +116,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    cut = chunks(rows).select("doc_id", "key", F.explode("chunks").alias("chunk")).select("doc_id", "key", "chunk.first", "chunk.last", "chunk.hash", "chunk.before", "chunk.after")
+    # outer, lest the optimizer tests each array before it is exploded by working all of it out once more
+    cut = chunks(rows).select("doc_id", "key", F.explode_outer("chunks").alias("chunk")).where("chunk is not null").select("doc_id", "key", "chunk.first", "chunk.last", "chunk.hash", "chunk.before", "chunk.after")
     cut = written(cut, "chunks")
     place = F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "key", "first")
     often = cut.groupBy("hash").agg(F.min(F.struct(place.alias("place"), F.col("before"), F.col("after"))).alias("keeper"), F.max(place).alias("other"))
