@@ -2,6 +2,7 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,21 @@ def test_trimmed_takes_white_space_of_any_kind(spark):
     assert one(spark, T.trimmed(F.lit("\ufeff\u00a0\u2003 a b\u3000\n"))) == "a b"
 
 
+@pytest.mark.parametrize("block", [1, 40, 1 << 20])
+def test_words_of_a_batch_are_hashed_like_one_by_one(spark, monkeypatch, block):
+    monkeypatch.setattr(V, "BLOCK_BYTES", block)
+    rnd = random.Random(block)
+    bits = ["abc", "Don't", "a", " ", "  ", "\t", "\u212aelvin", "\u0130stanbul", "éa", "zz9", "-", "\u00a0", "\n", "x" * 70, "日本", "\x1c"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 12))) for _ in range(80)] + [None, "", "ab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    words = {r["id"]: r["w"] or [] for r in df.select("id", T.tokens_plain("text").alias("w")).collect()}
+    got = {i: [] for i in words}
+    for first, _, row, bucket in V.word_buckets(pa.array(texts, pa.string())):
+        for i, b in zip(row.tolist(), bucket.tolist(), strict=True):
+            got[first + i].append(b)
+    assert got == {i: [V.hash_project(w) for w in ws] for i, ws in words.items()}
+
+
 def test_hashed_cosine_equals_the_long_form(spark):
     rnd = random.Random(8)
     words = [f"w{i}x" for i in range(300)]
@@ -96,7 +112,7 @@ def test_hashed_cosine_equals_the_long_form(spark):
     long = {}
     for r in V.hashed_embedding(docs, "id", "text").collect():
         long[r["id"]] = long.get(r["id"], 0.0) + r["weight"] * q.get(r["bucket"], 0.0)
-    for r in docs.select("id", V.hashed_cosine(T.tokens_plain("text"), q).alias("c")).collect():
+    for r in docs.select("id", V.hashed_cosine("text", q).alias("c")).collect():
         assert r["c"] == pytest.approx(long.get(r["id"], 0.0))
 
 

@@ -158,7 +158,7 @@ def test_contained_titles(spark):
     assert knowledge.contained_titles(cat, feed).first()["item_ord"] == 1
 
 
-def test_titles_against_brute_force(spark):
+def test_titles_against_brute_force(spark, monkeypatch):
     """Both ways of matching, over titles with common words, contained words, ties and none alike."""
     rnd = random.Random(11)
     words = ["market", "markets", "tariff", "tariffs", "debate", "energy", "season", "report", "about", "great", "union", "trade"]
@@ -177,7 +177,9 @@ def test_titles_against_brute_force(spark):
             hits = sum(w in t.lower() for w in long)
             if hits >= 3 and hits / len(long) > 0.4:
                 held.setdefault(v, i)
-    assert {r["video_id"]: (r["item_ord"], round(r["score"], 9)) for r in knowledge.best_title_matches(c, f).collect()} == want and want
+    for _ in range(2):
+        assert {r["video_id"]: (r["item_ord"], round(r["score"], 9)) for r in knowledge.best_title_matches(c, f).collect()} == want and want
+        monkeypatch.setattr(knowledge, "FEED_TOKENS", 0)  # by a join
     assert {r["video_id"]: r["item_ord"] for r in knowledge.contained_titles(c, f).collect()} == held and held
 
 

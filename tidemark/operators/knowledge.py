@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.text import cut, strings, tokens_idf, tokens_title
+from tidemark.functions.text import cut, tokens_idf, tokens_title
 from tidemark.operators.joins import once, with_lookup
 
-#: Tokens that put themselves last when titles are matched, and characters by which contained words are looked for.
-HOT_TOKENS, GRAM = 256, 5
+#: Tokens and bytes of a feed's titles that may go to all tasks, and characters by which contained words are looked for.
+FEED_TOKENS, FEED_BYTES, GRAM = 1_000_000, 16 << 20, 5
 
 
 def entries(chunks: DataFrame) -> DataFrame:
@@ -69,35 +73,61 @@ def profiles(docs: DataFrame, speakers: list[str], quotes: int = 50) -> DataFram
     return speaker_stats(docs, speakers).join(counts, "speaker", "left").join(top, "speaker", "left").join(said, "speaker", "left")
 
 
-def prefixes(titles: DataFrame, key: str, hot: list[str], least: float) -> DataFrame:
-    """(key, token) of as many of a title's tokens as must hold one that a similar title shares, the hottest last."""
-    n = F.size("tokens")
-    usual = F.array_sort(F.array_except("tokens", strings(hot)))
-    order = F.concat(usual, F.array_intersect(strings(hot[::-1]), F.col("tokens")))  # a shared order for both sides
-    return titles.select(key, n.alias(f"n_{key}"), F.explode(F.slice(order, 1, n - F.ceil(least * n - 1e-9).cast("int") + 1)).alias("token"))
+def title_tokens(titles: DataFrame, *kept: str) -> DataFrame:
+    return titles.select(*kept, tokens_title("title").alias("tokens")).where(F.size("tokens") > 0)
+
+
+def matched_in_tasks(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """The best of b (item_ord, tokens) for each of a (video_id, tokens). The lists of the items that hold each token go to
+    all tasks, which count a title's lists."""
+    items = b.select("item_ord", "tokens").orderBy("item_ord").toArrow()
+    ords, tokens = items.column("item_ord").combine_chunks(), items.column("tokens").combine_chunks()
+    sizes = np.diff(tokens.offsets.to_numpy())
+    coded = tokens.flatten().dictionary_encode()
+    order = np.argsort(coded.indices.to_numpy(), kind="stable")
+    lists = np.split(np.repeat(np.arange(len(sizes)), sizes)[order], np.flatnonzero(np.diff(coded.indices.to_numpy()[order])) + 1)
+    index = a.sparkSession.sparkContext.broadcast((dict(zip(coded.dictionary.to_pylist(), lists, strict=True)), sizes))
+    schema = a.select("video_id").schema.add(b.schema["item_ord"]).add("score", "double")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sizes = index.value
+        for batch in batches:
+            at, item, score = [], [], []
+            for i, own in enumerate(batch.column(1).to_pylist()):
+                found = [x for t in own if (x := held.get(t)) is not None]
+                if found:
+                    shared = np.bincount(np.concatenate(found), minlength=len(sizes))
+                    near = shared / (len(own) + sizes - shared)
+                    j = int(near.argmax())  # the first of equals
+                    if near[j] >= least:
+                        at.append(i)
+                        item.append(j)
+                        score.append(float(near[j]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), ords.take(pa.array(item, pa.int64())), pa.array(score, pa.float64())], names=["video_id", "item_ord", "score"])
+
+    return a.select("video_id", "tokens").mapInArrow(best, schema)
+
+
+def matched_by_join(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """The same through one join of tokens: how often a pair meets is what it shares."""
+    left = a.select("video_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    right = b.select("item_ord", F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
+    sizes = (F.col("n") >= least * F.col("m") - 1e-9) & (F.col("m") >= least * F.col("n") - 1e-9)
+    shared = left.join(right, "token").where(sizes).groupBy("video_id", "item_ord", "n", "m").agg(F.count("*").alias("shared"))
+    scored = shared.select("video_id", "item_ord", (F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("score")).where(F.col("score") >= least)
+    best = scored.groupBy("video_id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "item_ord")).alias("b"))
+    return best.select("video_id", F.col("b.item_ord").alias("item_ord"), (-F.col("b.minus")).alias("score"))
 
 
 def best_title_matches(catalogue: DataFrame, feed: DataFrame, least: float = 0.2) -> DataFrame:
     """catalogue (video_id, title) by feed (item_ord, title, date): the most similar feed title, the first of equals.
 
-    Titles of similarity `least` share a token among all but that share of each one's tokens; the HOT_TOKENS commonest
-    stand last in that order, so that they hardly ever bring titles together. Pairs whose sizes differ too much are none.
-    What is left is compared by whole token sets.
+    A feed whose tokens were counted to be at most FEED_TOKENS, of FEED_BYTES, goes to all tasks; a larger one is joined.
     """
-    a = catalogue.select("video_id", tokens_title("title").alias("tokens")).where(F.size("tokens") > 0)
-    b = feed.select("item_ord", "date", tokens_title("title").alias("tokens")).where(F.size("tokens") > 0)
-    counts = a.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    hot = [r["token"] for r in counts.orderBy(F.desc("count"), "token").limit(HOT_TOKENS).collect()]
-    left, right = prefixes(a, "video_id", hot, least), prefixes(b, "item_ord", hot, least)
-    sizes = (F.col("n_video_id") >= least * F.col("n_item_ord") - 1e-9) & (F.col("n_item_ord") >= least * F.col("n_video_id") - 1e-9)
-    pairs = left.join(right, "token").where(sizes).select("video_id", "item_ord").distinct()
-    both = with_lookup(pairs.join(a, "video_id"), b.select("item_ord", F.col("tokens").alias("others")), "item_ord", "inner")
-    shared = once(both, shared=F.size(F.array_intersect("tokens", "others")))
-    union = F.size("tokens") + F.size("others") - F.col("shared")
-    scored = shared.select("video_id", "item_ord", (F.col("shared") / union).alias("score")).where(F.col("score") >= least)
-    best = scored.groupBy("video_id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "item_ord")).alias("b"))
-    best = best.select("video_id", F.col("b.item_ord").alias("item_ord"), (-F.col("b.minus")).alias("score"))
-    return with_lookup(best, b.select("item_ord", "date"), "item_ord")
+    a, b = title_tokens(catalogue, "video_id"), title_tokens(feed, "item_ord", "date")
+    size = b.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.aggregate("tokens", F.lit(0), lambda n, t: n + F.octet_length(t))), F.lit(0)).alias("bytes")).first()
+    way = matched_in_tasks if size["tokens"] <= FEED_TOKENS and size["bytes"] <= FEED_BYTES else matched_by_join
+    return with_lookup(way(a, b, least), b.select("item_ord", "date"), "item_ord")
 
 
 def contained_titles(catalogue: DataFrame, feed: DataFrame) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.text import collapsed, confidence, cut, keyword_terms, long_terms, prefix_count, query_terms, recency_weight, relevance, strings, tokens_plain, whole_words
-from tidemark.functions.vectors import cosine_distance, hashed_cosine, hashed_query, similarity
+from tidemark.functions.text import collapsed, confidence, cut, keyword_terms, long_terms, prefix_count, query_terms, recency_weight, relevance, strings, whole_words
+from tidemark.functions.vectors import hashed_cosine, hashed_query, nearest, similarity
 from tidemark.operators.joins import once, with_lookup
 
 UNKNOWN_IDF, PRIMARY_IDF = 5.5, 2.5
@@ -36,9 +36,13 @@ def top(hits: DataFrame, k: int) -> DataFrame:
 
 
 def cosine_search(vectors: DataFrame, query: list[float], k: int = 30, dates: DataFrame | None = None, as_of: Column | None = None, speaker: str | None = None) -> DataFrame:
-    """Exact cosine over (id, ord, vec, ...): filter, score, recency, top-k."""
-    scored = of_speaker(vectors, speaker).withColumn("raw_distance", cosine_distance("vec", query)).where("raw_distance is not null")
-    return top(with_recency(scored.drop("vec"), dates, as_of), k)
+    """Exact cosine over (id, ord, vec, ...): filter, score, recency, top-k. A task gives what may be among the k nearest."""
+    rows = of_speaker(vectors, speaker)
+    if dates is None or as_of is None:
+        rows = rows.withColumn("weight", F.lit(1.0))
+    else:
+        rows = with_lookup(rows, dates.select("video_id", "date"), "video_id").withColumn("weight", recency_weight("date", as_of)).drop("date")
+    return top(nearest(rows, query, k), k)
 
 
 def by_label(hits: DataFrame, order: DataFrame) -> DataFrame:
@@ -110,7 +114,7 @@ def hashed_search(entries: DataFrame, query: str, k: int = 20, topic: str | None
     q = hashed_query(keyword_words(query))
     if not q:
         return rows.limit(0).withColumn("distance", F.lit(0.0)).withColumn("score", F.lit(0.0))
-    found = once(rows, cosine=hashed_cosine(tokens_plain("content"), q)).where("cosine > 0")
+    found = rows.withColumn("cosine", hashed_cosine("content", q)).where("cosine > 0")
     found = found.withColumn("distance", 1 - F.col("cosine")).drop("cosine")
     return found.withColumn("score", similarity("distance")).orderBy("distance", "ord").limit(k)
 

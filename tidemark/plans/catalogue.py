@@ -5,12 +5,15 @@ Searches, lists and reports end in top-k limits, which are what they are for; ev
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions import vectors as V
-from tidemark.operators import cache, chapters, chunking, citations, knowledge, quality, retrieval
+from tidemark.operators import cache, chapters, chunking, citations, knowledge, postings, quality, retrieval
 from tidemark.plans import adapters as A
 from tidemark.plans.registry import query
 from tidemark.sources import readers
@@ -81,6 +84,37 @@ def tfidf_search_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("id", F.round("distance", 6).alias("distance"))
 
 
+#: The items whose texts the indexes are asked for.
+ASKED = "item_id % 50 = 0"
+
+
+def asked(spark: SparkSession, sf_dir: str) -> list[tuple[int, str]]:
+    return [tuple(r) for r in A.table(spark, sf_dir, "benchmark").where(ASKED).select("item_id", "text").orderBy("item_id").collect()]
+
+
+def of_items(spark: SparkSession, sf_dir: str, search: Callable[[str], DataFrame]) -> DataFrame:
+    """The hits of each item that is asked for, as one table."""
+    hits = [search(text).withColumn("item_id", F.lit(item).cast("long")) for item, text in asked(spark, sf_dir)]
+    return reduce(DataFrame.unionByName, hits)
+
+
+@query(
+    f"""WITH {ENTRIES}, {DATES}, {IDF},
+q AS (SELECT item_id, t, coalesce(idf, 5.5) AS w FROM (SELECT DISTINCT item_id, t FROM (SELECT item_id, {TOKENS.format("text")} AS t FROM benchmark WHERE {ASKED}) WHERE length(t) >= 3 AND t NOT IN {STOP}) x LEFT JOIN idf ON term = t),
+p AS (SELECT item_id, count(*) FILTER (w > 2.5) AS n, coalesce(nullif(sum(3 * w), 0), 1) AS most FROM q GROUP BY item_id),
+cnt AS (SELECT id, t, count(*) AS c FROM (SELECT id, {TOKENS.format("content")} AS t FROM e) WHERE t IN (SELECT t FROM q) GROUP BY 1, 2),
+sc AS (SELECT item_id, id, sum((1 + ln(c)) * w) * CASE WHEN any_value(p.n) > 1 THEN 1 + 0.5 * count(*) FILTER (w > 2.5) / any_value(p.n) ELSE 1 END AS score, any_value(p.n) AS n, any_value(most) AS most FROM cnt JOIN q USING (t) JOIN p USING (item_id) GROUP BY item_id, id),
+g AS (SELECT item_id, e.*, score, 1 - least(1, score / (most * 0.5)) AS raw FROM sc JOIN e USING (id) WHERE score > 0 AND (n = 0 OR EXISTS (SELECT 1 FROM q WHERE q.item_id = sc.item_id AND w > 2.5 AND contains(lower(e.content), q.t)))),
+tf AS (SELECT item_id, id, raw / ({WEIGHT}) AS distance, row_number() OVER (PARTITION BY item_id ORDER BY raw / ({WEIGHT}), ord) AS r FROM g LEFT JOIN dates USING (video_id))
+SELECT item_id, id, round(distance, 6) AS distance FROM tf WHERE r <= 30"""
+)
+def tfidf_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TF-IDF search of every fiftieth item from postings."""
+    index = postings.build(A.entries(spark, sf_dir), A.files(spark, "postings"))
+    dates = A.dates(spark, sf_dir)
+    return of_items(spark, sf_dir, lambda q: postings.tfidf_search(index, q, dates=dates, as_of=A.as_of()).hits.select("id", F.round("distance", 6).alias("distance")))
+
+
 COSINE = "cs AS (SELECT vec_id AS id, label, 1 - list_inner_product(embedding::DOUBLE[], q) / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_inner_product(q, q)) AS d FROM embeddings, (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0))"
 RECENT = f"rc AS (SELECT id, label, d / ({WEIGHT}) AS distance FROM cs LEFT JOIN dates ON video_id = 'src' || label)"
 
@@ -257,6 +291,30 @@ def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.substring_search(A.entries(spark, sf_dir), A.query_text(spark, sf_dir)).select("id", F.col("score").cast("long").alias("score"))
 
 
+@query(
+    f"""WITH {ENTRIES}, kw AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '\\s+'), lambda t: length(t) > 2 AND t NOT IN {KSTOP})) AS t FROM benchmark WHERE {ASKED}),
+ks AS (SELECT item_id, id, any_value(ord) AS ord, sum(len(regexp_extract_all(lower(content), '\\b' || t))) AS score FROM e, kw GROUP BY item_id, id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, ord) AS r FROM ks WHERE score > 0)
+SELECT item_id, id, CAST(score AS DOUBLE) AS score FROM r WHERE r <= 20"""
+)
+def keyword_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword search of every fiftieth item: beginnings are ranges of the term dictionary."""
+    index = postings.build(A.entries(spark, sf_dir), A.files(spark, "words"), postings.underscored)
+    return of_items(spark, sf_dir, lambda q: postings.keyword_search(index, q).select("id", "score"))
+
+
+@query(
+    f"""WITH {ENTRIES}, w AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: length(t) > 3)) AS t FROM benchmark WHERE {ASKED}),
+s AS (SELECT item_id, id, any_value(ord) AS ord, count(*) AS score FROM e, w WHERE contains(lower(content), t) GROUP BY item_id, id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, ord) AS r FROM s)
+SELECT item_id, id, score FROM r WHERE r <= 30"""
+)
+def substring_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Substring search of every fiftieth item: what contains a word goes through its grams."""
+    index = postings.build(A.entries(spark, sf_dir), A.files(spark, "pieces"), postings.pieces)
+    return of_items(spark, sf_dir, lambda q: postings.substring_search(index, q).select("id", F.col("score").cast("long").alias("score")))
+
+
 HASH = "abs(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(w, ''), lambda ch: ascii(ch)::BIGINT)), lambda a, x: (((a * 31 + x + 2147483648) & 4294967295) - 2147483648))) % 512"
 HASHED = f"""hw AS (SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '\\s+'), lambda t: length(t) > 2)) AS w FROM documents),
 hd AS (SELECT w, CAST({HASH} AS INTEGER) AS bucket FROM (SELECT DISTINCT w FROM hw)), hb AS (SELECT id, bucket, count(*) AS n FROM hw JOIN hd USING (w) GROUP BY 1, 2),

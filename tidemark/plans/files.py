@@ -3,7 +3,7 @@ read back. Beside them those of the build, of the answer path, and of the functi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
@@ -213,11 +213,20 @@ def lengths(texts: list[str]) -> list[list[float]]:
     return [[float(len(t)), 1.0] for t in texts]
 
 
-@query("SELECT doc_id AS id, doc_id AS ord, CAST(length(substr(text, 1, 2000)) AS DOUBLE) AS x, 'lengths' AS model FROM documents")
+def first_millionths() -> Column:
+    return F.round(1_000_000 * F.get("vec", F.lit(0)).cast("double")).cast("long")
+
+
+def sql_unit(n: str) -> str:
+    """The first number of the unit vector of (n, 1), as a float of 32 bits, in whole millionths."""
+    return f"CAST(round(1000000 * CAST({n} / sqrt({n}::DOUBLE * {n} + 1) AS FLOAT)::DOUBLE) AS BIGINT)"
+
+
+@query(f"SELECT doc_id AS id, doc_id AS ord, {sql_unit('length(substr(text, 1, 2000))')} AS x, 'lengths' AS model FROM documents")
 def vectors_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = A.files(spark, "vectors")
     sinks.vectors(A.entries(spark, sf_dir), lengths, path, "lengths", batch=7)
-    return spark.read.parquet(path).select("id", "ord", F.get("vec", F.lit(0)).cast("double").alias("x"), "model")
+    return spark.read.parquet(path).select("id", "ord", first_millionths().alias("x"), "model")
 
 
 @query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS place, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[64] AS DOUBLE) AS last FROM embeddings")
@@ -305,7 +314,7 @@ ks AS (SELECT row_number() OVER (ORDER BY date DESC, conv_id) - 1 AS r, * FROM f
     f"""WITH RECURSIVE {BUILT} SELECT 'entry' AS kind, video_id || '_long_' || chunk_index AS id, text, CAST(NULL AS DATE) AS date FROM ch
 UNION ALL SELECT 'episode', printf('ep_%04d', r), title, date FROM ks
 UNION ALL SELECT 'chapter', printf('ep_%04d_ch_00', r), 'Opening ' || conv_id, date FROM ks UNION ALL SELECT 'chapter', printf('ep_%04d_ch_01', r), 'Oil & gas', date FROM ks
-UNION ALL SELECT 'bad', 'bad', 'not readable as JSON', NULL UNION ALL SELECT 'vector', video_id || '_long_' || chunk_index, CAST(length(substr(text, 1, 2000)) AS VARCHAR), NULL FROM ch"""
+UNION ALL SELECT 'bad', 'bad', 'not readable as JSON', NULL UNION ALL SELECT 'vector', video_id || '_long_' || chunk_index, CAST({sql_unit('length(substr(text, 1, 2000))')} AS VARCHAR), NULL FROM ch"""
 )
 def built(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = build_all(spark, caption_files(spark, sf_dir), feed_file(spark, sf_dir), None, A.files(spark, "built"), A.TEST_SPEAKERS, A.TEST_TOPICS, embed=lengths, model="lengths")
@@ -313,7 +322,7 @@ def built(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = lambda kind, name, id_, text, date=none: made[name].select(F.lit(kind).alias("kind"), F.col(id_).alias("id"), text.alias("text"), date.alias("date"))
     out = row("entry", "entries", "id", F.col("content")).union(row("episode", "episodes", "id", F.col("title"), F.col("date")))
     out = out.union(row("chapter", "chapters", "id", F.col("topic"), F.col("episode_date"))).union(row("bad", "bad_captions", "video_id", F.col("reason")))
-    return out.union(row("vector", "vectors", "id", F.get("vec", F.lit(0)).cast("int").cast("string")))
+    return out.union(row("vector", "vectors", "id", first_millionths().cast("string")))
 
 
 @query(
@@ -371,10 +380,10 @@ def index_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {C.EPISODES} SELECT chs.id, CAST(length(topic) AS DOUBLE) AS x FROM chs")
+@query(f"WITH {C.EPISODES} SELECT chs.id, {sql_unit('length(topic)')} AS x FROM chs")
 def chapter_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters' topics embedded, as entries are."""
     named = C.episodes(spark, sf_dir)[1].select("id", F.col("id").alias("ord"), F.col("topic").alias("content"))
     path = A.files(spark, "chapter-vectors")
     sinks.vectors(named, lengths, path, "lengths", chars=512, batch=64)
-    return spark.read.parquet(path).select("id", F.get("vec", F.lit(0)).cast("double").alias("x"))
+    return spark.read.parquet(path).select("id", first_millionths().alias("x"))

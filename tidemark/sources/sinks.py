@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,8 +67,15 @@ def binary_file(spark: SparkSession, content: bytes, path: str) -> None:
         out.close()
 
 
+def unit_rows(vecs: list[list[float]]) -> np.ndarray:
+    m = np.asarray(vecs, float)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return (m / np.where(norm > 0, norm, 1)).astype(np.float32)
+
+
 def vectors(entries: DataFrame, embed: Callable[[list[str]], list[list[float]]], path: str, model: str, chars: int = 2000, batch: int = 100, tries: int = 3) -> None:
-    """(id, ord, vec, model): texts cut to `chars` go to the embedder in batches, tried again up to `tries` times."""
+    """(id, ord, vec, model): texts cut to `chars` go to the embedder in batches, tried again up to `tries` times. Vectors
+    are stored in unit length, zero vectors as they are."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import time
@@ -84,7 +92,7 @@ def vectors(entries: DataFrame, embed: Callable[[list[str]], list[list[float]]],
                         if k == tries - 1:
                             raise
                         time.sleep(k + 1)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([[float(x) for x in v] for v in vecs], pa.list_(pa.float32()))], names=["id", "vec"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(list(unit_rows(vecs)), pa.list_(pa.float32()))], names=["id", "vec"])
 
     kind = dict(entries.dtypes)["id"]
     made = entries.select("id", F.substring("content", 1, chars).alias("text")).mapInArrow(run, f"id {kind}, vec array<float>")
