@@ -80,9 +80,8 @@ def trigrams(text):
 def language_model(labelled):
     """[(text, lang)] of few rows, all of which are used, to logarithms by language and bucket."""
     counts = defaultdict(Counter)
-    rows = Counter(lang for text, lang in labelled if lang and text is not None)
     for text, lang in labelled:
-        if lang and text is not None and rows[lang] >= 5:
+        if lang and text is not None:
             counts[lang].update(trigrams(text))
     return {lang: (c, sum(c.values()) + 0.1 * (1 << 16)) for lang, c in counts.items()}
 

@@ -318,6 +318,12 @@ def test_rare_languages_are_known_at_every_size(spark):
     assert L.identify(ask, ["id"], model).first()["language"] == "fr"
 
 
+def test_a_language_of_one_row_is_known(spark):
+    rows = [(i, SPEECH["en"] + f" {i}", "en", None) for i in range(50)] + [(99, SPEECH["fr"], "fr", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert L.fit(docs).languages == ["en", "fr"] and L.accepted(docs).count() == 51
+
+
 def test_host_prior_decides_a_short_text(spark):
     """A word that all languages share goes with its host."""
     rows = [(i, SPEECH[lang] + " radio", lang, f"{lang}.example.org") for i, lang in enumerate(list(SPEECH) * 30)]

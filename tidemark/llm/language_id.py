@@ -21,8 +21,8 @@ from tidemark.llm.common import in_arrow, lookup, without, written
 
 #: Labelled texts that the model is fitted on, about, in equal shares by language; the only sample here.
 TRAIN_TEXTS = 2000
-#: A language needs so many labelled rows, of all there are, and its share of the texts is so many at least.
-LEAST_TEXTS, LEAST_SHARE = 5, 100
+#: A language's share of the texts is so many at least.
+LEAST_SHARE = 100
 BITS = 16
 PIECE = 1 << 20
 #: Neighbouring trigrams overlap; so much of a trigram's evidence is counted as new.
@@ -79,13 +79,13 @@ def counted(languages: list[str]):
 
 
 def fit(labelled: DataFrame, texts: int = TRAIN_TEXTS) -> Model:
-    """A model from labelled (doc_id, text, lang): every language of LEAST_TEXTS rows or more, whatever the input's size.
+    """A model from labelled (doc_id, text, lang): every language that any row has, whatever the input's size.
 
     Labels are counted over all rows. Of each language about the same number of texts is drawn, one to two times its share
     or all it has, by a hash of id and text, so that reruns agree.
     """
     rows = labelled.where("lang is not null and lang <> '' and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("draw"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().where(F.col("count") >= LEAST_TEXTS).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(counts)
     share = max(texts // max(len(languages), 1), LEAST_SHARE)
     steps = labelled.sparkSession.createDataFrame([(x, max(1, counts[x] // share)) for x in languages], "lang string, step long")
