@@ -380,6 +380,18 @@ def index_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("SELECT count(*) AS queries, 10 * count(*) AS hits, true AS nine_tenths FROM embeddings WHERE vec_id % 50 = 0")
+def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose id is divisible by 50 as a query, looking into as many cells as were measured when the index was
+    built: how many hits there are, and whether nine tenths of the 10 nearest of all rows are among them."""
+    v, path = A.vectors(spark, sf_dir), indexed(spark, sf_dir)[0]
+    queries = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("query"))
+    near = ann.search_many(v, path, queries, 10, None, 64).select("query_id", "id", F.lit(1).alias("found"))
+    exact = ann.search_many(v, path, queries, 10, 1 << 30, 64).select("query_id", "id")
+    shared = exact.join(near, ["query_id", "id"], "left")
+    return shared.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("hits"), (F.count("found") >= 0.9 * F.count("*")).alias("nine_tenths"))
+
+
 @query(f"WITH {C.EPISODES} SELECT chs.id, {sql_unit('length(topic)')} AS x FROM chs")
 def chapter_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters' topics embedded, as entries are."""
