@@ -99,6 +99,7 @@ def test_ask_with_a_table_and_facts(spark, tmp_path):
     models = Models(write=lambda q, c, f: seen.append(f) or "Done [1].")
     table, hour = TableCache(spark, str(tmp_path / "answers")), 3_600_000
     first = ask(kb, models, A.query_text(spark, SF), A.as_of(), 0, MemoryCache(), table=table)
+    assert first.total_entries == e.count() and first.latency_ms > 0
     assert not first.cache_hit and len(seen) == 1 and seen[0].startswith("• **Ann** — host")
     store = MemoryCache()
     again = ask(kb, models, A.query_text(spark, SF).upper(), A.as_of(), 71 * hour, store, table=table)

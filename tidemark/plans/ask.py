@@ -6,7 +6,7 @@ A search is run once; from then on its hits, 31 at most, are a table in memory.
 from __future__ import annotations
 
 import json
-
+import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import cache_key
-from tidemark.operators import citations, retrieval
+from tidemark.operators import ann, citations, retrieval
 from tidemark.operators.cache import MemoryCache, TableCache
 
 NOTHING = "No relevant segments were found for this query."
@@ -28,6 +28,8 @@ class Knowledge:
     idf: DataFrame
     dates: DataFrame
     vectors: DataFrame | None = None
+    #: The folder of an index of vectors (operators.ann), asked where the exact search has no hit or no vectors.
+    index: str | None = None
     #: (ord, name, role, political_alignment, current_positions, style): what overrides anything that is retrieved.
     facts: DataFrame | None = None
 
@@ -54,6 +56,9 @@ class Answer:
     cache_source: str = ""
     #: Segments that the answer was made from, after reranking.
     segments_found: int = 0
+    #: Entries that were there to be searched, and how long the answer took to make or to find.
+    total_entries: int = 0
+    latency_ms: int = 0
 
     def payload(self) -> str:
         return json.dumps(asdict(self), default=str)
@@ -75,6 +80,8 @@ def retrieved(kb: Knowledge, models: Models, query: str, as_of: Column, speaker:
         tiers = []
         if kb.vectors is not None and models.embed is not None:
             tiers.append(("exact", lambda: retrieval.cosine_search(kb.vectors, models.embed(query), k, kb.dates, as_of, who)))
+        if kb.index is not None and models.embed is not None:
+            tiers.append(("ann", lambda: ann.search(kb.entries.sparkSession, kb.index, models.embed(query), k, None, kb.dates, as_of, who)))
         tiers.append(("tfidf", lambda: retrieval.tfidf_search(kb.entries, kb.idf, query, k, kb.dates, as_of, who)))
         return retrieval.first_tier(tiers)
 
@@ -109,11 +116,13 @@ def ask(kb: Knowledge, models: Models, query: str, as_of: Column, now_ms: int, c
     """
     if not query or not query.strip():
         raise ValueError("a query is needed")
+    began = time.monotonic()
+    took = lambda: int(1000 * (time.monotonic() - began))
     key = key_of(kb.entries, query, version, speaker, mode)
     if cache is not None and (found := cache.get(key, now_ms)) is not None:
-        return replace(found, cache_hit=True, cache_source="memory")
+        return replace(found, cache_hit=True, cache_source="memory", latency_ms=took())
     if table is not None and (payload := table.get(key, now_ms)) is not None:
-        answer = Answer.of(payload, "table")
+        answer = replace(Answer.of(payload, "table"), latency_ms=took())
         if cache is not None:
             cache.put(key, replace(answer, cache_hit=False, cache_source=""), now_ms)
         return answer
@@ -129,12 +138,13 @@ def ask(kb: Knowledge, models: Models, query: str, as_of: Column, now_ms: int, c
     cites = retrieval.in_memory(retrieval.citations(hits, kb.dates))
     rows = [r.asDict(recursive=True) for r in cites.orderBy("n").collect()]
     if not rows:
-        return Answer(NOTHING, search_mode=label)
+        return Answer(NOTHING, search_mode=label, total_entries=kb.entries.count(), latency_ms=took())
     facts = (retrieval.facts_text(kb.facts).first()["facts"] or "") if kb.facts is not None else ""
     report = models.write(query, retrieval.context(cites, hits).first()["context"], facts) if models.write else ""
-    answer = Answer(report, rows, label, segments_found=len(rows))
+    answer = Answer(report, rows, label, segments_found=len(rows), total_entries=kb.entries.count())
     if models.judge is not None and report:
         answer = validated(answer, cites, models.judge)
+    answer = replace(answer, latency_ms=took())
     if cache is not None:
         cache.put(key, answer, now_ms)
     if table is not None:

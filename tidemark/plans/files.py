@@ -10,7 +10,7 @@ from tidemark.functions import text as T
 from tidemark.operators import ann, cache, chapters, chunking, knowledge, quality, retrieval
 from tidemark.plans import adapters as A
 from tidemark.plans import catalogue as C
-from tidemark.plans.ask import Knowledge, Models, ask
+from tidemark.plans.ask import Knowledge, Models, ask, retrieved
 from tidemark.plans.build import Step, build_all, run_steps
 from tidemark.plans.registry import query
 from tidemark.sources import readers, sinks
@@ -380,6 +380,17 @@ def index_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"WITH {C.COSINE} SELECT id, 'ann' AS mode, (SELECT count(*) FROM documents) AS total_entries FROM (SELECT id FROM cs ORDER BY d, id LIMIT 1)")
+def answered_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer path without a table of vectors: the index is the tier that answers. The vector asked for is in its cell."""
+    e, path = A.entries(spark, sf_dir), indexed(spark, sf_dir)[0]
+    entries = e.select("id", "ord", "content", "start_time", "url", "topics")
+    kb = Knowledge(entries, knowledge.idf(e), A.dates(spark, sf_dir), index=path)
+    vector = A.query_vector(spark, sf_dir)
+    label, hits = retrieved(kb, Models(embed=lambda _: vector), "any", A.as_of(), None)
+    return hits.orderBy("raw_distance", "ord").limit(1).select("id", F.lit(label).alias("mode"), F.lit(entries.count()).alias("total_entries"))
+
+
 @query("SELECT count(*) AS queries, 10 * count(*) AS hits, true AS nine_tenths FROM embeddings WHERE vec_id % 50 = 0")
 def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row whose id is divisible by 50 as a query, looking into as many cells as were measured when the index was
