@@ -57,6 +57,21 @@ def test_sinks(spark, tmp_path):
     assert readers.idf(spark, str(part)).count() == knowledge.idf(A.entries(spark, SF)).count()
 
 
+def test_a_map_in_several_files(spark, tmp_path):
+    """Each file is an object of its own, with a range of the keys in order."""
+    import json
+
+    idf = knowledge.idf(A.entries(spark, SF))
+    sinks.json_map(idf, "term", "idf", str(tmp_path / "many"), rows=100)
+    files = sorted((tmp_path / "many").glob("part-*"))
+    maps = [json.loads(f.read_text()) for f in files]
+    assert len(files) > 3 and all(list(m) == sorted(m) for m in maps)
+    assert {k: v for m in maps for k, v in m.items()} == {r["term"]: r["idf"] for r in idf.collect()}
+    assert {r["term"]: r["idf"] for r in readers.idf(spark, str(tmp_path / "many")).collect()} == {r["term"]: r["idf"] for r in idf.collect()}
+    sinks.json_map(idf.limit(0), "term", "idf", str(tmp_path / "none"))
+    assert readers.idf(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_build_and_stream(spark, tmp_path):
     folder = caption_files(tmp_path / "c")
     (tmp_path / "feed.xml").write_text(FEED)

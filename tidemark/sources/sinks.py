@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Keys of a map that go to one file, about.
+MAP_ROWS = 100_000
+
+
 def transcripts(chunks: DataFrame, path: str) -> None:
     """Chunks of both spans, in one table partitioned by `grain`."""
     chunks.write.mode("overwrite").partitionBy("grain").parquet(path)
@@ -28,14 +32,29 @@ def batches(entries: DataFrame, path: str, rows: int = 500) -> None:
     entries.sortWithinPartitions("ord").write.mode("overwrite").option("maxRecordsPerFile", rows).json(path)
 
 
-def json_map(df: DataFrame, key: str, value: str, path: str) -> None:
-    """A table as one file with one JSON object, a line for each key in order; it is written as it is sorted, line by line."""
+def objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's lines as one JSON object: brackets around them, commas between them."""
+    before = "{"
+    for batch in batches:
+        lines = batch.column(0).to_pylist()
+        if lines:
+            yield pa.RecordBatch.from_arrays([pa.array([before + lines[0], *["," + x for x in lines[1:]]])], names=["value"])
+            before = ","
+    if before == ",":
+        yield pa.RecordBatch.from_arrays([pa.array(["}"])], names=["value"])
+
+
+def json_map(df: DataFrame, key: str, value: str, path: str, rows: int = MAP_ROWS) -> None:
+    """A table as JSON objects, a file for each range of about `rows` keys, a line for each key in order. Null keys are left
+    out; without any there is one empty object."""
     one = F.regexp_extract(F.to_json(F.create_map(F.col(key).cast("string"), F.col(value))), r"(?s)^\{(.*)\}$", 1)
-    rows = df.where(F.col(key).isNotNull()).select(F.lit(1).alias("part"), F.col(key).cast("string").alias("key"), one.alias("value"))
-    first = rows.agg(F.min("key").alias("key")).first()["key"]
-    rows = rows.withColumn("value", F.when(F.col("key") == F.lit(first), F.col("value")).otherwise(F.concat(F.lit(","), "value")))
-    ends = df.sparkSession.createDataFrame([(0, None, "{"), (2, None, "}")], "part int, key string, value string")
-    rows.union(ends).repartition(1).sortWithinPartitions("part", "key").select("value").write.mode("overwrite").text(path)
+    lines = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), one.alias("value"))
+    n = lines.count()
+    if not n:
+        out = df.sparkSession.createDataFrame([("{}",)], "value string").coalesce(1)
+    else:
+        out = lines.repartitionByRange(1 + n // rows, "key").sortWithinPartitions("key").select("value").mapInArrow(objects, "value string")
+    out.write.mode("overwrite").text(path)
 
 
 def named_files(df: DataFrame, name: str, value: str, path: str, suffix: str) -> None:
