@@ -337,14 +337,32 @@ def dates_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.best_title_matches(readers.catalogue(spark, list_file(spark, sf_dir), repair=True), spark.read.parquet(path)).select("video_id", "date")
 
 
-@query("SELECT * FROM (VALUES ('feed', 'ok', ''), ('list', 'warned', 'OSError: not there'), ('build', 'failed', 'ValueError: no rows'), ('publish', 'not run', '')) AS t(step, status, reason)")
+@query(
+    """WITH n AS (SELECT (SELECT count(*) FROM documents) AS d, (SELECT count(*) FROM documents WHERE coalesce(source, 'src19') = 'src19') AS undated, (SELECT count(*) FROM embeddings) AS v)
+SELECT 'entries' AS step, 'ok' AS status, '' AS reason UNION ALL
+SELECT 'dates', CASE WHEN undated = 0 THEN 'ok' ELSE 'warned' END, CASE WHEN undated = 0 THEN '' ELSE 'LookupError: ' || undated || ' entries without a date' END FROM n UNION ALL
+SELECT 'vectors', CASE WHEN v = d THEN 'ok' ELSE 'failed' END, CASE WHEN v = d THEN '' ELSE 'ValueError: ' || v || ' vectors of ' || d || ' entries' END FROM n UNION ALL
+SELECT 'publish', CASE WHEN v = d THEN 'ok' ELSE 'not run' END, '' FROM n"""
+)
 def job_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A job whose second step may fail and whose third may not."""
-
-    def fails(e: Exception) -> None:
-        raise e
-
-    steps = [Step("feed", lambda: None), Step("list", lambda: fails(OSError("not there")), needed=False), Step("build", lambda: fails(ValueError("no rows"))), Step("publish", lambda: None, needed=False)]
+    """A job over the tables: entries are written and read back, dates may be missing, a vector for each entry may not."""
+    path = A.files(spark, "job")
+
+    def dates() -> None:
+        if n := spark.read.parquet(path).join(A.dates(spark, sf_dir), "video_id", "left_anti").count():
+            raise LookupError(f"{n} entries without a date")
+
+    def vectors() -> None:
+        v, d = A.vectors(spark, sf_dir).count(), spark.read.parquet(path).count()
+        if v != d:
+            raise ValueError(f"{v} vectors of {d} entries")
+
+    steps = [
+        Step("entries", lambda: sinks.table(A.entries(spark, sf_dir).select("id", "video_id", "word_count"), path)),
+        Step("dates", dates, needed=False),
+        Step("vectors", vectors),
+        Step("publish", lambda: sinks.table(knowledge.kb_manifest(spark.read.parquet(path)), path + "-manifest"), needed=False),
+    ]
     return spark.createDataFrame(run_steps(steps), "step string, status string, reason string")
 
 
